@@ -23,7 +23,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Characters that str.split() takes for white space and the vocabularies do not.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 
 #: The vocabularies' word patterns (fixed values of their files): white space dropped, or kept with the word after it.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -39,47 +38,20 @@ _BYTE_CHARS = [chr(b) if b in _PRINTS else chr(256 + sum(x not in _PRINTS for x
 KEEP, KEEP_CHARS = 500_000, 48
 
 
-def split_words(text: str) -> list[str]:
-    """Pieces for a vocabulary that drops white space."""
-    return text.split()
+class PieceCodec(dict):
+    """Encodes texts to bytes of little-endian unsigned 32-bit ids; holds the ids of pieces met so far.
 
-
-def split_spaced(text: str) -> list[str]:
-    """Pieces for a vocabulary whose words carry the space before them.
-
-    A single space between two other characters always begins a piece; other white
-    space stays inside the piece it is found in.
+    With a vocabulary whose words carry the space before them (spaced), a piece stands
+    for itself and the space before it; one that begins with a line feed has no space.
     """
-    if not text:
-        return []
-    if _ODD_SPACE.search(text):
-        first, *rest = _INNER_SPACE.split(text)
-        return [first, *[" " + x for x in rest]]
-    out: list[str] = []
-    for line in text.split("\n"):  # a line feed between other characters is a piece
-        if out:
-            out.append("\n")
-        first, *rest = line.split(" ")
-        out.append(first)
-        out += [" " + x for x in rest]
-    return out
-
-
-class PieceCodec:
-    """Encodes texts to bytes of little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.spaced, self.split = spaced, split_spaced if spaced else split_words
-        self.pattern = _SPACED_WORD if spaced else _WORD
+        self.spaced, self.pattern = spaced, _SPACED_WORD if spaced else _WORD
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bool:
-        return any(s in text for s in self.special) or any(s in text for s in _SEPARATORS)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -88,10 +60,10 @@ class PieceCodec:
         """The words that no merge crosses, or None where the library should see the piece as it is."""
         if not piece.isascii() and not (_PLAIN.fullmatch(piece) and (self.spaced or unicodedata.is_normalized("NFC", piece))):
             return None
-        if not self.spaced:
-            piece = piece.lower()
-            return [piece] if piece.isalpha() else self.pattern.findall(piece)
-        return [piece] if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else self.pattern.findall(piece)
+        if self.spaced:
+            return [" " + piece] if piece.isalpha() else self.pattern.findall(piece if piece[0] == "\n" else " " + piece)
+        piece = piece.lower()
+        return [piece] if piece.isalpha() else self.pattern.findall(piece)
 
     def merge(self, word: str) -> bytes:
         """The ids of one word, merged by the library's model."""
@@ -101,46 +73,46 @@ class PieceCodec:
             word = "".join([_BYTE_CHARS[b] for b in word.encode()])
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Encodes new pieces; gives those that are too long to keep."""
-        memo, merge, long = self.memo, self.merge, {}
-        for piece in pieces:
-            if (words := self.words_of(piece)) is None:
-                ids = self.library(piece)
-            elif len(words) == 1:
-                ids = memo.get(words[0]) or merge(words[0])
-            else:
-                parts = []
-                for w in words:
-                    if (got := memo.get(w)) is None:
-                        got = merge(w)
-                        if len(w) <= KEEP_CHARS:
-                            memo[w] = got
-                    parts.append(got)
-                ids = b"".join(parts)
-            (memo if len(piece) <= KEEP_CHARS else long)[piece] = ids
-        return long
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        if len(self.memo) > KEEP:  # common pieces come early: the first fifth stays
-            self.memo = dict(islice(self.memo.items(), KEEP // 5))
-        memo, cut = self.memo, [None if not t or self.whole(t) else self.split(t) for t in texts]
-        new = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        new.difference_update(memo)
-        long = self.learn(list(new)) if new else {}
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self.library(text) if text else b"")
-            elif long:
-                out.append(b"".join([memo[p] if p in memo else long[p] for p in pieces]))
-            else:
-                out.append(b"".join(map(memo.__getitem__, pieces)))
-        return out
+    def word(self, word: str) -> bytes:
+        if (key := word[1:] if self.spaced and word[0] == " " else word) == word and self.spaced or not key.isalpha():
+            return self.merge(word)
+        if (ids := self.get(key)) is None:
+            ids = self.merge(word)
+            if len(key) <= KEEP_CHARS:
+                self[key] = ids
+        return ids
+
+    def __missing__(self, piece: str) -> bytes:
+        if (words := self.words_of(piece)) is None:
+            ids = self.library(piece if not self.spaced or piece[0] == "\n" else " " + piece)
+        elif len(words) == 1:
+            ids = self.merge(words[0])
+        else:
+            ids = b"".join(map(self.word, words))
+        if len(piece) <= KEEP_CHARS:
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text; null counts as empty."""
+        if not text:
+            return b""
+        if len(self) > KEEP:  # common pieces come early: the first fifth stays
+            first = list(islice(self.items(), KEEP // 5))
+            self.clear()
+            self.update(first)
+        pieces = text.split()
+        if any(s in text for s in self.special) or any(s in text for s in _SEPARATORS):
+            return self.library(text)
+        if not self.spaced:
+            return b"".join(map(self.__getitem__, pieces))
+        if " ".join(pieces) != text.replace("\n", " "):  # white space that isn't single
+            first, *pieces = _INNER_SPACE.split(text)
+            if any(p[0] == "\n" for p in pieces):
+                return self.library(text)
+            return self.library(first) + b"".join([self[p] for p in pieces])
+        pieces = ("\n" + text.replace("\n", " \n")).split(" ")
+        return b"".join(map(self.__getitem__, pieces))[4:]  # without the line feed put before the first
 
 
 _codecs: dict[tuple[str, bool], PieceCodec] = {}
