@@ -53,6 +53,10 @@ class PieceCodec(dict):
         self.spaced, self.pattern = spaced, _SPACED_WORD if spaced else _WORD
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def whole(self, text: str) -> bool:
+        """Whether the library must see a text whole."""
+        return any(s in text for s in self.special) or any(s in text for s in _SEPARATORS)
+
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -101,9 +105,9 @@ class PieceCodec(dict):
             first = list(islice(self.items(), KEEP // 5))
             self.clear()
             self.update(first)
-        pieces = text.split()
-        if any(s in text for s in self.special) or any(s in text for s in _SEPARATORS):
+        if self.whole(text):
             return self.library(text)
+        pieces = text.split()
         if not self.spaced:
             return b"".join(map(self.__getitem__, pieces))
         if " ".join(pieces) != text.replace("\n", " "):  # white space that isn't single
