@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, language_id, packing, runtime, token_counts, token_store, toxicity
+from tallyloom.llm import decontaminate, language_id, ngram_join, packing, runtime, token_counts, token_store, toxicity
 
 
 #: Score from which a document counts as toxic.
@@ -49,6 +49,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ngram_join.Rule(k=3, share=90, over=100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = toxicity.fold("doc_id", 3, 1)
@@ -61,6 +66,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_store, op5_winnowing, op6_language_id, op7_token_counts, op9_toxicity, op10_best_fit_packing)
+    f.__name__: f for f in (op3_token_store, op5_winnowing, op6_language_id, op7_token_counts, op8_jaccard_join, op9_toxicity, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
