@@ -8,17 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, language_id, ngram_join, packing, runtime, token_counts, token_store, toxicity
+from tallyloom.llm import decontaminate, language_id, near_vectors, ngram_join, packing, runtime, shards, token_counts, token_store, toxicity, url_filter
 
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
 
 
+#: The URL rules: verdict, rule.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+#: Rows in an arriving shard, and the size that compaction aims at.
+SHARD_ROWS, TARGET_BYTES = 2048, 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors.link_counts(table(spark, sf_dir, "embeddings"), least=0.98)
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark, URL_RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runtime.new_path(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -26,6 +42,13 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_store(spark, out)
 
 
+def op4_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = shards.ShardedTable(spark, runtime.new_path(spark, "shards"), target_bytes=TARGET_BYTES)
+    shared.append(table(spark, sf_dir, "documents"), rows_per_shard=SHARD_ROWS)
+    shared.compact()
+    return shared.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -66,6 +89,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_store, op5_winnowing, op6_language_id, op7_token_counts, op8_jaccard_join, op9_toxicity, op10_best_fit_packing)
+    f.__name__: f for f in (op1_grid_order_join, op2_url_filter, op3_token_store, op4_tiered_shards, op5_winnowing, op6_language_id, op7_token_counts, op8_jaccard_join, op9_toxicity, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
