@@ -91,4 +91,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_grid_order_join, op2_url_filter, op3_token_store, op4_tiered_shards, op5_winnowing, op6_language_id, op7_token_counts, op8_jaccard_join, op9_toxicity, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {}
+
