@@ -1,6 +1,6 @@
 """The registered queries over the reference tables; importing this package fills the registry."""
 
-from tallyloom.plans import filters, joins
+from tallyloom.plans import aggregates, filters, joins
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "filters", "joins"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "filters", "joins"]

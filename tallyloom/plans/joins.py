@@ -198,10 +198,10 @@ def jon_26_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH eod AS (SELECT account_id, CAST(date AS DATE) AS day, max_by(balance, seq) AS balance FROM txn GROUP BY 1, 2),
     span AS (SELECT account_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS d FROM eod GROUP BY 1),
     s AS (SELECT account_id, CAST(d AS DATE) AS day FROM span)
-    SELECT s.account_id, strftime(s.day, '%Y-%m') AS month, round(avg(b), 2) AS average FROM (
+    SELECT s.account_id, strftime(s.day, '%Y-%m') AS month, round(avg(b), 6) AS average FROM (
       SELECT s.account_id, s.day, last_value(e.balance IGNORE NULLS) OVER (PARTITION BY s.account_id ORDER BY s.day ROWS UNBOUNDED PRECEDING) AS b FROM s LEFT JOIN eod e ON s.account_id = e.account_id AND s.day = e.day
     ) s GROUP BY 1, 2"""
 )
 def jon_27_daily_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = ops.daily_spine(transactions(spark, sf_dir), ["account_id"], "date", "balance", ["seq"])
-    return days.groupBy("account_id", F.date_format("day", "yyyy-MM").alias("month")).agg(F.round(F.avg("balance"), 2).alias("average"))
+    return days.groupBy("account_id", F.date_format("day", "yyyy-MM").alias("month")).agg(F.round(F.avg("balance"), 6).alias("average"))
