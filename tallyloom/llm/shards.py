@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.runtime import hadoop_path
 
+#: Manifest entries (about 200 bytes each) up to which a merge's plan is broadcast; beyond it the rows are shuffled to it.
+BROADCAST_ENTRIES = 50_000
 _ENTRY = "path string, bytes long, n_rows long, seq long"
 
 
@@ -119,10 +121,11 @@ class ShardedTable:
         columns = rows.columns
         placed = rows.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias("_shard_path"))
         runs = entries.select(F.col("path").alias("_shard_path"), F.col("run").alias("_run"))
-        n = len({r["run"] for r in chosen})
-        merged = placed.join(runs, "_shard_path").drop("_shard_path")
+        n = max(r["run"] for r in chosen)
+        small = len(chosen) <= BROADCAST_ENTRIES
+        merged = placed.join(F.broadcast(runs) if small else runs, "_shard_path").drop("_shard_path")
         # the rows of a run make one file: they are at most about the target
-        merged.repartition(n, "_run").sortWithinPartitions("_run").write.option("compression", "zstd").partitionBy("_run").parquet(folder)
+        merged.repartitionById(n, F.col("_run") - 1).sortWithinPartitions("_run").write.option("compression", "zstd").partitionBy("_run").parquet(folder)
         first = entries.groupBy("run").agg(F.min("seq").alias("seq"))
         made = self._written(folder, F.lit(0).cast("long"), columns).drop("seq").withColumn("run", F.regexp_extract("path", r"_run=(\d+)", 1).cast("int"))
         new = made.join(first, "run").select("path", "bytes", "n_rows", "seq")
