@@ -147,21 +147,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     to POSITIVES and UNLABELLED texts of at most SAMPLE_BYTES bytes, chosen by a hash.
     """
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("mark_id")).agg(F.max(label_col).alias("mark"))
-    rows = docs.where(learn).select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("bytes"), F.col(text_col).alias("text"))
-    held = rows.where(F.col("bytes").between(1, SAMPLE_BYTES)).join(marks, F.col("id") == F.col("mark_id"), "left").withColumn("h", F.xxhash64("id", "text"))
+    # texts stay where they are: only ids, hashes and sizes meet the labels
+    keys = docs.where(learn).select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("bytes"), F.xxhash64(id_col, text_col).alias("h"))
     marked = F.coalesce(F.col("mark") == 1, F.lit(False))
-    n, toxic = docs.where(learn).select(F.col(id_col).alias("id")).join(marks, F.col("id") == F.col("mark_id")).agg(F.count("*"), F.sum(marked.cast("long"))).first()
-    all_rows, all_toxic = held.agg(F.count("*"), F.sum(marked.cast("long"))).first()
+    held = keys.join(marks, F.col("id") == F.col("mark_id"), "left").select("id", "h", marked.alias("toxic"), F.col("mark").isNotNull().alias("labelled"), F.col("bytes").between(1, SAMPLE_BYTES).alias("fits"))
+    fits, toxic = F.coalesce("fits", F.lit(False)), F.col("toxic")
+    n, n_toxic, all_toxic, all_rows = held.agg(F.count_if("labelled"), F.count_if(toxic), F.count_if(toxic & fits), F.count_if(fits)).first()
 
-    def drawn(bits: Column, most: int, of: int | None) -> Column:
+    def drawn(bits: Column, most: int, of: int) -> Column:
         """Rows whose hash bits fall under the share that gives about most of them."""
-        return F.pmod(bits, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * most / max(1, of or 1)))
+        return F.pmod(bits, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * most / max(1, of)))
 
-    flags = held.select("h", "text", (marked & drawn(F.col("h"), POSITIVES, all_toxic)).alias("p"), drawn(F.shiftright("h", 20), UNLABELLED, all_rows).alias("u"))
-    rows = sorted(flags.where(F.col("p") | F.col("u")).collect())
+    flags = held.where(fits).select("id", "h", (toxic & drawn(F.col("h"), POSITIVES, all_toxic)).alias("p"), drawn(F.shiftright("h", 20), UNLABELLED, all_rows).alias("u"))
+    picked = flags.where(F.col("p") | F.col("u")).distinct().toDF("pick_id", "pick_h", "p", "u")  # about POSITIVES + UNLABELLED rows
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    met = texts.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("h") == F.col("pick_h")))
+    rows = sorted(met.select("h", "text", "p", "u").collect())
     positive = list(dict.fromkeys(r["text"] for r in rows if r["p"]))[:POSITIVES]  # a text counts once
     unlabelled = list(dict.fromkeys(r["text"] for r in rows if r["u"]))[:UNLABELLED]
-    return train(positive, unlabelled, (toxic or 0) / n if n else 0.0)
+    return train(positive, unlabelled, n_toxic / n if n else 0.0)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
