@@ -35,7 +35,7 @@ _PRINTS = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 17
 _BYTE_CHARS = [chr(b) if b in _PRINTS else chr(256 + sum(x not in _PRINTS for x in range(b))) for b in range(256)]
 
 #: Pieces kept in a worker (about 200 bytes each), and the longest one kept.
-KEEP, KEEP_CHARS = 500_000, 48
+KEEP, KEEP_CHARS = 1_000_000, 48
 
 
 class PieceCodec(dict):
