@@ -52,7 +52,7 @@ def phones(c: Column, digits: int = 10) -> Column:
 def shingles(c: Column, n: int = 3) -> Column:
     """Distinct runs of n characters, sorted; a shorter text is its own one run."""
     runs = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
-    return F.array_sort(F.array_distinct(F.when(F.length(c) >= n, runs).otherwise(F.array(c))))
+    return F.array_sort(F.array_distinct(F.when(F.length(c) >= n, runs).when(c.isNotNull(), F.array(c))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

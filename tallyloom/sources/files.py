@@ -53,9 +53,10 @@ def statement_csv(spark: SparkSession, path: str, roles: Mapping[str, Sequence[s
     if head is None:
         raise ValueError("no line names every role")
     place = {role: next(i for i, c in enumerate(head["h"]) if c in {n.lower() for n in names}) for role, names in roles.items()}
+    last = list(place)[-1]  # lines before the header do not reach the last column that has a role
     body = raw.where(~F.coalesce(is_header, F.lit(False)))
-    picked = body.select(*[F.trim(F.col(columns[i])).alias(role) for role, i in place.items()])
-    return picked.where(F.coalesce(*[F.col(r) for r in roles]).isNotNull()).where(F.col(next(iter(roles))).isNotNull())
+    picked = body.select(*[F.nullif(F.trim(F.col(columns[i])), F.lit("")).alias(role) for role, i in place.items()])
+    return picked.where(F.col(last).isNotNull())
 
 
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
