@@ -1,6 +1,6 @@
 """The registered queries over the reference tables; importing this package fills the registry."""
 
-from tallyloom.plans import aggregates, filters, joins, ordered, scalars, surface
+from tallyloom.plans import aggregates, features, filters, joins, ordered, scalars, surface
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "filters", "joins", "ordered", "scalars", "surface"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "features", "filters", "joins", "ordered", "scalars", "surface"]
