@@ -117,6 +117,7 @@ def pack(pieces: DataFrame, size: int, share: int = SHARE) -> DataFrame:
         if not held:
             return
         rows = pd.concat(held, ignore_index=True)
+        rows = rows.sort_values(rows.columns.tolist(), ignore_index=True)  # the same bins if the task runs again
         bins, offsets = best_fit_decreasing(rows["length"].to_numpy(), size)
         yield rows.assign(sequence_id=bins + (TaskContext.get().partitionId() << 40), offset=offsets)
 

@@ -166,7 +166,8 @@ def write_token_store(docs: DataFrame, out: str, path: str, end_id: int, parts:
             yield shard()
 
     given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"))
-    dealt = given.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id")
+    order = ["id", F.xxhash64("text")]  # a task that runs again makes the same shards
+    dealt = given.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt.mapInPandas(run, "shard_no long, first_id long, n_docs long, n_tokens long, shard binary").write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(out)
 
 
