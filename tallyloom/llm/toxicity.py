@@ -92,7 +92,7 @@ def choose_grams(positive: list[str], unlabelled: list[str]) -> np.ndarray:
     return np.sort(g[best[excess[best] > EXCESS]])
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> Model:
+def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 5e-5) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss.
 
     Without positives, or without unlabelled texts, the model scores every text the prior.
