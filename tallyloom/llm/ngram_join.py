@@ -7,9 +7,9 @@ of each group, finds all pairs that may link; survivors are verified on the sets
 
 How the work is spread. Equal sets are one class. The same bound says that the sets of a
 linked pair differ in at most r shingles, with r from their sizes; hashed into more than r
-groups they agree in some group entirely. Classes that agree in a group of their size
-level are joined into candidate clusters (streaming, by a hub for each group), and each
-cluster's sets meet in tasks of bounded size: clusters beyond it are dealt into blocks,
+groups they agree in some group entirely. Classes that agree in a group of a size level
+(linked sets share a level) are joined into candidate clusters of that level, streaming,
+by a hub for each group, and each cluster's sets meet in tasks of bounded size: clusters beyond it are dealt into blocks,
 and every pair of blocks is a task. A task builds the tree over its points, skips pairs
 that are connected already and returns at most one link for each point. No pair of
 linked classes is missed, and no group of copies is ever written out pair by pair.
@@ -93,21 +93,47 @@ def set_hash(s: np.ndarray) -> int:
     return int(textbytes.mix(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def signatures(s: np.ndarray, rule: Rule, levels: np.ndarray) -> np.ndarray:
-    """Names of the set's groups, for its level and the next where a partner may be there."""
-    n, out = len(s), []
+def levels_of(n: int, rule: Rule, levels: np.ndarray) -> list[int]:
+    """The size levels in which a set of n can meet a partner that is no equal set."""
+    if not n:
+        return []
     at = int(np.searchsorted(levels, n, side="right")) - 1
-    for level in (at, at + 1) if n and n * rule.over >= rule.share * levels[at + 1] else (at,) if n else ():
-        r = rule.differ(int(levels[level + 1]) - 1)
-        if r == 0:  # only equal sets can link
-            continue
-        groups = r + 1 + SPARE
-        group = (textbytes.mix(s + np.uint64(level + 1)) % np.uint64(groups)).astype(np.int64)
-        sums, sizes = np.zeros(groups, np.uint64), np.bincount(group, minlength=groups)
-        np.add.at(sums, group, textbytes.mix(s))
-        names = textbytes.mix(textbytes.mix(sums) + np.arange(groups, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(level))
-        out.append(names[sizes > 0] if np.sum(sizes == 0) <= SPARE else names)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    both = [at, at + 1] if n * rule.over >= rule.share * levels[at + 1] else [at]
+    return [k for k in both if rule.differ(int(levels[k + 1]) - 1)]
+
+
+def node(h: int, level: int) -> int:
+    """The name of a set in a level."""
+    return int(textbytes.mix(np.array([h], np.int64).view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)[0])
+
+
+def signatures(s: np.ndarray, level: int, rule: Rule, levels: np.ndarray) -> np.ndarray:
+    """Names for a level, such that linked sets have one in common.
+
+    Linked sets differ in at most r shingles. Where r + 1 groups are large enough, the
+    names are those of the groups: one agrees. Where they would be too small to tell sets
+    apart, there are r / 2 + 1 groups of three parts: one group has a single difference or
+    none, so two of its parts agree, and every two parts of a group make a name. Spare
+    groups stand in for as many that are empty; only a set with more empty ones uses those.
+    """
+    top = int(levels[level + 1]) - 1
+    r = rule.differ(top)
+    triple = top < 7 * (r + 1) and r >= 8
+    spare = SPARE + (r // 12 if triple else r // 8 if top < 7 * (r + 1) else 0)
+    groups = (r // 2 if triple else r) + 1 + spare
+    wide = 3 * groups if triple else groups
+    group = (textbytes.mix(s + np.uint64(level + 1)) % np.uint64(wide)).astype(np.int64)
+    sums, sizes = np.zeros(wide, np.uint64), np.bincount(group, minlength=wide)
+    np.add.at(sums, group, textbytes.mix(s))
+    if triple:
+        sums, sizes = sums.reshape(-1, 3), sizes.reshape(-1, 3)
+        sums, sizes = sums.sum(1, keepdims=True, dtype=np.uint64) - sums, sizes.sum(1, keepdims=True) - sizes
+        few = int((sizes == 0).any(1).sum()) <= spare
+        sums, sizes = sums.ravel(), sizes.ravel()
+    else:
+        few = int((sizes == 0).sum()) <= spare
+    names = textbytes.mix(textbytes.mix(sums) + np.arange(wide, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(level))
+    return names[sizes > 0] if few else names
 
 
 class CountTree:
@@ -184,31 +210,38 @@ def join_block(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tup
 
 
 def _named(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """id, key (of the text), n and h (name of the set) of each row."""
+    """id, key (of the text), n, h (name of the set) and nodes (its names in levels) of each row."""
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels = rule.levels(1 << 12)
         for batch in batches:
-            sets = [(len(s), set_hash(s)) for s in shingle_sets(batch["text"].tolist(), rule.k)]
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "n": [s[0] for s in sets], "h": [s[1] for s in sets]})
+            sets = []
+            for s in shingle_sets(batch["text"].tolist(), rule.k):
+                levels = levels if len(s) < levels[-2] else rule.levels(4 * len(s))
+                h = set_hash(s)
+                sets.append((len(s), h, [node(h, k) for k in levels_of(len(s), rule, levels)]))
+            n, h, nodes = zip(*sets) if sets else ((), (), ())
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "n": n, "h": h, "nodes": nodes})
 
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return given.mapInPandas(run, f"id {id_type}, key long, n long, h long")
+    return given.mapInPandas(run, f"id {id_type}, key long, n long, h long, nodes array<long>")
 
 
 def _candidates(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """Pairs (a, b) of set names that agree in a group, each with the least of its group."""
+    """Pairs (a, b) of nodes that have a name in common, each with the least of its name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = rule.levels(1 << 12)
         for batch in batches:
             names, sets = [], []
             for s in shingle_sets(batch["text"].tolist(), rule.k):
-                if len(s) >= levels[-2]:
-                    levels = rule.levels(4 * len(s))
-                got = signatures(s, rule, levels)
-                names.append(got)
-                sets.append(np.full(len(got), set_hash(s), np.int64))
+                levels = levels if len(s) < levels[-2] else rule.levels(4 * len(s))
+                h = set_hash(s)
+                for level in levels_of(len(s), rule, levels):
+                    got = signatures(s, level, rule, levels)
+                    names.append(got)
+                    sets.append(np.full(len(got), node(h, level), np.int64))
             if names:
                 yield pd.DataFrame({"name": np.concatenate(names).view(np.int64), "h": np.concatenate(sets)})
 
@@ -218,7 +251,7 @@ def _candidates(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
 
 
 def _verified(docs: DataFrame, members: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) of set names; members: id, key, n, h, cluster, one row for each class."""
+    """Links (a, b) of set names; members: id, key, n, h, cluster, a row for each class and level."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod("h", "blocks").cast("int"))
@@ -268,10 +301,11 @@ def jaccard_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text
     class; a null id never names a component unless all of its rows have null.
     """
     named = cut(_named(docs, rule, id_col, text_col), "sets")
-    classes = named.where(F.col("n") > 0).groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("r"))
-    classes = cut(classes.select("h", "r.id", "r.key", "r.n"), "classes")
-    clusters = components(_candidates(docs, rule, text_col)).select(F.col("id").alias("h"), F.col("component").alias("cluster"))
-    links = _verified(docs, classes.join(clusters, "h"), rule, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n", "nodes"))
+    classes = cut(named.where(F.col("n") > 0).groupBy("h").agg(first.alias("r")).select("h", "r.id", "r.key", "r.n", "r.nodes"), "classes")
+    clusters = components(_candidates(docs, rule, text_col)).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    members = classes.select("h", "id", "key", "n", F.explode("nodes").alias("node")).join(clusters, "node").drop("node")
+    links = _verified(docs, members, rule, id_col, text_col)
     roots = components(links).select(F.col("id").alias("h"), F.col("component").alias("root"))
     found = classes.join(roots, "h", "left").select("h", "id", F.coalesce("root", "h").alias("root"))
     least = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id"))
