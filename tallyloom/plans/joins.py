@@ -35,14 +35,14 @@ def jon_4_comma_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY bank_name, statement_month, transaction_type ORDER BY seq) AS k FROM (SELECT *, strftime(date, '%Y-%m') AS statement_month FROM txn WHERE seq % 2 = 0)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY bank_name, statement_month, transaction_type ORDER BY seq) AS k FROM (SELECT *, strftime(date, '%Y-%m') AS statement_month FROM txn WHERE seq % 2 = 1))
-    SELECT l.seq AS left_seq, r.seq AS right_seq FROM l JOIN r ON l.bank_name = r.bank_name AND l.statement_month = r.statement_month AND l.transaction_type = r.transaction_type AND l.k = r.k"""
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY bank_name, statement_month, transaction_channel ORDER BY seq) AS k FROM (SELECT *, strftime(date, '%Y-%m') AS statement_month FROM txn WHERE transaction_type = 'debit')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY bank_name, statement_month, transaction_channel ORDER BY seq) AS k FROM (SELECT *, strftime(date, '%Y-%m') AS statement_month FROM txn WHERE transaction_type = 'credit'))
+    SELECT l.seq AS left_seq, r.seq AS right_seq FROM l JOIN r ON l.bank_name = r.bank_name AND l.statement_month = r.statement_month AND l.transaction_channel = r.transaction_channel AND l.k = r.k"""
 )
 def jon_7_numbered_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = transactions(spark, sf_dir).withColumn("statement_month", F.date_format("date", "yyyy-MM")).select("bank_name", "statement_month", "transaction_type", "seq")
-    even, odd = t.where("seq % 2 = 0").withColumnRenamed("seq", "left_seq"), t.where("seq % 2 = 1").withColumnRenamed("seq", "right_seq")
-    return ops.pair_duplicates(even, odd, ["bank_name", "statement_month", "transaction_type"], "left_seq", "right_seq").select("left_seq", "right_seq")
+    t = transactions(spark, sf_dir).withColumn("statement_month", F.date_format("date", "yyyy-MM")).select("bank_name", "statement_month", "transaction_channel", "transaction_type", "seq")
+    side = lambda kind, name: t.where(F.col("transaction_type") == kind).drop("transaction_type").withColumnRenamed("seq", name)
+    return ops.pair_duplicates(side("debit", "left_seq"), side("credit", "right_seq"), ["bank_name", "statement_month", "transaction_channel"], "left_seq", "right_seq").select("left_seq", "right_seq")
 
 
 @query(
@@ -56,11 +56,11 @@ def jon_8_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("credit").join(side("debit"), ["account_id", "month"])
 
 
-@query("SELECT t.seq, CASE WHEN t.seq % 5 = 0 THEN 'patched' ELSE t.transaction_channel END AS transaction_channel FROM txn t")
+@query("SELECT t.seq, CASE WHEN t.amount > 300000 THEN 'patched' ELSE t.transaction_channel END AS transaction_channel FROM txn t")
 def jon_9_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = transactions(spark, sf_dir).select("seq", "transaction_channel")
-    patch = t.where("seq % 5 = 0").select("seq", F.lit("patched").alias("transaction_channel"))
-    return ops.override(t, patch, ["seq"], "transaction_channel")
+    t = transactions(spark, sf_dir).select("seq", "transaction_channel", "amount")
+    patch = t.where("amount > 300000").select("seq", F.lit("patched").alias("transaction_channel"))
+    return ops.override(t.drop("amount"), patch, ["seq"], "transaction_channel")
 
 
 @query("SELECT account_id, seq FROM txn WHERE account_id IN (SELECT account_id FROM txn WHERE amount > 495000)")

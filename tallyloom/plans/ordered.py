@@ -74,14 +74,14 @@ def win_12_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT bank_name, CAST(date AS DATE) AS a, CAST(date AS DATE) + CAST(seq % 4 AS INTEGER) AS b FROM txn WHERE seq % 3 = 0),
+    """WITH r AS (SELECT bank_name, CAST(date AS DATE) AS a, CAST(date AS DATE) + CAST(page_number // 3 AS INTEGER) AS b FROM txn WHERE transaction_channel = 'chq'),
     f AS (SELECT *, CASE WHEN date_diff('day', max(b) OVER (PARTITION BY bank_name ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) <= 1 THEN 0 ELSE 1 END AS fresh FROM r),
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY bank_name ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM f)
     SELECT bank_name, strftime(min(a), '%Y-%m-%d') AS a, strftime(max(b), '%Y-%m-%d') AS b FROM n GROUP BY bank_name, k"""
 )
 def win_13_merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("date")
-    spans = transactions(spark, sf_dir).where("seq % 3 = 0").select("bank_name", day.alias("a"), F.date_add(day, (F.col("seq") % 4).cast("int")).alias("b"))
+    spans = transactions(spark, sf_dir).where("transaction_channel = 'chq'").select("bank_name", day.alias("a"), F.date_add(day, F.floor(F.col("page_number") / 3).cast("int")).alias("b"))
     return sets.merged_intervals(spans, ["bank_name"], "a", "b").select("bank_name", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
 
@@ -243,11 +243,11 @@ def set_5_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT bank_name, CAST(date AS DATE) AS day FROM txn WHERE account_id % 7 = 0), s AS (SELECT bank_name, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1)
+    """WITH d AS (SELECT DISTINCT bank_name, CAST(date AS DATE) AS day FROM txn WHERE amount > 450000), s AS (SELECT bank_name, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1)
     SELECT bank_name, strftime(day, '%Y-%m') AS month, array_to_string(list(CAST(day(day) AS VARCHAR) ORDER BY day), ',') AS days FROM (SELECT * FROM s EXCEPT SELECT * FROM d) GROUP BY 1, 2"""
 )
 def set_6_7_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = transactions(spark, sf_dir).where("account_id % 7 = 0").select("bank_name", F.to_date("date").alias("day")).distinct()
+    days = transactions(spark, sf_dir).where("amount > 450000").select("bank_name", F.to_date("date").alias("day")).distinct()
     spine = days.groupBy("bank_name").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("bank_name", F.explode(F.sequence("a", "b")).alias("day"))
     gone = spine.exceptAll(days)
     return gone.groupBy("bank_name", F.date_format("day", "yyyy-MM").alias("month")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.dayofmonth("day"))), lambda d: d.cast("string")), ",").alias("days"))

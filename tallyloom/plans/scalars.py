@@ -210,8 +210,8 @@ def snk_5_6_8_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_patches(t, patches, "seq", ["transaction_channel", "amount"], "at")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -1, 5.0", txn=False)
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -1, 5.0", txn=False)
 def snk_9_10_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     new = spark.createDataFrame([(-1, 5.0)], stored.schema)
-    return rules.upsert(stored, stored.where("o_orderkey % 10 = 0").withColumn("o_totalprice", F.lit(0.0)).union(new), "o_orderkey")
+    return rules.upsert(stored, stored.where("o_totalprice > 400000").withColumn("o_totalprice", F.lit(0.0)).union(new), "o_orderkey")

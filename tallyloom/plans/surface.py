@@ -125,8 +125,8 @@ def str_4_15_16_latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     out = shared(spark, "latest")
     merge = streams.latest_by_key(out, "user_id", "ts")
-    merge(events.where("event_id % 2 = 0"), 0)
-    merge(events.where("event_id % 2 = 1"), 1)
+    merge(events.where("ts < '2024-01-16'"), 0)
+    merge(events.where("ts >= '2024-01-16'"), 1)
     return spark.read.parquet(f"{out}/v1")
 
 
