@@ -193,19 +193,25 @@ def join_block(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tup
         wide *= 2
     counts = np.stack([np.bincount((s >> np.uint64(40)).astype(np.int64) % wide, minlength=wide) for s in sets]).astype(np.int32)
     tree, root, links, cross = CountTree(counts, sizes), np.arange(len(sets)), [], bool(side.any())
+    # shingles as small numbers, so that one set is compared with many by marking its own
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    mark = np.zeros(int(max(c.max() for c in codes)) + 1, bool)
     for i in range(len(sets)):
         rows, bound = tree.search(counts[i], int(sizes[i]), rule)
         keep = (rows < i) & (root[rows] != root[i])
         if cross:
             keep &= side[rows] != side[i]
-        rows = rows[keep][np.argsort(-bound[keep], kind="stable")]
-        while len(rows):
-            j = int(rows[0])
-            rows = rows[1:]
-            if linked(sets[i], sets[j], rule):
-                links.append((int(order[i]), int(order[j])))
-                root[root == root[j]] = root[i]
-                rows = rows[root[rows] != root[i]]
+        rows, step = rows[keep][np.argsort(-bound[keep], kind="stable")], 1
+        mark[codes[i]] = True
+        while len(rows):  # the likeliest first, then ever more at once
+            some, rows, step = rows[:step], rows[step:], min(4 * step, 1024)
+            both = np.add.reduceat(mark[np.concatenate([codes[j] for j in some])].astype(np.int64), np.cumsum([0, *sizes[some[:-1]]]))
+            for j in some[rule.over * both >= rule.share * (sizes[i] + sizes[some] - both)].tolist():
+                if root[j] != root[i]:
+                    links.append((int(order[i]), int(order[j])))
+                    root[root == root[j]] = root[i]
+            rows = rows[root[rows] != root[i]]
+        mark[codes[i]] = False
     return links
 
 
