@@ -34,7 +34,7 @@ _PLAIN = re.compile("[\0-\u012f\u0131-\u03a2\u03a4-\u052f]+")
 _PRINTS = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
 _BYTE_CHARS = [chr(b) if b in _PRINTS else chr(256 + sum(x not in _PRINTS for x in range(b))) for b in range(256)]
 
-#: Pieces kept in a worker (about 200 bytes each), and the longest one kept.
+#: Pieces kept in a worker (about 200 bytes each), half as many where they carry the space before them; the longest one kept.
 KEEP, KEEP_CHARS = 1_000_000, 48
 
 
@@ -51,6 +51,7 @@ class PieceCodec(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.spaced, self.pattern = spaced, _SPACED_WORD if spaced else _WORD
+        self.keep = KEEP // 2 if spaced else KEEP
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bool:
@@ -101,8 +102,8 @@ class PieceCodec(dict):
         """The ids of a text; null counts as empty."""
         if not text:
             return b""
-        if len(self) > KEEP:  # common pieces come early: the first fifth stays
-            first = list(islice(self.items(), KEEP // 5))
+        if len(self) > self.keep:  # common pieces come early: the first fifth stays
+            first = list(islice(self.items(), self.keep // 5))
             self.clear()
             self.update(first)
         if self.whole(text):
