@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.model import signed
 
@@ -66,12 +68,26 @@ def rolls_over(date: Column, order: WindowSpec) -> Column:
 def per_group(df: DataFrame, key: str, order: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A sequential algorithm over each key's ordered rows, where state depends on earlier results.
 
-    The key must bound its rows (a statement or an account does); the frame holds one key.
+    The key must bound its rows (a statement or an account does); a task holds one key and
+    a batch. Rows with a null key are one group.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return step(rows.sort_values(list(order), kind="stable").reset_index(drop=True))
-
-    return df.groupBy(key).applyInPandas(run, schema)
+    names = T.StructType.fromDDL(schema).fieldNames()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows.empty:
+                continue
+            keys, before = rows[key], rows[key].shift()
+            starts = np.flatnonzero(~((keys == before) | keys.isna() & before.isna()).to_numpy(bool) | (np.arange(len(rows)) == 0))
+            held = rows.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield pd.concat([step(rows.iloc[i:j].reset_index(drop=True)) for i, j in zip(starts, starts[1:])])[names]
+        if held is not None:
+            yield step(held.reset_index(drop=True))[names]
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def repaired_types(rows: pd.DataFrame, limit: float = 0.1, most: float = 0.2) -> pd.DataFrame:
