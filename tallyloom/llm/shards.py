@@ -140,8 +140,14 @@ class ShardedTable:
         return self.version()
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, all of them and no others."""
+        """The rows of a version, all of them and no others.
+
+        If all arrivals were empty, an empty frame of their columns; before the first arrival, an error.
+        """
         paths = [r["path"] for r in self.manifest(version).select("path").collect()]
         if not paths:
-            raise ValueError("the table has no shard yet")
+            if not self._versions():
+                raise ValueError("the table has no shard yet")
+            arrived = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/data")
+            return self.spark.createDataFrame([], arrived.schema)
         return self.spark.read.parquet(*paths)

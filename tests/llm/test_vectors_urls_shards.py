@@ -86,6 +86,9 @@ def test_shards_keep_rows_and_versions(spark, tmp_path):
         table._commit(table.manifest(), last)
     with pytest.raises(ValueError):
         shards.ShardedTable(spark, f"file://{tmp_path}/none", target_bytes=1).read()
+    bare = shards.ShardedTable(spark, f"file://{tmp_path}/bare", target_bytes=40_000)
+    bare.append(first.limit(0), rows_per_shard=100)
+    assert bare.compact() == 1 and bare.read().columns == first.columns and bare.read().count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
