@@ -31,6 +31,8 @@ from tallyloom.llm.runtime import cut
 
 #: Bounds of a block: classes, and shingles in all their sets (32 MB of hashes).
 BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 1 << 22
+#: Clusters beyond a block (12 bytes each) up to which their table is broadcast; a longer one is joined by a shuffle.
+BROADCAST_CLUSTERS = 100_000
 #: Groups beyond those that the bound needs: a class with no more empty groups than this needs none of them.
 SPARE = 2
 LEAF = 16
@@ -136,6 +138,22 @@ def signatures(s: np.ndarray, level: int, rule: Rule, levels: np.ndarray) -> np.
     return names[sizes > 0] if few else names
 
 
+def combine(names: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, node) rows that tie the same nodes together, with each given name once.
+
+    The least node of a name keeps it; each further one is tied to that by a name of the
+    pair's own. So a name that very many sets bear leaves a batch as one row.
+    """
+    order = np.lexsort((nodes, names))
+    names, nodes = names[order], nodes[order]
+    first = np.flatnonzero(np.concatenate([np.ones(len(names[:1]), bool), names[1:] != names[:-1]]))
+    hub = np.repeat(nodes[first], np.diff(np.append(first, len(names))))
+    more = hub != nodes
+    a, b = np.unique(np.stack([hub[more], nodes[more]], 1), axis=0).T
+    own = textbytes.mix(textbytes.mix(a.astype(np.uint64)) + b.astype(np.uint64)).view(np.int64)
+    return np.concatenate([names[first], own, own]), np.concatenate([nodes[first], a, b])
+
+
 class CountTree:
     """An R-tree, packed once, over count vectors sorted by set size."""
 
@@ -240,16 +258,19 @@ def _candidates(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = rule.levels(1 << 12)
         for batch in batches:
-            names, sets = [], []
+            names, sets, met = [], [], set()
             for s in shingle_sets(batch["text"].tolist(), rule.k):
                 levels = levels if len(s) < levels[-2] else rule.levels(4 * len(s))
                 h = set_hash(s)
+                if h in met:
+                    continue
+                met.add(h)
                 for level in levels_of(len(s), rule, levels):
                     got = signatures(s, level, rule, levels)
                     names.append(got)
                     sets.append(np.full(len(got), node(h, level), np.int64))
             if names:
-                yield pd.DataFrame({"name": np.concatenate(names).view(np.int64), "h": np.concatenate(sets)})
+                yield pd.DataFrame(dict(zip(("name", "h"), combine(np.concatenate(names).view(np.int64), np.concatenate(sets)))))
 
     rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "name long, h long")
     hub = F.first("h").over(Window.partitionBy("name").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -260,7 +281,10 @@ def _verified(docs: DataFrame, members: DataFrame, rule: Rule, id_col: str, text
     """Links (a, b) of set names; members: id, key, n, h, cluster, a row for each class and level."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod("h", "blocks").cast("int"))
+    # members meet only the clusters beyond a block, so that no cluster gathers its members in a task
+    large = cut(sizes.select("cluster", blocks.alias("blocks")).where(F.col("blocks") > 1), "large")
+    few = large.count() <= BROADCAST_CLUSTERS
+    placed = members.join(F.broadcast(large) if few else large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod("h", "blocks").cast("int"))
     rows = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
     met = rows.join(placed, (F.col("row_key") == F.col("key")) & F.col("row_id").eqNullSafe(F.col("id"))).select("h", "cluster", "blocks", "block", "text")
 

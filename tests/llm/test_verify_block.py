@@ -44,3 +44,22 @@ def test_two_sets():
     assert ngram_join.join_block([s, s[1:]], np.array([0, 0]), rule) == [(1, 0)]
     assert ngram_join.join_block([s, s[1:]], np.array([1, 1]), rule) == []
     assert ngram_join.join_block([s, s[5:]], np.array([0, 1]), rule) == []
+
+
+def test_combine_keeps_what_names_tie_together():
+    rng = np.random.default_rng(1)
+    names, nodes = rng.integers(-40, 40, 600), rng.integers(-(2**62), 2**62, 120)[rng.integers(0, 120, 600)]
+    names[:200] = 7  # a name of a third of all rows
+
+    def tied(name, node):
+        root = {x: x for x in node}
+        for group in {n: node[name == n].tolist() for n in set(name.tolist())}.values():
+            low = min(root[x] for x in group)
+            for old in {root[x] for x in group}:
+                root = {k: low if v == old else v for k, v in root.items()}
+        return root
+
+    out_names, out_nodes = ngram_join.combine(names, nodes)
+    assert tied(out_names, out_nodes) == tied(names, nodes)
+    assert all((out_names == n).sum() == 1 for n in set(names.tolist()))
+    assert [len(x) for x in ngram_join.combine(names[:0], nodes[:0])] == [0, 0]
