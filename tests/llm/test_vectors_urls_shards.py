@@ -9,8 +9,9 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from tallyloom.llm import near_vectors, shards, url_filter
-from tallyloom.llm.queries import URL_RULES
+from tallyloom.llm import near_vectors, shards, toxicity, url_filter
+from tallyloom.llm.queries import TOXIC, URL_RULES
+from tests.llm.test_text_operators import brute_components, normal_words
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
@@ -96,9 +97,31 @@ def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     extra = spark.createDataFrame([(90_001, None, "en", "s", 0), (90_002, "123 456", "en", "s", 7)], docs.schema)
     docs = docs.union(extra).union(docs.limit(2))
+    items = [(r["item_id"], normal_words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + min(13, len(w))]) for _, w in items if w for k in range(len(w) - min(13, len(w)) + 1)}
     seen = docs.count()
     for name, stage in corpus_pipeline.STAGES:
+        given = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
         out = stage(spark, docs, sf)
+        if name != "packing":
+            got = sorted((r["doc_id"], r["text"] or "") for r in out.select("doc_id", "text").collect())
+        if name == "language_id":
+            assert got == sorted(d for d in given if any(map(str.isalpha, d[1] or "")))
+        if name == "toxicity":
+            marks = spark.read.parquet(f"{sf}/labels.parquet")
+            model = toxicity.fit(docs, marks, ~toxicity.fold("doc_id", 3, 1))
+            assert got == sorted(d for d, s in zip(given, model.scores([t for _, t in given])) if s < TOXIC)
+        if name == "ngram_join":
+            assert got == sorted({d for d, (i, _, c) in zip(given, brute_components(given, corpus_pipeline.NEAR)) if i == c})
+        if name == "decontamination":
+            kept = []
+            for d in given:
+                w, hit = normal_words(d[1]), set()
+                for m in {len(x) for x in windows}:
+                    hit.update(*(range(k, k + m) for k in range(len(w) - m + 1) if tuple(w[k : k + m]) in windows))
+                if not hit or 20 * len(hit) < len(w):
+                    kept.append(d)
+            assert got == sorted(kept)
         if name != "packing":
             assert out.columns == docs.columns
             path = f"file://{tmp_path}/{name}"
