@@ -91,3 +91,11 @@ def upper_median(c: Column) -> Column:
     """The element at the middle, the upper of two; unlike median() it is one of the values."""
     values = F.array_sort(F.collect_list(c))
     return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+
+
+def occurrences(df: DataFrame, keys: Sequence[str], month: str, day: str, order: Sequence[str]) -> DataFrame:
+    """Every occurrence of a key in a month: its number k and its day, with the first and last day of the month's rows."""
+    w = Window.partitionBy(*keys, month).orderBy(*order)
+    numbered = df.withColumn("k", F.row_number().over(w).cast("long")).select(*keys, month, "k", day)
+    measures = df.groupBy(F.col(month).alias("_month")).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    return numbered.join(F.broadcast(measures), F.col(month).eqNullSafe(F.col("_month"))).drop("_month")

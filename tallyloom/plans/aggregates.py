@@ -206,6 +206,17 @@ def agg_37_occurrence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("bank_name", "transaction_channel", "k").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n"))
 
 
+@query(
+    """SELECT payee, amount, month, k, day, min(day) OVER (PARTITION BY month) AS first_day, max(day) OVER (PARTITION BY month) AS last_day FROM (
+      SELECT *, row_number() OVER (PARTITION BY payee, amount, month ORDER BY date, seq) AS k FROM (
+        SELECT split_part(transaction_note, '/', 2) AS payee, amount, strftime(date, '%Y-%m') AS month, day(date) AS day, date, seq FROM txn WHERE transaction_type = 'debit'))"""
+)
+def agg_37_payment_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    debits = transactions(spark, sf_dir).where("transaction_type = 'debit'")
+    payments = debits.select(F.split_part("transaction_note", F.lit("/"), F.lit(2)).alias("payee"), "amount", ops.month().alias("month"), F.dayofmonth("date").cast("long").alias("day"), "date", "seq")
+    return ops.occurrences(payments, ["payee", "amount"], "month", "day", ["date", "seq"])
+
+
 @query("SELECT transaction_channel, " + ", ".join(f"round(coalesce(sum(amount) FILTER (year(date) = {y}), 0), 2) AS y{y}" for y in range(1995, 2002)) + ", round(sum(amount), 2) AS total FROM txn WHERE transaction_type = 'debit' GROUP BY ROLLUP (transaction_channel)")
 def agg_38_39_spend_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     debits = transactions(spark, sf_dir).where("transaction_type = 'debit'").withColumn("y", F.year("date"))

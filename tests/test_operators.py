@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text, values
-from tallyloom.operators import joins, rules, sets, similarity, windows
+from tallyloom.operators import aggregates, joins, rules, sets, similarity, windows
 from tallyloom.plans.surface import access
 from tallyloom.sources import files, sinks
 from tallyloom.streaming import streams
@@ -134,3 +134,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_occurrences_are_all_numbered(spark):
+    rows = [("p", 10.0, "2024-01", d, d) for d in range(1, 9)] + [("p", 10.0, "2024-02", 5, 9), ("q", 7.0, "2024-01", 30, 10), (None, 7.0, None, 3, 11)]
+    df = spark.createDataFrame(rows, "payee string, amount double, month string, day long, seq long")
+    got = sorted(map(tuple, aggregates.occurrences(df, ["payee", "amount"], "month", "day", ["seq"]).collect()), key=str)
+    want = [("p", 10.0, "2024-01", d, d, 1, 30) for d in range(1, 9)] + [("p", 10.0, "2024-02", 1, 5, 5, 5), ("q", 7.0, "2024-01", 1, 30, 1, 30), (None, 7.0, None, 1, 3, 3, 3)]
+    assert got == sorted(want, key=str)
