@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.similarity import weighted_score
+
 
 def pair_duplicates(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: str, right_order: str) -> DataFrame:
     """Inner join in which the k-th row of a key on one side meets only the k-th on the other."""
@@ -78,3 +80,32 @@ def daily_spine(df: DataFrame, keys: Sequence[str], date: str, value: str, order
     days = df.groupBy(*keys).agg(F.min(day).alias("_a"), F.max(day).alias("_b")).select(*keys, F.explode(F.sequence("_a", "_b")).alias("day"))
     carried = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
     return days.join(closing, [*keys, "day"], "left").withColumn(value, carried)
+
+
+def _allowed_days(day: int) -> list[int]:
+    """Days of a month near a day: two before to three after, with the wrap at a month's end."""
+    near = {1: [29, 30, 31, 1, 2, 3, 4], 2: [30, 31, 1, 2, 3, 4, 5], 3: [31, 1, 2, 3, 4, 5, 6], 29: [26, 27, 28, 29, 30, 31, 1], 30: [27, 28, 29, 30, 31, 1, 2], 31: [28, 29, 30, 31, 1, 2, 3]}
+    return near.get(day) or list(range(day - 2, day + 4))
+
+
+def recurring_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[str], date: str, note: str, clean: str, id_col: str) -> DataFrame:
+    """Pairs of rows of equal keys, the earlier one left, on different dates with like notes.
+
+    The right day of month is one of the left one's allowed days. Clean notes differ by
+    less than 10 characters, and either they are similar above 92 or the notes, both
+    longer than 10 characters, differ by less than 3. All pairs that meet this come out,
+    so their number grows with the square of a group of equal payments.
+    """
+    side = df.select(*keys, F.struct(*order).alias("at"), F.to_date(date).alias("date"), F.lower(note).alias("note"), F.coalesce(clean, F.lit("")).alias("clean"), F.col(id_col).alias("id"))
+    days = F.create_map(*[x for d in range(1, 32) for x in (F.lit(d), F.array(*map(F.lit, _allowed_days(d))))])
+    left = side.withColumn("day", F.explode(F.element_at(days, F.dayofmonth("date")))).alias("a")
+    right = side.withColumn("day", F.dayofmonth("date")).alias("b")
+    met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "day")]
+    close = (F.col("a.at") < F.col("b.at")) & (F.col("a.date") != F.col("b.date")) & (F.abs(F.length("a.clean") - F.length("b.clean")) < 10)
+    for c in met:
+        close = c & close
+    size = (F.length("a.note"), F.length("b.note"))
+    sure = F.coalesce((F.abs(size[0] - size[1]) < 3) & (size[0] > 10) & (size[1] > 10), F.lit(False))
+    pairs = left.join(right, close).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), sure.alias("sure"), F.col("a.clean").alias("x"), F.col("b.clean").alias("y"))
+    score = weighted_score(F.when(~F.col("sure"), F.col("x")), F.col("y"))
+    return pairs.where(F.col("sure") | (score > 92)).select("left_id", "right_id")

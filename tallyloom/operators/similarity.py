@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -29,6 +30,93 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one bit for each character of a."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = s = (1 << len(a)) - 1
+    for c in b:
+        u = s & at.get(c, 0)
+        s = (s + u | s - u) & full
+    return len(a) - s.bit_count()
+
+
+def indel(a: str, b: str) -> float:
+    """0..100: twice the common subsequence over both lengths; 100 for two empty texts."""
+    return 200.0 * _common(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def _sorted_tokens(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
+def token_set(a: str, b: str) -> float:
+    """The best of three: shared tokens against each text's tokens, and these against each other."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    if x & y and (x <= y or y <= x):
+        return 100.0
+    shared, left, right = (" ".join(sorted(t)) for t in (x & y, x - y, y - x))
+    gap = bool(shared)
+    m, n = len(shared) + gap + len(left), len(shared) + gap + len(right)
+    out = 100.0 - 100.0 * (len(left) + len(right) - 2 * _common(left, right)) / (m + n)
+    if not shared:
+        return out
+    return max(out, *(100.0 - 100.0 * (k - len(shared)) / (k + len(shared)) for k in (m, n)))
+
+
+def partial(a: str, b: str) -> float:
+    """indel of the shorter text and the best run of its length or less of the longer one."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0.0 if b else 100.0
+    if a in b:
+        return 100.0
+    n = len(a)
+    best = max(indel(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
+    return max(best, *(indel(b, a[max(0, i) : i + n]) for i in range(1 - n, n))) if n == len(b) else best
+
+
+def partial_token_sort(a: str, b: str) -> float:
+    return partial(_sorted_tokens(a), _sorted_tokens(b))
+
+
+def fuzzy(a: str, b: str) -> float:
+    """SCA-23: the best of partial_token_sort, indel and token_set."""
+    if a == b and a:
+        return 100.0
+    return max(indel(a, b), token_set(a, b), partial_token_sort(a, b))
+
+
+def weighted(a: str, b: str) -> float:
+    """The best of indel and the token scores at 95 %; of runs at 90 or 60 % where lengths differ by half or more."""
+    if not a or not b:
+        return 0.0
+    lengths = max(len(a), len(b)) / min(len(a), len(b))
+    plain, x, y = indel(a, b), set(a.split()), set(b.split())
+    if lengths < 1.5:
+        return max(plain, 0.95 * max(indel(_sorted_tokens(a), _sorted_tokens(b)), token_set(a, b)))
+    runs = 100.0 if x & y else max(partial_token_sort(a, b), partial(" ".join(sorted(x)), " ".join(sorted(y))))
+    return max(plain, (0.9 if lengths <= 8 else 0.6) * max(partial(a, b), 0.95 * runs))
+
+
+def _scores(score: Callable[[str, str], float], a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([0.0 if x is None or y is None else score(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _scores(fuzzy, a, b)
+
+
+@F.pandas_udf(T.DoubleType())
+def weighted_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _scores(weighted, a, b)
+
+
 def similar_pairs(df: DataFrame, key: str, text: str, least: float, block: str) -> DataFrame:
     """Pairs within a block whose 3-character shingles have a Jaccard similarity of at least `least`.
 

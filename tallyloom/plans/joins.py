@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text
 from tallyloom.model import table, transactions
 from tallyloom.operators import joins as ops
 from tallyloom.plans.registry import query
@@ -153,6 +154,13 @@ def jon_19_near_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, on & close).select(F.col("a.seq").alias("left_seq"), F.col("b.seq").alias("right_seq"))
 
 
+@query()
+def jon_19_recurring_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = transactions(spark, sf_dir).withColumn("clean", F.array_join(text.note_tokens(F.col("transaction_note"), []), " "))
+    out = ops.recurring_pairs(t, ["account_id", "transaction_channel", "amount"], ["date", "seq"], "date", "transaction_note", "clean", "seq")
+    return out.withColumnsRenamed({"left_id": "left_seq", "right_id": "right_seq"})
+
+
 @query(
     """SELECT account_id, CAST(NULL AS BIGINT) AS seq, 'metadata' AS fraud_type FROM txn GROUP BY account_id HAVING count(DISTINCT bank_name) > 1 OR count(*) > 14
     UNION ALL SELECT account_id, seq, 'negative_balance' FROM txn WHERE balance < -300000 AND bank_name <> 'BUILDING'"""

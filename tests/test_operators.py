@@ -142,3 +142,37 @@ def test_occurrences_are_all_numbered(spark):
     got = sorted(map(tuple, aggregates.occurrences(df, ["payee", "amount"], "month", "day", ["seq"]).collect()), key=str)
     want = [("p", 10.0, "2024-01", d, d, 1, 30) for d in range(1, 9)] + [("p", 10.0, "2024-02", 1, 5, 5, 5), ("q", 7.0, "2024-01", 1, 30, 1, 30), (None, 7.0, None, 1, 3, 3, 3)]
     assert got == sorted(want, key=str)
+
+
+def test_scores():
+    assert similarity.indel("abcd", "abxd") == 75 and similarity.indel("", "") == 100 and similarity.token_set("", "") == 0
+    assert similarity.token_set("a b", "b a c") == similarity.partial_token_sort("pay rent", "rent pay") == similarity.partial("bcd", "abcde") == 100
+    assert round(similarity.token_set("new york mets", "new york yankees"), 6) == round(100 - 100 * 5 / 21, 6)
+    assert similarity.partial("abc", "xxabd") == 200 * 2 / 6 and similarity.partial("abc", "bcxxx") == 200 * 2 / 5
+    assert similarity.weighted("rent flat nine", "nine flat rent") == 95 and similarity.weighted("rent", "rent for the flat") <= 90
+    for a, b in (("kitten", "sitting"), ("ab" * 40, "ba" * 41), ("x", "")):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            row = [0, *row[1:]]
+            old = row[:]
+            for j, d in enumerate(b):
+                row[j + 1] = old[j] + 1 if c == d else max(old[j + 1], row[j])
+        assert similarity.indel(a, b) == 200 * row[-1] / (len(a) + len(b))
+
+
+def test_recurring_pairs_match_brute_force(spark):
+    notes = ["loan emi alpha bank", "loan emi alpha bnk", "short", "alpha bank emi loan for the year", "bank alpha emi loan"]
+    rows = [(k % 2, 100.0 + 50 * (k % 3 == 0), k, datetime(2024, 1, 25) + timedelta(days=9 * k % 75), notes[k % 5]) for k in range(60)]
+    rows += [(7, 1.0, 100, datetime(2024, 1, 31), "monthly payment"), (7, 1.0, 101, datetime(2024, 3, 1), "monthly payment"), (7, 1.0, 102, datetime(2024, 4, 3), "monthly payment"), (7, 1.0, 103, datetime(2024, 5, 6), "monthly payment")]
+    df = spark.createDataFrame(rows, "account_id long, amount double, seq long, date timestamp, note string").withColumn("clean", F.lower("note"))
+    near = {1: {29, 30, 31, 1, 2, 3, 4}, 2: {30, 31, 1, 2, 3, 4, 5}, 3: {31, 1, 2, 3, 4, 5, 6}, 29: {26, 27, 28, 29, 30, 31, 1}, 30: {27, 28, 29, 30, 31, 1, 2}, 31: {28, 29, 30, 31, 1, 2, 3}}
+    want = set()
+    for a in rows:
+        for b in rows:
+            days = near.get(a[3].day) or set(range(a[3].day - 2, a[3].day + 4))
+            if a[:2] == b[:2] and (a[3], a[2]) < (b[3], b[2]) and a[3].date() != b[3].date() and b[3].day in days and abs(len(a[4]) - len(b[4])) < 10:
+                if similarity.weighted(a[4], b[4]) > 92 or abs(len(a[4]) - len(b[4])) < 3 and min(len(a[4]), len(b[4])) > 10:
+                    want.add((a[2], b[2]))
+    got = joins.recurring_pairs(df, ["account_id", "amount"], ["date", "seq"], "date", "note", "clean", "seq").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {(100, 101), (101, 102), (102, 103)} <= want and (100, 103) not in want
