@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, Bucketizer, CountVectorizer, HashingTF, MinHashLSH, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import IDF, Bucketizer, HashingTF, MinHashLSH, RegexTokenizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,16 +143,27 @@ def minhash_pairs(df: DataFrame, key: str, text: str, least: float, tables: int
     return met.select(F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b"), "distance").where("a < b")
 
 
-def text_clusters(df: DataFrame, text: str, k: int, seed: int = 7, vocabulary: int = 1 << 14) -> DataFrame:
-    """TF-IDF and k-means with a seed."""
+def text_clusters(df: DataFrame, text: str, k: int, by: Sequence[str], seed: int = 7, width: int = 1 << 16) -> DataFrame:
+    """TF-IDF and k-means with a seed, one model for each value of by that the data hold.
+
+    Every token counts: tokens are hashed to a fixed width. A null text has no token.
+    df is read several times for each model, so it should be a stored table.
+    """
+    words = F.coalesce(F.col(text), F.lit(""))
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^0-9A-Za-z]+"),
+        RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"[^0-9A-Za-z]+"),
         StopWordsRemover(inputCol="_tokens", outputCol="_words"),
-        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary),
+        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=width),
         IDF(inputCol="_counts", outputCol="_tfidf"),
-        KMeans(featuresCol="_tfidf", predictionCol="cluster", k=k, seed=seed, maxIter=10),
+        KMeans(featuresCol="_tfidf", predictionCol="cluster", k=k, seed=seed, maxIter=100),
     ]
-    return Pipeline(stages=stages).fit(df).transform(df).drop("_tokens", "_words", "_counts", "_tfidf")
+    out = df.limit(0).withColumn("cluster", F.lit(0))
+    for key in sorted(df.select(*by).distinct().collect(), key=str):
+        part = df.withColumn("_text", words)
+        for c in by:
+            part = part.where(F.col(c).eqNullSafe(F.lit(key[c])))
+        out = out.unionByName(Pipeline(stages=stages).fit(part).transform(part).select(*out.columns))
+    return out
 
 
 def binned(df: DataFrame, value: str, edges: list[float], out: str = "bin") -> DataFrame:

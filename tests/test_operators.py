@@ -176,3 +176,13 @@ def test_recurring_pairs_match_brute_force(spark):
     got = joins.recurring_pairs(df, ["account_id", "amount"], ["date", "seq"], "date", "note", "clean", "seq").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert {(100, 101), (101, 102), (102, 103)} <= want and (100, 103) not in want
+
+
+def test_text_clusters_by_pair(spark):
+    rows = [(i, bank, f"{'rent' if i % 2 else 'fuel'} {'flat' if i % 2 else 'car'}") for i, bank in enumerate(["a"] * 20 + ["b"] * 20 + [None] * 4)] + [(99, "a", None)]
+    df = spark.createDataFrame(rows, "seq long, bank string, note string")
+    got = {r["seq"]: r["cluster"] for r in similarity.text_clusters(df, "note", 2, ["bank"]).collect()}
+    assert sorted(got) == sorted(r[0] for r in rows)
+    for first, last in ((0, 20), (20, 40), (40, 44)):
+        odd, even = ({got[i] for i in range(first, last) if i % 2 == k} for k in (1, 0))
+        assert len(odd) == len(even) == 1 and odd != even
