@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import similarity
+
 
 def classify(df: DataFrame, rules: Sequence[tuple[str, str]], text: str, out: str, otherwise: str = "Other") -> DataFrame:
     """The label of the first (label, pattern) rule, in their order, that matches text.
@@ -68,3 +71,34 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 def merge_pages(df: DataFrame, key: str) -> DataFrame:
     """Flags, counts and ranges of a document's pages as one row."""
     return df.groupBy(key).agg(F.bool_or("flag").alias("flag"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.array_sort(F.flatten(F.collect_list("tags"))).alias("tags"))
+
+
+def keyword_categories(df: DataFrame, regexes: Sequence[tuple[str, str]], keywords: Sequence[tuple[str, Sequence[str]]], note: str, out: str, only: Mapping[str, str], skip: Sequence[str], unless: Mapping[str, Sequence[str]], default: Mapping[str, str], least: float = 90.0) -> DataFrame:
+    """The category of the first regex that matches, else of the first keyword that scores above least, else ''.
+
+    only: the one transaction type of a category; skip: channels without a category;
+    unless: words that stand in a longer note and rule a category out; default: categories
+    of channels whose notes match nothing.
+    """
+    kind, channel = F.col("transaction_type"), F.col("transaction_channel")
+    fits = lambda name: (kind == only[name]) if name in only else F.lit(True)
+    by_regex = F.coalesce(*[F.when(F.col(note).rlike(f"(?i){pattern}") & fits(name), F.lit(name)) for name, pattern in regexes], F.lit(""))
+
+    @F.pandas_udf("string")
+    def by_keyword(texts: pd.Series, types: pd.Series) -> pd.Series:
+        def one(text: str | None, type_: str | None) -> str:
+            if text is None:
+                return ""
+            for name, words in keywords:
+                if only.get(name, type_) == type_ and not any(len(text) > len(w) and w in text for w in unless.get(name, ())):
+                    if any(similarity.contained(w, text, least) for w in words):
+                        return name
+            return ""
+
+        return pd.Series([one(x, y) for x, y in zip(texts, types)], dtype=object)
+
+    bare = F.lower(F.regexp_replace(F.regexp_replace(note, r"[^\x00-\x7F]", ""), " ", ""))
+    skipped = F.coalesce(channel.isin(*skip), F.lit(False))
+    marked = df.withColumn("_regex", F.when(~skipped, by_regex)).withColumn("_word", by_keyword(F.when(F.col("_regex") == "", bare), kind))
+    usual = F.coalesce(*[F.when(channel == c, F.lit(name)) for c, name in default.items()], F.lit(""))
+    return marked.withColumn(out, F.when(skipped, "").when(F.col("_regex") != "", F.col("_regex")).when(F.col("_word") != "", F.col("_word")).otherwise(usual)).drop("_regex", "_word")

@@ -84,6 +84,15 @@ def partial_token_sort(a: str, b: str) -> float:
     return partial(_sorted_tokens(a), _sorted_tokens(b))
 
 
+def contained(a: str, b: str, least: float) -> bool:
+    """Whether partial_token_sort is above least; runs are tried only where the common subsequence allows it."""
+    x, y = _sorted_tokens(a), _sorted_tokens(b)
+    n, common = min(len(x), len(y)), _common(x, y)
+    if n and 200.0 * common <= least * (n + common):
+        return False
+    return partial(x, y) > least
+
+
 def fuzzy(a: str, b: str) -> float:
     """SCA-23: the best of partial_token_sort, indel and token_set."""
     if a == b and a:

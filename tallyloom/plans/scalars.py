@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text, values
 from tallyloom.model import by_account, table, transactions
-from tallyloom.operators import rules
+from tallyloom.operators import rules, similarity
 from tallyloom.plans.registry import query
 
 
@@ -74,6 +74,25 @@ def sca_23_24_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, on & text.alike(F.col("a.p_name"), F.col("b.p_name"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 
+@query()
+def sca_23_fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.lower("p_name").alias("name"))
+    a, b = p.alias("a"), p.alias("b")
+    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
+    scored = a.join(b, on).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), similarity.fuzzy_score(F.col("a.name"), F.col("b.name")).alias("score"))
+    return scored.where("score > 75")
+
+
+_CATEGORY_REGEXES = [("cash", "^cash_"), ("account_seven", "customer#0*7/")]
+_CATEGORY_WORDS = [("transfers", ["net_banking_transfr", "wiretransfer"]), ("cheques", ["chq/customer"]), ("upi", ["upi/custmer#"])]
+
+
+@query()
+def sca_30_keyword_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.keyword_categories(transactions(spark, sf_dir), _CATEGORY_REGEXES, _CATEGORY_WORDS, "transaction_note", "category", {"transfers": "debit", "upi": "credit"}, ["salary", "refund"], {"cheques": ["customer#000000001"]}, {"Other": "others", "bill_payment": "bills"})
+    return out.select("seq", "category")
+
+
 _RULES = [("upi_seven", "^upi/.*7/"), ("transfer", "transfer"), ("cheque", "^chq"), ("cash", "cash")]
 
 

@@ -186,3 +186,23 @@ def test_text_clusters_by_pair(spark):
     for first, last in ((0, 20), (20, 40), (40, 44)):
         odd, even = ({got[i] for i in range(first, last) if i % 2 == k} for k in (1, 0))
         assert len(odd) == len(even) == 1 and odd != even
+
+
+def test_keyword_categories(spark):
+    rows = [(1, "ATM cash out", "debit", "x"), (2, "paid to online grocry order", "debit", "x"), (3, "paid to online grocry order", "credit", "x"), (4, "lazy pay bank", "debit", "x"), (5, "lazypay", "debit", "x"), (6, "nothing", "debit", "bill_payment"), (7, "cash", "debit", "salary"), (8, None, None, None)]
+    df = spark.createDataFrame(rows, "k long, note string, transaction_type string, transaction_channel string")
+    got = rules.keyword_categories(df, [("cash", r"\bcash\b"), ("late", "out")], [("bnpl", ["lazypay"]), ("food", ["onlinegrocery"])], "note", "c", {"food": "debit"}, ["salary"], {"bnpl": ["bank"]}, {"bill_payment": "bills"})
+    assert {r["k"]: r["c"] for r in got.collect()} == {1: "cash", 2: "food", 3: "", 4: "", 5: "bnpl", 6: "bills", 7: "", 8: ""}
+    for a in ("swiggy", "lazypay", "ab", ""):
+        for b in ("swigy", "xxswggyxx", "lazy", "laz pay", "", "ba"):
+            assert similarity.contained(a, b, 90) == (similarity.partial_token_sort(a, b) > 90)
+
+
+def test_fuzzy_scores_match_brute_force(spark):
+    from tallyloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    want = {(a["p_partkey"], b["p_partkey"]) for a in parts for b in parts if a["p_brand"] == b["p_brand"] and a["p_type"] == b["p_type"] and a["p_partkey"] < b["p_partkey"] and similarity.fuzzy(a["p_name"].lower(), b["p_name"].lower()) > 75}
+    assert {(r["a"], r["b"]) for r in QUERIES["sca_23_fuzzy_scores"](spark, sf).collect()} == want
+    assert similarity.fuzzy("green red", "red green") == similarity.fuzzy("red", "dark red green") == 100
