@@ -99,3 +99,18 @@ def occurrences(df: DataFrame, keys: Sequence[str], month: str, day: str, order:
     numbered = df.withColumn("k", F.row_number().over(w).cast("long")).select(*keys, month, "k", day)
     measures = df.groupBy(F.col(month).alias("_month")).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
     return numbered.join(F.broadcast(measures), F.col(month).eqNullSafe(F.col("_month"))).drop("_month")
+
+
+def spend_by_month(df: DataFrame, whole: DataFrame, category: str, month: str, amount: str) -> DataFrame:
+    """Long rows of the amount by category and month, 0 where there is none, with totals.
+
+    The months are those of whole. level is grouping_id: 1 for the total of a category, 2 of
+    a month, 3 of all; average, where month is null, is the total over the number of months.
+    """
+    spent = df.groupBy(category, month).agg(F.sum(amount).alias("_amount"))
+    months, categories = whole.select(month).distinct(), df.select(category).distinct()
+    at = spent.select(F.col(category).alias("_category"), F.col(month).alias("_month"), "_amount")
+    grid = categories.crossJoin(months).join(at, F.col(category).eqNullSafe(F.col("_category")) & F.col(month).eqNullSafe(F.col("_month")), "left")
+    total = F.sum(F.coalesce("_amount", F.lit(0.0)))
+    out = grid.cube(category, month).agg(F.grouping_id().alias("level"), total.alias("_total")).crossJoin(months.agg(F.count("*").alias("_months")))
+    return out.select(category, month, "level", F.round("_total", 2).alias(amount), F.when(F.col("level").isin(1, 3), F.round(F.col("_total") / F.col("_months"), 2)).alias("average"))

@@ -224,6 +224,19 @@ def agg_38_39_spend_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debits.rollup("transaction_channel").agg(*years, F.round(F.sum("amount"), 2).alias("total"))
 
 
+@query(
+    """WITH d AS (SELECT transaction_channel, strftime(date, '%Y-%m') AS month, sum(amount) AS amount FROM txn WHERE transaction_type = 'debit' GROUP BY 1, 2),
+    m AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM txn), c AS (SELECT DISTINCT transaction_channel FROM d),
+    g AS (SELECT c.transaction_channel, m.month, coalesce(d.amount, 0) AS amount FROM c CROSS JOIN m LEFT JOIN d ON d.month = m.month AND d.transaction_channel = c.transaction_channel)
+    SELECT transaction_channel, month, CAST(grouping(transaction_channel, month) AS BIGINT) AS level, round(sum(amount), 2) AS amount,
+           CASE WHEN grouping(month) = 1 THEN round(sum(amount) / (SELECT count(*) FROM m), 2) END AS average
+    FROM g GROUP BY CUBE (transaction_channel, month)"""
+)
+def agg_38_39_spend_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = transactions(spark, sf_dir).withColumn("month", ops.month())
+    return ops.spend_by_month(t.where("transaction_type = 'debit'"), t, "transaction_channel", "month", "amount")
+
+
 @query(
     """WITH s AS (SELECT bank_name, transaction_channel, count(*) AS n FROM txn WHERE transaction_type = 'debit' GROUP BY 1, 2),
     p AS (SELECT *, floor(100.0 * n / sum(n) OVER w) AS f, round(100.0 * n / sum(n) OVER w - floor(100.0 * n / sum(n) OVER w), 9) AS r FROM s WINDOW w AS (PARTITION BY bank_name)),

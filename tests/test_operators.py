@@ -206,3 +206,12 @@ def test_fuzzy_scores_match_brute_force(spark):
     want = {(a["p_partkey"], b["p_partkey"]) for a in parts for b in parts if a["p_brand"] == b["p_brand"] and a["p_type"] == b["p_type"] and a["p_partkey"] < b["p_partkey"] and similarity.fuzzy(a["p_name"].lower(), b["p_name"].lower()) > 75}
     assert {(r["a"], r["b"]) for r in QUERIES["sca_23_fuzzy_scores"](spark, sf).collect()} == want
     assert similarity.fuzzy("green red", "red green") == similarity.fuzzy("red", "dark red green") == 100
+
+
+def test_spend_of_any_year(spark):
+    df = spark.createDataFrame([("upi", "2024-01", 3.0), ("upi", "2024-01", 1.0), ("chq", "1980-12", 8.0)], "c string, month string, amount double")
+    whole = df.select("month").union(spark.createDataFrame([("2031-05",), ("2031-06",)], "month string"))
+    got = {(r["c"], r["month"], r["level"]): (r["amount"], r["average"]) for r in aggregates.spend_by_month(df, whole, "c", "month", "amount").collect()}
+    assert len(got) == 2 * 4 + 2 + 4 + 1
+    assert got["upi", "2024-01", 0] == (4.0, None) and got["chq", "2031-05", 0] == (0.0, None) and got[None, "1980-12", 2] == (8.0, None)
+    assert got["upi", None, 1] == (4.0, 1.0) and got[None, None, 3] == (12.0, 3.0)
