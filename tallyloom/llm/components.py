@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.runtime import cut
+from tallyloom.llm.runtime import cut_at, remove
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,14 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeats are allowed; ids without a link to another do not appear. Every
     round keeps at most as many edges as there were and is written to the shared folder;
-    the number of rounds grows with the logarithm of the longest chain. A vertex with very
-    many edges is reduced by partial aggregation, and its join is one that Spark can split.
+    the number of rounds grows with the logarithm of the longest chain. A round's table is
+    removed once the next one is written. A vertex with very many edges is reduced by partial
+    aggregation, and its join is one that Spark can split.
     """
-    held = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
+    held, path = cut_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
     before = None
     while True:
         state = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
-        before, held = state, cut(_small_star(_large_star(held)), "edges")
+        old, before = path, state
+        held, path = cut_at(_small_star(_large_star(held)), "edges")
+        remove(held.sparkSession, old)
     return held.select(F.col("a").alias("id"), F.col("b").alias("component")).union(held.select("b", "b").distinct().toDF("id", "component"))

@@ -37,7 +37,7 @@ BROADCAST_CLUSTERS = 100_000
 SPARE = 2
 LEAF = 16
 _NOT_SPACE = np.ones(256, bool)
-_NOT_SPACE[[0, 32, *range(9, 14)]] = False
+_NOT_SPACE[[32, *range(9, 14)]] = False
 
 
 @dataclass(frozen=True)
@@ -67,10 +67,10 @@ class Rule:
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 
-    Words are runs of bytes other than white space, A-Z lower-cased. A text of fewer than
+    Words are runs of bytes other than white space (a zero byte is none), A-Z lower-cased. A text of fewer than
     k words has its whole sequence as one shingle, one without words an empty set.
     """
-    for first, last, data, starts in textbytes.blocks(texts, 1):
+    for first, last, data, starts in textbytes.blocks(texts, 1, b"\0"):
         _, _, h, text = textbytes.words(data, starts, _NOT_SPACE)
         cuts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=last - first))])
         n = max(0, len(h) - k + 1)

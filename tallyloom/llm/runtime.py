@@ -15,11 +15,14 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a folder of our own is used.
+    Only where the setting is absent on one machine (a local master, as in tests) a folder
+    of our own is used; on a cluster its absence is an error.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         context.setCheckpointDir(base)
     return base.rstrip("/")
@@ -42,6 +45,8 @@ def hadoop_path(spark: SparkSession, path: str):
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_path(spark, path)
     fs.delete(p, True)
+    if (spark, path) in _made:
+        _made.remove((spark, path))
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -50,14 +55,27 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     The plan behind it ends there: later stages reread files that every executor
     sees, so a lost executor costs only its running tasks.
     """
+    return cut_at(df, label)[0]
+
+
+def cut_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As cut, with the path, so that a table which nothing reads any more can be removed."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def free(name: str, *taken: list[str]) -> str:
+    """A column name like this one that no list holds, whatever the case."""
+    held = {c.lower() for cs in taken for c in cs}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path in list(_made):
         with contextlib.suppress(Exception):
             remove(spark, path)

@@ -6,8 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: Bytes of text worked on at once; a longer text is worked on alone.
-BLOCK_BYTES = 1 << 20
+#: Bytes and texts worked on at once; a longer text is worked on alone.
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -21,11 +21,11 @@ _INVERSES = np.ones(1, np.uint64)
 _PRIME_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 
 
-def blocks(texts: Sequence[str | None], gap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: Sequence[str | None], gap: int, zero: bytes = b" ") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts as (first, last + 1, lower-cased bytes, where each text starts).
 
     A text is followed by gap zero bytes; A-Z are lower-cased, null counts as empty. A
-    zero byte inside a text becomes a space.
+    zero byte inside a text becomes the given one.
     """
     held, size, first = [], 0, 0
     space = b"\0" * gap
@@ -38,8 +38,8 @@ def blocks(texts: Sequence[str | None], gap: int) -> Iterator[tuple[int, int, np
     for i, text in enumerate(texts):
         data = text.encode("utf-8", "replace") if text else b""
         if b"\0" in data:
-            data = data.replace(b"\0", b" ")
-        if held and size + len(data) > BLOCK_BYTES:
+            data = data.replace(b"\0", zero)
+        if held and (size + len(data) > BLOCK_BYTES or len(held) == BLOCK_TEXTS):
             yield joined(i)
             held, size, first = [], 0, i
         held.append(data)
@@ -80,8 +80,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def words(data: np.ndarray, text_starts: np.ndarray, is_word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, hash and text number of every word of a block."""
-    starts, ends = spans(is_word[data])
+    """Start, end, hash and text number of every word of a block whose texts are one byte apart."""
+    inside = is_word[data]
+    inside[text_starts[1:] - 1] = False  # the byte between two texts ends a word, whatever its kind
+    inside[-1:] = False
+    starts, ends = spans(inside)
     return starts, ends, hashes(data, starts, ends), np.searchsorted(text_starts, starts, side="right") - 1
 
 

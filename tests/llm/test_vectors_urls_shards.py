@@ -17,6 +17,28 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 
 
+def linked_by_brute_force(rows, least=0.98):
+    """(id, n_links, component) of each (id, vector, label), by all pairs."""
+    good = [i for i, (_, v, lab) in enumerate(rows) if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)]
+    unit = {i: np.array(rows[i][1], np.float32).astype(float) / np.linalg.norm(np.array(rows[i][1], np.float32).astype(float)) for i in good}
+    links = {i: [j for j in good if j != i and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= least] for i in good}
+    out, seen = [None] * len(rows), set()
+    for i, r in enumerate(rows):
+        if i not in links:
+            out[i] = (r[0], 0, r[0])
+        elif i not in seen:
+            group, todo = {i}, [i]
+            while todo:
+                new = set(links[todo.pop()]) - group
+                group |= new
+                todo += new
+            seen |= group
+            ids = [rows[j][0] for j in group if rows[j][0] is not None]
+            for j in group:
+                out[j] = (rows[j][0], len(links[j]), min(ids, default=None))
+    return sorted(out, key=str)
+
+
 @pytest.mark.parametrize("interval", [1024, 16])
 def test_vector_links_by_brute_force(spark, monkeypatch, interval):
     monkeypatch.setattr(near_vectors, "INTERVAL", interval)
@@ -25,28 +47,19 @@ def test_vector_links_by_brute_force(spark, monkeypatch, interval):
     for i in range(240):
         v = base[rng.integers(12)] + rng.normal(size=24) * rng.choice([0.0, 0.05, 0.15, 0.25])
         rows.append((i, [float(np.float32(x)) for x in v * rng.choice([1.0, 3.0])], int(rng.integers(3))))
-    rows += [(300, None, 1), (301, [0.0] * 24, 1), (302, [float("nan")] + [1.0] * 23, 1), (303, [None] + [1.0] * 23, 1), (304, rows[0][1], None), (305, rows[0][1], rows[0][2]), (306, [float("inf")] + [1.0] * 23, 1), (307, [1.0, 2.0], 1), (None, rows[0][1], rows[0][2])]
+    rows += [(300, None, 1), (301, [0.0] * 24, 1), (302, [float("nan")] + [1.0] * 23, 1), (303, [None] + [1.0] * 23, 1), (304, rows[0][1], None), (305, rows[0][1], rows[0][2]), (306, [float("inf")] + [1.0] * 23, 1), (307, [1.0, 2.0], 1), (308, [], 1)]
+    rows += [(None, rows[0][1], rows[0][2]), (None, [9.0, 1.0, 1.0], 2), (None, [9.0, 1.0, 1.1], 2), (310, [1.0, 2.01], 1), (311, [1.0], 1), (312, [2.0], 1), (313, [-2.0], 1), (5, rows[6][1], 2)]
     out = near_vectors.link_counts(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, n_links int"), 0.98)
-    good = [r for r in rows if r[0] is not None and r[1] and r[2] is not None and len(r[1]) == 24 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
-    x = np.array([r[1] for r in good], np.float32).astype(float)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = (u @ u.T >= 0.98) & (np.array([r[2] for r in good])[:, None] == np.array([r[2] for r in good])[None, :])
-    np.fill_diagonal(links, False)
-    ids = np.array([r[0] for r in good])
-    comp = ids.copy()
-    while True:
-        new = np.array([min([comp[i], *comp[links[i]]]) for i in range(len(ids))])
-        if (new == comp).all():
-            break
-        comp = new
-    want = {int(i): (int(n), int(c)) for i, n, c in zip(ids, links.sum(1), comp)}
-    got = out.collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r["n_links"], r["component_id"]) == want.get(r["vec_id"], (0, r["vec_id"]))
+    assert sorted([tuple(r) for r in out.collect()], key=str) == linked_by_brute_force(rows)
     assert near_vectors.link_counts(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), 0.98).count() == 0
 
 
+def test_vectors_of_the_rarer_length_and_text_ids(spark):
+    rows = [("a", [1.0, 0.0, 0.0], 7), ("b", [1.0, 0.01, 0.0], 7), ("c", [0.0, 0.0, 1.0], 7), ("d", [1.0, 0.0], 7), ("e", [1.0, 0.01], 7)]
+    out = near_vectors.link_counts(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int"), 0.98)
+    assert sorted(map(tuple, out.collect())) == [("a", 1, "a"), ("b", 1, "a"), ("c", 0, "c"), ("d", 1, "d"), ("e", 1, "d")]
+
+
 def judged(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"
