@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DELIMITERS = "[^0-9A-Za-z]+"
+#: Tokens are runs of ASCII letters and digits and of all characters past ASCII.
+_DELIMITERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Stands for the token of rules that hold no whole one; every URL has it.
+_ANY = ""
 #: Letters that are lowered in hosts.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT = "allow"
@@ -35,34 +38,55 @@ def _after(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
-    """(verdict, rule) pairs as a table; a rule is a host, a slash and the start of a path."""
+    """(verdict, rule) pairs as a table; a rule is a host, and a slash and the start of a path if it has one.
+
+    A rule without a host or a verdict is an error.
+    """
+    if any(not verdict or not rule or rule.startswith("/") for verdict, rule in rules):
+        raise ValueError("a rule needs a verdict and a host")
     return spark.createDataFrame(rules, "verdict string, rule string")
 
 
 def _quote(text: Column) -> Column:
-    return F.regexp_replace(text, r"([^0-9A-Za-z/])", r"\\$1")
+    return F.regexp_replace(text, r"([^0-9A-Za-z/\u0080-\uffff])", r"\\$1")
+
+
+def normal(rules: DataFrame) -> DataFrame:
+    """verdict, rule, host, start (of the path): rules with their hosts' A-Z lower-cased, each once.
+
+    Rules that differ only in the case of the host are one, written as the least of them;
+    of several verdicts on one rule the greatest decides (block over allow). Rules without
+    a host or verdict are left out: they fit nothing.
+    """
+    slash = F.instr("rule", "/")
+    host = F.translate(F.substring_index("rule", "/", 1), _UPPER, _LOWER)
+    start = F.when(slash > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise("")
+    split = rules.select("verdict", "rule", host.alias("host"), start.alias("start")).where((F.col("host") != "") & F.col("verdict").isNotNull())
+    return split.groupBy("host", "start").agg(F.min("rule").alias("rule"), F.max("verdict").alias("verdict"))
 
 
 def indexed(rules: DataFrame, tokens: DataFrame) -> DataFrame:
-    """verdict, rule, token, pattern: one row per rule. tokens: token, urls (that hold it).
+    """verdict, rule, token, pattern: one row per rule of normal(). tokens: token, urls (that hold it).
 
     A rule's last piece is no whole token unless a slash or dot follows, since the path may
-    go on. A rule without any whole token is an error. Ties go to the lesser token.
+    go on; after a rule that is only a host a slash or the end must follow, so all its pieces
+    are. A rule without any whole token has the token that every URL has. Ties go to the lesser token.
     """
-    pieces = F.split(F.regexp_replace("rule", "[0-9A-Za-z]+$", ""), _DELIMITERS)
-    literal = rules.dropDuplicates(["rule"]).withColumn("token", F.explode(F.filter(pieces, lambda x: x != "")))
+    whole = F.concat("host", F.when(F.col("start") == "", "/").otherwise(F.regexp_replace("start", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$", "")))
+    pieces = F.filter(F.split(whole, _DELIMITERS), lambda x: x != "")
+    literal = rules.withColumn("token", F.explode(F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit(_ANY)))))
     counted = literal.join(tokens, "token", "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
-    rarest = counted.groupBy("verdict", "rule").agg(F.min(F.struct("urls", "token")).alias("best"))
-    host, path = F.substring_index("rule", "/", 1), F.expr("substring(rule, instr(rule, '/'))")
-    pattern = F.concat(F.lit(r"^(?:[^/]*\.)?"), _quote(host), _quote(path))
+    rarest = counted.groupBy("verdict", "rule", "host", "start").agg(F.min(F.struct("urls", "token")).alias("best"))
+    end = F.when(F.col("start") == "", r"(?:/|\z)").otherwise(_quote(F.col("start")))
+    pattern = F.concat(F.lit(r"(?s)\A(?:[^/]*\.)?"), _quote(F.col("host")), end)
     return rarest.select("verdict", "rule", F.col("best.token").alias("token"), pattern.alias("pattern"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict.
 
-    The longest fitting rule decides (of equals the lesser); where none fits, rule is null
-    and the verdict is allow. Null URLs and those without :// have an empty host and path,
+    The longest fitting rule decides (of equals the greater string; normal() says what holds
+    for repeated rules); where none fits, rule is null and the verdict is allow. Null URLs and those without :// have an empty host and path,
     which no rule fits. Every row stays, repeated or not; columns of pages that bear the
     new names are replaced. Rules fetched for a URL are those of its tokens, so a very
     common host costs a look-up for each of its URLs and nothing more.
@@ -71,9 +95,13 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     split = pages.select(*kept, url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     # a verdict depends on host and path alone
     places = split.select("host", "path").where(F.col("host") != "").distinct()
-    place = F.concat("host", "path")
-    tokens = places.select("host", "path", F.explode(F.array_distinct(F.split(place, _DELIMITERS))).alias("token")).where(F.col("token") != "")
-    index = indexed(rules, tokens.join(rules.select(F.explode(F.split("rule", _DELIMITERS)).alias("token")).distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls")))
+    rules = normal(rules)
+    words = F.split(F.concat("host", "path"), _DELIMITERS)
+    tokens = places.select("host", "path", F.explode(F.array_distinct(F.filter(words, lambda x: x != ""))).alias("token"))
+    used = rules.select(F.explode(F.split(F.concat("host", "start"), _DELIMITERS)).alias("token")).where(F.col("token") != _ANY).distinct()
+    index = indexed(rules, tokens.join(used, "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls")))
+    if index.where(F.col("token") == _ANY).limit(1).count():  # some rule must meet every URL
+        tokens = tokens.union(places.select("host", "path", F.lit(_ANY)))
     met = tokens.join(index, "token").where(F.expr("rlike(concat(host, path), pattern)"))
     best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("long"), F.col("rule"), F.col("verdict"))).alias("best"))
     verdicts = best.select("host", "path", "best.rule", "best.verdict")

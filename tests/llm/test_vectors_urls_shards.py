@@ -60,14 +60,21 @@ def test_vectors_of_the_rarer_length_and_text_ids(spark):
     assert sorted(map(tuple, out.collect())) == [("a", 1, "a"), ("b", 1, "a"), ("c", 0, "c"), ("d", 1, "d"), ("e", 1, "d")]
 
 
-def judged(url):
+def lowered(host):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+
+
+def judged(url, rules=URL_RULES):
     if url is None or "://" not in url:
         return "", "", None, "allow"
     rest = url.split("://", 1)[1]
     host = re.match(r"[^/?#]*", rest).group()
     path = re.match(r"[^?#]*", rest[len(host) :]).group()
-    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-    fit = [(len(r), r, v) for v, r in URL_RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    host, fit = lowered(host), []
+    for v, r in rules:
+        name, slash, start = r.partition("/")
+        if (host == lowered(name) or host.endswith("." + lowered(name))) and path.startswith(slash + start):
+            fit.append((len(r), r, v))
     return host, path, *(max(fit)[1:] if fit else (None, "allow"))
 
 
@@ -81,6 +88,19 @@ def test_url_rules_by_brute_force(spark):
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark, URL_RULES)).count() == 0
 
 
+def test_url_rules_without_a_token_and_other_spellings(spark):
+    rules = [("block", "localhost"), ("block", "A.com/x"), ("block", "\u00e9\u00e9/\u00fc/"), ("allow", "-/p"), ("block", "_/"), ("block", "(x).net/a+b"), ("block", "b.org/1"), ("allow", "b.org/1")]
+    urls = ["http://localhost/abc", "http://localhost", "http://a.localhost?x", "http://notlocalhost/abc", "http://localhost.com/", "http://a.com/x/y", "http://Q.A.COM/xy", "http://a.com/X", "http://\u00e9\u00e9/\u00fc/", "http://x.\u00e9\u00e9/\u00fc/q",
+            "http://\u00e9\u00e9/\u00fcx", "http://-/pq", "http://_/", "http://(x).net/a+b", "http://(x).net/aab", "http://b.org/12", "http:///localhost", "http://a.com\n/x", "http://y\n.a.com/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.rule_table(spark, rules)).collect())
+    assert got == [(i, *judged(u, rules[:-1])) for i, u in enumerate(urls)]
+    assert [g[4] for g in got[:3]] == ["block"] * 3 and got[5][4] == got[8][4] == "block"
+    for bad in (("block", "/x"), ("", "a.com"), ("block", "")):
+        with pytest.raises(ValueError):
+            url_filter.rule_table(spark, [bad])
+
+
 def test_shards_keep_rows_and_versions(spark, tmp_path):
     table = shards.ShardedTable(spark, f"file://{tmp_path}/t", target_bytes=40_000, unit_bytes=512)
     first = spark.range(0, 3000, 1, 3).selectExpr("id", "cast(id * 7 as string) AS text", "CAST(NULL AS string) AS path", "id AS bytes")
