@@ -5,6 +5,10 @@ into tiers of similar size, takes runs of neighbours whose sizes add up to the t
 rewrites each run as one file. Nothing is changed in place: a manifest lists the shards of
 a version, and a version is committed by renaming its finished manifest to a name that
 must not exist yet. Readers keep the version they opened.
+
+A shard has a place (seq) from its commit and its file's number, so no pass over all of
+the manifest is needed to number arrivals. The driver sees folders, one for each commit,
+and never a list of shards: rows meet the manifest by their file's path.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.runtime import hadoop_path
+from tallyloom.llm.runtime import cut, free, hadoop_path
 
-#: Manifest entries (about 200 bytes each) up to which a merge's plan is broadcast; beyond it the rows are shuffled to it.
+#: Manifest entries (about 200 bytes each) up to which they are broadcast to the rows; beyond it the rows are shuffled to them.
 BROADCAST_ENTRIES = 50_000
 _ENTRY = "path string, bytes long, n_rows long, seq long"
+#: A shard's place: its commit's number, then its file's.
+_COMMIT = 1 << 40
 
 
 class CommitConflict(RuntimeError):
@@ -73,63 +79,81 @@ class ShardedTable:
             raise
         return version
 
-    def _written(self, folder: str, seq: Column, columns: list[str]) -> DataFrame:
-        """Manifest entries of the files in a folder; counts come from the files' footers."""
-        files = self.spark.read.option("recursiveFileLookup", True).parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
-        return files.groupBy("path").agg(F.max("bytes").alias("bytes"), F.count("*").alias("n_rows")).withColumn("seq", seq).select("path", "bytes", "n_rows", "seq")
+    def _written(self, folder: str) -> DataFrame:
+        """path, bytes and n_rows of the files in a folder; counts come from the files' footers."""
+        rows = self.spark.read.option("recursiveFileLookup", True).parquet(folder)
+        meta = rows.metadataColumn("_metadata")
+        files = rows.select(meta["file_path"].alias("path"), meta["file_size"].alias("bytes"))
+        return files.groupBy("path").agg(F.max("bytes").alias("bytes"), F.count("*").alias("n_rows"))
 
     def append(self, rows: DataFrame, rows_per_shard: int) -> int:
         """Write rows as new shards of at most rows_per_shard rows, and commit them.
 
-        An empty frame adds no shard but a version. Column names that Spark tells apart
-        only by case must not be in one frame.
+        An empty frame adds no shard but a version. Columns may have any names but two that
+        Spark tells apart only by case. Nulls, long values and repeated rows are kept as they are.
         """
         version = self.version()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", rows_per_shard).option("compression", "zstd").parquet(folder)
-        old = self.manifest(version)
-        last = old.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        order = F.row_number().over(Window.orderBy("path")).cast("long") + last
-        new = self._written(folder, order, rows.columns).where(F.col("n_rows") > 0)
-        return self._commit(old.union(new), version + 1)
+        part, piece = (F.regexp_extract("path", rf"{mark}(\d+)[^/]*$", 1).cast("long") for mark in ("/part-", "-c"))
+        place = (version + 1) * _COMMIT + part * (1 << 16) + piece
+        new = self._written(folder).where(F.col("n_rows") > 0).withColumn("seq", place)
+        return self._commit(self.manifest(version).union(new.select("path", "bytes", "n_rows", "seq")), version + 1)
 
     def plan(self, version: int) -> DataFrame:
-        """path, bytes, n_rows, seq and run of the shards that the next compaction merges.
+        """path, bytes, n_rows, seq, run and start of the shards that the next compaction merges.
 
         Works on the manifest alone, one small row for each shard. A run is a stretch of
-        one tier, in order of arrival, whose bytes add up to about the target.
+        one tier, in order of arrival, whose bytes add up to about the target; start is the
+        place of its first shard and names it. Sums over a tier are made in two steps, within
+        stretches of the manifest and over the stretches, so that no task holds a whole tier.
         """
         tier = F.greatest(F.lit(0), F.floor(F.log(float(self.base), F.col("bytes") / self.unit))).cast("int")
         small = self.manifest(version).where(F.col("bytes") < self.target / 2).withColumn("tier", tier)
-        in_tier = Window.partitionBy("tier")
-        before = F.coalesce(F.sum("bytes").over(in_tier.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ripe = small.withColumn("shards", F.count("*").over(in_tier)).withColumn("part", F.floor(before / self.target)).where(F.col("shards") >= self.fan_in)
-        run = F.dense_rank().over(Window.orderBy("tier", "part")).cast("int")
-        runs = ripe.withColumn("run", run).withColumn("members", F.count("*").over(Window.partitionBy("tier", "part")))
-        return runs.where(F.col("members") > 1).select("path", "bytes", "n_rows", "seq", "run")
+        small = cut(small.repartitionByRange("tier", "seq").withColumn("stretch", F.spark_partition_id()), "plan")
+        sums = small.groupBy("tier", "stretch").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("shards"))
+        whole = Window.partitionBy("tier")
+        earlier = F.coalesce(F.sum("bytes").over(whole.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.select("tier", "stretch", earlier.alias("earlier"), F.sum("shards").over(whole).alias("in_tier"))  # a row for each task and tier
+        inside = Window.partitionBy("tier", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("bytes").over(inside), F.lit(0))
+        ripe = small.withColumn("before", before).join(sums, ["tier", "stretch"]).where(F.col("in_tier") >= self.fan_in)
+        placed = ripe.withColumn("part", F.floor((F.col("earlier") + F.col("before")) / self.target))
+        runs = Window.partitionBy("tier", "part")  # about a target's bytes
+        placed = placed.withColumn("members", F.count("*").over(runs)).withColumn("start", F.min("seq").over(runs))
+        return placed.where(F.col("members") > 1).select("path", "bytes", "n_rows", "seq", F.concat_ws("-", "tier", "part").alias("run"), "start")
+
+    def _rows(self, entries: DataFrame) -> tuple[DataFrame, str]:
+        """The rows of the entries' files with a struct of path and row number, and that column's name."""
+        folders = [r[0] for r in entries.select(F.regexp_extract("path", r"^(.*/data/[0-9a-f]{32})/", 1)).distinct().collect()]  # one for each commit
+        rows = self.spark.read.option("recursiveFileLookup", True).parquet(*folders)
+        meta, at = rows.metadataColumn("_metadata"), free("_at", rows.columns)
+        return rows.withColumn(at, F.struct(meta["file_path"].alias("path"), meta["row_index"].alias("row"))), at
 
     def compact_once(self) -> bool:
-        """Merge the ripe tiers; False if there are none. Old shards stay for older versions."""
+        """Merge the ripe tiers; False if there are none. Old shards stay for older versions.
+
+        Rows of a merged file stand in the order of their arrival.
+        """
         version = self.version()
-        plan = self.plan(version)
-        chosen = plan.collect()  # manifest entries, one for each shard to merge
-        if not chosen:
+        plan = cut(self.plan(version), "merges")
+        shards, runs = plan.agg(F.count("*"), F.count_distinct("run")).first()
+        if not shards:
             return False
-        entries = self.spark.createDataFrame(chosen, plan.schema)
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows = self.spark.read.parquet(*[r["path"] for r in chosen])
-        columns = rows.columns
-        placed = rows.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias("_shard_path"))
-        runs = entries.select(F.col("path").alias("_shard_path"), F.col("run").alias("_run"))
-        n = max(r["run"] for r in chosen)
-        small = len(chosen) <= BROADCAST_ENTRIES
-        merged = placed.join(F.broadcast(runs) if small else runs, "_shard_path").drop("_shard_path")
+        rows, at = self._rows(plan)
+        columns = [c for c in rows.columns if c != at]
+        path, run, seq = free("_path", rows.columns), free("_run", rows.columns), free("_seq", rows.columns)
+        places = plan.select(F.col("path").alias(path), F.col("run").alias(run), F.col("seq").alias(seq))
+        places = F.broadcast(places) if shards <= BROADCAST_ENTRIES else places
+        placed = rows.join(places, F.col(f"{at}.path") == F.col(path))
         # the rows of a run make one file: they are at most about the target
-        merged.repartitionById(n, F.col("_run") - 1).sortWithinPartitions("_run").write.option("compression", "zstd").partitionBy("_run").parquet(folder)
-        first = entries.groupBy("run").agg(F.min("seq").alias("seq"))
-        made = self._written(folder, F.lit(0).cast("long"), columns).drop("seq").withColumn("run", F.regexp_extract("path", r"_run=(\d+)", 1).cast("int"))
+        dealt = placed.repartition(runs, run).sortWithinPartitions(run, seq, f"{at}.row")
+        dealt.select(*[F.col(f"`{c}`") for c in columns], run).write.option("compression", "zstd").partitionBy(run).parquet(folder)
+        first = plan.select("run", F.col("start").alias("seq")).distinct()
+        made = self._written(folder).withColumn("run", F.regexp_extract("path", rf"/{run}=([^/]+)/", 1))
         new = made.join(first, "run").select("path", "bytes", "n_rows", "seq")
-        kept = self.manifest(version).join(entries, "path", "left_anti")
+        kept = self.manifest(version).join(plan.select("path"), "path", "left_anti")
         self._commit(kept.select("path", "bytes", "n_rows", "seq").union(new), version + 1)
         return True
 
@@ -144,10 +168,15 @@ class ShardedTable:
 
         If all arrivals were empty, an empty frame of their columns; before the first arrival, an error.
         """
-        paths = [r["path"] for r in self.manifest(version).select("path").collect()]
-        if not paths:
-            if not self._versions():
-                raise ValueError("the table has no shard yet")
+        if not self._versions():
+            raise ValueError("the table has no shard yet")
+        entries = self.manifest(version)
+        n = entries.count()
+        if not n:
             arrived = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/data")
             return self.spark.createDataFrame([], arrived.schema)
-        return self.spark.read.parquet(*paths)
+        rows, at = self._rows(entries)
+        columns, path = [F.col(f"`{c}`") for c in rows.columns if c != at], free("_path", rows.columns)
+        live = entries.select(F.col("path").alias(path))
+        live = F.broadcast(live) if n <= BROADCAST_ENTRIES else live
+        return rows.join(live, F.col(f"{at}.path") == F.col(path), "left_semi").select(*columns)

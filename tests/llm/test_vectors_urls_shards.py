@@ -125,6 +125,20 @@ def test_shards_keep_rows_and_versions(spark, tmp_path):
     assert bare.compact() == 1 and bare.read().columns == first.columns and bare.read().count() == 0
 
 
+def test_shards_with_clashing_names_stay_in_order(spark, tmp_path):
+    table = shards.ShardedTable(spark, f"file://{tmp_path}/t", target_bytes=1 << 20, unit_bytes=512)
+    for k in range(5):
+        rows = spark.range(k * 100, k * 100 + 100, 1, 2).selectExpr("id", "id AS _run", "'p' AS _shard_path", "id AS _seq", "'x' AS _path", "'m' AS _metadata", "IF(id % 7 = 0, NULL, 'y') AS `a.b`", "id AS _at")
+        table.append(rows, rows_per_shard=40)
+    whole = sorted(table.read().collect(), key=str)
+    assert len(whole) == 500 and table.read().columns == rows.columns
+    table.compact()
+    (entry,) = table.manifest().collect()
+    assert sorted(table.read().collect(), key=str) == whole
+    assert [r["id"] for r in spark.read.parquet(entry["path"]).coalesce(1).collect()] == list(range(500))
+    assert table.read(2).count() == 200
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
