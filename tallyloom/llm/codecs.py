@@ -1,7 +1,7 @@
 """Memoised whole-text encoding with public tokenizer files.
 
-Both vocabularies cut a text before any merge, and no merge crosses a cut. A text is
-therefore split at white space where a cut is certain, each piece is encoded once by
+The vocabularies known here (KNOWN) cut a text before any merge, and no merge crosses a
+cut. With any other file every text goes to the library whole. A text is otherwise split at white space where a cut is certain, each piece is encoded once by
 the tokenizers library and kept, and a text's ids are its pieces' ids in order. Texts
 in which the library might see more than the pieces (special strings, rare control
 characters) go to the library whole.
@@ -9,6 +9,7 @@ characters) go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -27,6 +28,20 @@ _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: The vocabularies' word patterns (fixed values of their files): white space dropped, or kept with the word after it.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPACED_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The settings of a vocabulary file (all but its tokens and merges) under which pieces may be encoded apart, by whether words are spaced.
+KNOWN = {
+    False: {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": _WORD.pattern}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    },
+    True: {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+}
 #: Letters up to here (Latin, Greek, Cyrillic) are the same in every Unicode version; the library cuts other pieces.
 #: Left out are two letters that Python lowers by their place in a word, or to several characters.
 _PLAIN = re.compile("[\0-\u012f\u0131-\u03a2\u03a4-\u052f]+")
@@ -52,11 +67,15 @@ class PieceCodec(dict):
         self.model = self.tokenizer.model
         self.spaced, self.pattern = spaced, _SPACED_WORD if spaced else _WORD
         self.keep = KEEP // 2 if spaced else KEEP
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        plain = not settings["model"].get("dropout") and not settings.get("truncation") and not settings.get("padding")
+        self.known = plain and settings["model"]["type"] == "BPE" and all(settings.get(k) == v for k, v in KNOWN[spaced].items())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bool:
         """Whether the library must see a text whole."""
-        return any(s in text for s in self.special) or any(s in text for s in _SEPARATORS)
+        return not self.known or any(s in text for s in self.special) or any(s in text for s in _SEPARATORS)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

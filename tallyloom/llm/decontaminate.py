@@ -128,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     id, key (hash of the text, so that rows which share an id stay apart), n_words, n_hit,
     items (ids as strings, sorted). Null and empty texts have no words and no hits; items
     without words match nothing; an empty benchmark hits nothing. Repeated items are each
-    listed; rows of one id and one text give equal rows.
+    listed; rows of one id and one text give equal rows. Other columns are not read.
     """
     plain = _scan(benchmark, [], item_col, item_text_col).select("n_words").distinct()
     lengths = sorted(r[0] for r in plain.where(F.col("n_words").between(1, SPAN - 1)).collect())  # 12 values at most
@@ -139,14 +139,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     scanned = cut(_scan(docs, shapes, id_col, text_col, _bitmap(items)), "fingerprints")
 
     found = scanned.where(F.size("fingerprints") > 0).select("id", "key", F.explode("fingerprints").alias("f")).select("id", "key", "f.*")
-    side = items.select("hash", "need", "item", F.col("left").alias("item_left"), F.col("words").alias("item_words"))
-    met = found.join(side, ["hash", "need"])
+    # items that share a gram with the words about it are one list; a document meets the list, not its items
+    listed = items.groupBy("hash", "need", F.col("left").alias("item_left"), F.col("words").alias("item_words")).agg(F.array_sort(F.collect_set("item")).alias("held"))
+    listed = cut(listed.withColumn("list", F.sha2(F.to_json("held"), 256)), "lists")
+    met = found.join(listed.drop("held"), ["hash", "need"])
     a, b = F.split("words", " "), F.split("item_words", " ")
     before = _run(F.reverse(F.slice(a, F.lit(1), F.col("left"))), F.reverse(F.slice(b, F.lit(1), F.col("item_left"))))
     after = _run(F.slice(a, F.col("left") + 1, F.size(a)), F.slice(b, F.col("item_left") + 1, F.size(b)))
-    runs = met.select("id", "key", "item", "need", (F.col("pos") - before).alias("a"), (F.col("pos") + after).alias("b")).where(F.col("b") - F.col("a") >= F.col("need"))
-    by_span = runs.groupBy("id", "key", "a", "b").agg(F.collect_set("item").alias("items"))
-    hits = by_span.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    runs = met.select("id", "key", "list", "need", (F.col("pos") - before).alias("a"), (F.col("pos") + after).alias("b")).where(F.col("b") - F.col("a") >= F.col("need"))
+    spans, lists = F.array_sort(F.collect_set(F.struct("a", "b"))), F.array_sort(F.collect_set("list"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate(
         "spans",
@@ -154,7 +155,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")),
         lambda s: s["n"],
     )
-    hits = hits.select("id", "key", covered.alias("n_hit"), "items")
+    by_text = runs.groupBy("id", "key").agg(spans.alias("spans"), lists.alias("lists"))
+    by_text = cut(by_text.select("id", "key", covered.alias("n_hit"), "lists", F.sha2(F.array_join("lists", ","), 256).alias("sets")), "hits")
+    # items are gathered once for each combination of lists
+    named = by_text.groupBy("sets").agg(F.first("lists").alias("lists")).select("sets", F.explode("lists").alias("list"))
+    whole = named.join(listed.select("list", "held").dropDuplicates(["list"]), "list").groupBy("sets").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("items"))
+    hits = by_text.join(whole, "sets").select("id", "key", "n_hit", "items")
 
     base, hit = scanned.select("id", "key", "n_words").alias("d"), hits.alias("h")
     on = F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.key") == F.col("h.key"))

@@ -9,10 +9,13 @@ How the work is spread. Equal sets are one class. The same bound says that the s
 linked pair differ in at most r shingles, with r from their sizes; hashed into more than r
 groups they agree in some group entirely. Classes that agree in a group of a size level
 (linked sets share a level) are joined into candidate clusters of that level, streaming,
-by a hub for each group, and each cluster's sets meet in tasks of bounded size: clusters beyond it are dealt into blocks,
-and every pair of blocks is a task. A task builds the tree over its points, skips pairs
-that are connected already and returns at most one link for each point. No pair of
-linked classes is missed, and no group of copies is ever written out pair by pair.
+by a hub for each group. The trees are built over blocks of a cluster, in tasks of bounded
+size, and return at most one link for each point. A cluster beyond a block meets in rounds:
+its blocks apart; then, again and again, one representative of each component found so far;
+in the end every member outside the cluster's largest component against all others, block
+by block. Members that are connected already are not copied, so a large group of copies
+costs a few passes over it and not its blocks squared. No pair of linked classes is missed,
+and no group of copies is ever written out pair by pair.
 """
 
 from __future__ import annotations
@@ -22,15 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textbytes
 from tallyloom.llm.components import components
 from tallyloom.llm.runtime import cut
 
-#: Bounds of a block: classes, and shingles in all their sets (32 MB of hashes).
-BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 1 << 22
+#: Bounds of a block: classes, and shingles in all their sets (8 MB of hashes), but for a single larger set.
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 20
 #: Clusters beyond a block (12 bytes each) up to which their table is broadcast; a longer one is joined by a shuffle.
 BROADCAST_CLUSTERS = 100_000
 #: Groups beyond those that the bound needs: a class with no more empty groups than this needs none of them.
@@ -195,22 +198,27 @@ def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
     return rule.over * both >= rule.share * (len(a) + len(b) - both)
 
 
-def join_block(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+def join_block(sets: list[np.ndarray], side: np.ndarray, rule: Rule, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what all linked pairs of a block connect.
 
     side: 0 and 1 for the two blocks of a task, whose own pairs other tasks see; one
-    block alone has side 0 only, and all its pairs count.
+    block alone has side 0 only, and all its pairs count. known: numbers of components that
+    are connected already; a pair within one is skipped.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    if len(sets) == 2:
-        return [(1, 0)] if (side[0] != side[1] or not side.any()) and linked(sets[0], sets[1], rule) else []
     order = np.argsort(sizes, kind="stable")
     sets, side, sizes = [sets[i] for i in order], side[order], sizes[order]
     wide = 16
     while wide < 512 and 8 * wide < int(np.median(sizes)):
         wide *= 2
     counts = np.stack([np.bincount((s >> np.uint64(40)).astype(np.int64) % wide, minlength=wide) for s in sets]).astype(np.int32)
-    tree, root, links, cross = CountTree(counts, sizes), np.arange(len(sets)), [], bool(side.any())
+    cross = bool(side.any())
+    if len(sets) == 2:  # a tree of one leaf: the bound, then the sets
+        apart = (not cross or side[0] != side[1]) and (known is None or known[0] != known[1])
+        near = apart and np.minimum(counts[0], counts[1]).sum() >= rule.needed(int(sizes.sum()))
+        return [(1, 0)] if near and linked(sets[0], sets[1], rule) else []
+    tree, links = CountTree(counts, sizes), []
+    root = np.arange(len(sets)) if known is None else np.unique(known[order], return_inverse=True)[1]
     # shingles as small numbers, so that one set is compared with many by marking its own
     codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
     mark = np.zeros(int(max(c.max() for c in codes)) + 1, bool)
@@ -277,69 +285,133 @@ def _candidates(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     return rows.withColumn("a", hub).where(F.col("a") != F.col("h")).select("a", F.col("h").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, members: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) of set names; members: id, key, n, h, cluster, a row for each class and level."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    # members meet only the clusters beyond a block, so that no cluster gathers its members in a task
-    large = cut(sizes.select("cluster", blocks.alias("blocks")).where(F.col("blocks") > 1), "large")
-    few = large.count() <= BROADCAST_CLUSTERS
-    placed = members.join(F.broadcast(large) if few else large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod("h", "blocks").cast("int"))
+def _blocks(classes: Column, shingles: Column) -> Column:
+    """How many blocks so many classes with so many shingles take."""
+    return F.greatest(F.ceil(classes / BLOCK_CLASSES), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _compared(docs: DataFrame, tiles: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) of set names, a task for each (cluster, i, j).
+
+    tiles: h, id, key, known (component), cluster, and places, an array of (i, j, side) to which the set goes.
+    """
     rows = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
-    met = rows.join(placed, (F.col("row_key") == F.col("key")) & F.col("row_id").eqNullSafe(F.col("id"))).select("h", "cluster", "blocks", "block", "text")
+    met = rows.join(tiles, (F.col("row_key") == F.col("key")) & F.col("row_id").eqNullSafe(F.col("id"))).select("h", "known", "cluster", "places", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             data = [s.tobytes() for s in shingle_sets(batch["text"].tolist(), rule.k)]
             yield batch.drop(columns="text").assign(data=data)
 
-    held = met.mapInPandas(sets, "h long, cluster long, blocks int, block int, data binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = held.select("h", "cluster", "block", "data", other).select(
-        "h", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "data"
-    )
+    held = met.mapInPandas(sets, "h long, known long, cluster long, places array<struct<i:int,j:int,side:int>>, data binary")
+    spread = held.select("h", "known", "cluster", F.explode("places").alias("at"), "data").select("h", "known", "cluster", "at.*", "data")
 
-    def links(key: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+    def links(held: list[tuple]) -> list[tuple[int, int]]:
         held = list({r[0]: r for r in held}.values())  # rows of one id and one text may repeat
-        found = join_block([np.frombuffer(r[2], np.uint64) for r in held], np.array([r[1] for r in held]), rule)
+        if len(held) < 2:
+            return []
+        found = join_block([np.frombuffer(r[3], np.uint64) for r in held], np.array([r[2] for r in held]), rule, np.array([r[1] for r in held]))
         return [(held[a][0], held[b][0]) for a, b in found]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held, out = None, [], []
         for batch in batches:
-            for h, cluster, i, j, side, data in batch[["h", "cluster", "i", "j", "side", "data"]].itertuples(index=False, name=None):
+            for h, known, cluster, i, j, side, data in batch[["h", "known", "cluster", "i", "j", "side", "data"]].itertuples(index=False, name=None):
                 if (cluster, i, j) != key:
-                    if len(held) > 1:
-                        out += links(key, held)
+                    out += links(held)
                     key, held = (cluster, i, j), []
-                held.append((h, side, data))
+                held.append((h, known, side, data))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []
-        if len(held) > 1:
-            yield pd.DataFrame(links(key, held), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(links(held), columns=["a", "b"], dtype="int64")
+
+    return spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(run, "a long, b long")
+
 
-    dealt = tiles.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return dealt.mapInPandas(run, "a long, b long")
+def _place(i: Column, j: Column, side: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+
+def _with_roots(frame: DataFrame, roots: DataFrame, on: str) -> DataFrame:
+    """frame with the column on replaced by the component that it is in, if it is in one."""
+    return frame.join(roots.toDF(on, "_root"), on, "left").withColumn(on, F.coalesce("_root", on)).drop("_root")
+
+
+def _roots(docs: DataFrame, members: DataFrame, rule: Rule, id_col: str, text_col: str) -> list[DataFrame]:
+    """Tables (h, root), to be followed one after the other: first sets to components, then components to larger ones.
+
+    members: id, key, n, h, cluster, a row for each class and level.
+    """
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    # members meet only the clusters beyond a block, so that no cluster gathers its members in a task
+    large = cut(sizes.select("cluster", _blocks(F.col("classes"), F.col("shingles")).alias("blocks")).where(F.col("blocks") > 1), "large")
+    n_large = large.count()
+    few = n_large <= BROADCAST_CLUSTERS
+    placed = members.join(F.broadcast(large) if few else large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod("h", "blocks"))
+    alone = placed.select("h", "id", "key", F.col("h").alias("known"), "cluster", F.array(_place(F.col("block"), F.col("block"), F.lit(0))).alias("places"))
+    out = [components(_compared(docs, alone, rule, id_col, text_col)).toDF("h", "root")]
+    if not n_large:
+        return out
+    inside = placed.where(F.col("blocks") > 1).select("cluster", "h", "id", "key", "n", F.col("h").alias("root"))
+    inside = cut(_with_roots(inside, out[0], "root"), "inside")
+
+    def joined(tiles: DataFrame) -> DataFrame | None:
+        """Compares, and puts the components that grew together behind the others; None if none did."""
+        nonlocal inside
+        links = cut(_compared(docs, tiles, rule, id_col, text_col), "links")
+        if not links.limit(1).count():
+            return None
+        root_of = inside.select("h", "root").distinct()
+        edges = links.join(root_of.toDF("a", "x"), "a").join(root_of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        out.append(components(edges).toDF("h", "root"))
+        inside = cut(_with_roots(inside, out[-1], "root"), "inside")
+        return inside
+
+    while True:  # one representative of each component, as long as blocks of them find links
+        first = inside.groupBy("cluster", "root").agg(F.min(F.struct("h", "id", "key", "n")).alias("r")).select("cluster", "root", "r.*")
+        counts = first.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).where(F.col("classes") > 1)
+        counts = cut(counts.select("cluster", _blocks(F.col("classes"), F.col("shingles")).alias("blocks")), "counts")
+        dealt = first.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("h", F.lit(len(out))), F.col("blocks")))
+        tiles = dealt.select("h", "id", "key", F.col("root").alias("known"), "cluster", F.array(_place(F.col("block"), F.col("block"), F.lit(0))).alias("places"))
+        more = counts.agg(F.max("blocks")).first()[0]
+        if more is None or joined(tiles) is None or more == 1:
+            break
+
+    # what is left: members outside the largest component of their cluster meet all others of it
+    sums = inside.groupBy("cluster", "root").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    tops = sums.groupBy("cluster").agg(F.max_by("root", F.struct("classes", "root")).alias("top"), F.max(F.struct("classes", "root", "shingles")).alias("t"), F.sum("classes").alias("classes"), F.sum("shingles").alias("shingles"))
+    rest = F.col("classes") - F.col("t.classes"), F.col("shingles") - F.col("t.shingles")
+    odd = cut(tops.where(rest[0] > 0).select("cluster", "top", _blocks(2 * rest[0], 2 * rest[1]).alias("odd"), _blocks(2 * F.col("t.classes"), 2 * F.col("t.shingles")).alias("even")), "odd")
+    if odd.limit(1).count():
+        is_odd = F.col("root") != F.col("top")
+        block = F.when(is_odd, F.pmod("h", "odd")).otherwise(F.col("odd") + F.pmod("h", "even"))
+        last = F.when(is_odd, F.col("odd") + F.col("even") - 1).otherwise(F.col("odd") - 1)
+        places = F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda other: _place(F.least("block", other), F.greatest("block", other), F.col("block") > other))
+        joined(inside.join(odd, "cluster").withColumn("block", block.cast("long")).select("h", "id", "key", F.col("root").alias("known"), "cluster", places.alias("places")))
+    return out
 
 
 def jaccard_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id, key (of the text), n_shingles, component_id.
+    """One row per document row: id, key (of the text), n_shingles, component_id, root.
 
-    component_id is the least id reachable over links. Null texts and texts without words
-    have an empty set and stand alone, under their own id. Rows of equal sets are one
-    class; a null id never names a component unless all of its rows have null.
+    component_id is the least id reachable over links, root a number of the component (null
+    for empty sets). Null texts and texts without words have an empty set and stand alone,
+    under their own id. Rows of equal sets are one class; a null id never names a component
+    unless all of its rows have null. Whole texts are read, whatever their length; other
+    columns are not. An empty table gives no rows.
     """
     named = cut(_named(docs, rule, id_col, text_col), "sets")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n", "nodes"))
     classes = cut(named.where(F.col("n") > 0).groupBy("h").agg(first.alias("r")).select("h", "r.id", "r.key", "r.n", "r.nodes"), "classes")
     clusters = components(_candidates(docs, rule, text_col)).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
-    members = classes.select("h", "id", "key", "n", F.explode("nodes").alias("node")).join(clusters, "node").drop("node")
-    links = _verified(docs, members, rule, id_col, text_col)
-    roots = components(links).select(F.col("id").alias("h"), F.col("component").alias("root"))
-    found = classes.join(roots, "h", "left").select("h", "id", F.coalesce("root", "h").alias("root"))
-    least = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id"))
-    by_class = found.join(least, "root").select("h", "component_id")
-    full = named.where(F.col("n") > 0).join(by_class, "h").select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), "component_id")
-    empty = named.where(F.col("n") == 0).select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    members = cut(classes.select("h", "id", "key", "n", F.explode("nodes").alias("node")).join(clusters, "node").drop("node"), "members")
+    found = classes.select("h", "id", F.col("h").alias("root"))
+    for roots in _roots(docs, members, rule, id_col, text_col):
+        found = _with_roots(found, roots, "root")
+    found = cut(found, "roots")
+    least = found.groupBy("root").agg(F.min("id").alias("component_id"))
+    by_class = found.join(least, "root").select("h", "root", "component_id")
+    full = named.where(F.col("n") > 0).join(by_class, "h").select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), "component_id", "root")
+    empty = named.where(F.col("n") == 0).select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.union(empty)

@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textbytes
+from tallyloom.llm.language_id import passage
 
 #: Gram lengths in bytes; a gram counts once a text. Bytes that are not of words are spaces.
 GRAMS = (5, 6)
-#: Bounds of the training sample (texts of each kind, bytes of one) and of the grams used.
-POSITIVES, UNLABELLED, SAMPLE_BYTES, FEATURES = 1500, 3000, 16_384, 768
+#: Bounds of the training sample (texts of each kind, characters of one; of longer ones a passage) and of the grams used.
+POSITIVES, UNLABELLED, SAMPLE_CHARS, FEATURES = 1500, 3000, 16_384, 768
 #: A gram is used from so many positives, and so many deviations beyond the rate of the unlabelled.
 LEAST, EXCESS = 8, 9.0
 _FILTER = 1 << 20
@@ -92,6 +93,30 @@ def choose_grams(positive: list[str], unlabelled: list[str]) -> np.ndarray:
     return np.sort(g[best[excess[best] > EXCESS]])
 
 
+def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the risk at theta (weights, then bias) with the logistic loss, and their gradients.
+
+    xp, xu: presence of the grams in the positive and the unlabelled texts. The first part
+    is that of the positives, the second the estimate of the negatives', which may be below zero.
+    """
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    loss = lambda z: np.logaddexp(0, -z)
+    w = theta[:-1].astype(xp.dtype)
+    zp, zu = xp @ w + theta[-1], xu @ w + theta[-1]
+
+    def back(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ d.astype(x.dtype), d.sum())
+
+    positive, up = prior * loss(zp).mean(), prior * back(xp, -sig(-zp) / len(zp))
+    negative, down = loss(-zu).mean() - prior * loss(-zp).mean(), back(xu, sig(zu) / len(zu)) - prior * back(xp, sig(zp) / len(zp))
+    return float(positive), float(negative), up, down
+
+
+def direction(positive_up: np.ndarray, negative: float, down: np.ndarray) -> np.ndarray:
+    """What a step descends: both parts, or, where the negatives' part fell below zero, that part upwards."""
+    return positive_up + down if negative >= 0 else -down
+
+
 def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 5e-5) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss.
 
@@ -116,19 +141,9 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     theta = np.zeros(n + 1)
     theta[-1] = model.bias
     m, v = np.zeros(n + 1), np.zeros(n + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: np.logaddexp(0, -z)
-
-    def back(x: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return np.append(x.T @ d.astype(np.float32), d.sum())
-
     for step in range(1, steps + 1):
-        w = theta[:-1].astype(np.float32)
-        zp, zu = xp @ w + theta[-1], xu @ w + theta[-1]
-        negative = loss(-zu).mean() - prior * loss(-zp).mean()
-        down = back(xu, sig(zu) / len(zu)) - prior * back(xp, sig(zp) / len(zp))
-        grad = prior * back(xp, -sig(-zp) / len(zp)) + down if negative >= 0 else -down
-        grad += decay * np.append(theta[:-1], 0)
+        _, negative, up, down = risk(theta, xp, xu, prior)
+        grad = direction(up, negative, down) + decay * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(model.grams, theta[:-1], float(theta[-1]))
@@ -142,17 +157,19 @@ def fold(id_col: str, folds: int, held: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on rows of docs for which learn holds.
 
-    Positives are rows with label 1; the unlabelled sample is drawn from all rows, whatever
-    their label; the prior is the share of 1 among the labelled. The sample is bounded: up
-    to POSITIVES and UNLABELLED texts of at most SAMPLE_BYTES bytes, chosen by a hash.
+    Positives are rows with label 1 (an id with several labels has the greatest; null labels
+    do not count); the unlabelled sample is drawn from all rows, whatever their label; the
+    prior is the share of 1 among the labelled. The sample is bounded: up to POSITIVES and
+    UNLABELLED different texts chosen by a hash, of each at most SAMPLE_CHARS characters in one passage.
     """
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("mark_id")).agg(F.max(label_col).alias("mark"))
-    # texts stay where they are: only ids, hashes and sizes meet the labels
-    keys = docs.where(learn).select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("bytes"), F.xxhash64(id_col, text_col).alias("h"))
+    # texts stay where they are: only ids and hashes meet the labels
+    keys = docs.where(learn).select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col) > 0, F.lit(False)).alias("fits"), F.xxhash64(id_col, text_col).alias("h"))
     marked = F.coalesce(F.col("mark") == 1, F.lit(False))
-    held = keys.join(marks, F.col("id") == F.col("mark_id"), "left").select("id", "h", marked.alias("toxic"), F.col("mark").isNotNull().alias("labelled"), F.col("bytes").between(1, SAMPLE_BYTES).alias("fits"))
-    fits, toxic = F.coalesce("fits", F.lit(False)), F.col("toxic")
-    n, n_toxic, all_toxic, all_rows = held.agg(F.count_if("labelled"), F.count_if(toxic), F.count_if(toxic & fits), F.count_if(fits)).first()
+    held = keys.join(marks, F.col("id") == F.col("mark_id"), "left").select("id", "h", marked.alias("toxic"), F.col("mark").isNotNull().alias("labelled"), "fits")
+    fits, toxic = F.col("fits"), F.col("toxic")
+    distinct = lambda which: F.approx_count_distinct(F.when(which, F.col("h")))
+    n, n_toxic, all_toxic, all_rows = held.agg(F.count_if("labelled"), F.count_if(toxic), distinct(toxic & fits), distinct(fits)).first()
 
     def drawn(bits: Column, most: int, of: int) -> Column:
         """Rows whose hash bits fall under the share that gives about most of them."""
@@ -162,14 +179,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     picked = flags.where(F.col("p") | F.col("u")).distinct().toDF("pick_id", "pick_h", "p", "u")  # about POSITIVES + UNLABELLED rows
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
     met = texts.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("h") == F.col("pick_h")))
-    rows = sorted(met.select("h", "text", "p", "u").collect())
+    once = met.dropDuplicates(["h"]).select("h", passage(F.col("text"), SAMPLE_CHARS, F.shiftright("h", 40)).alias("text"), "p", "u")
+    rows = sorted(once.collect())
     positive = list(dict.fromkeys(r["text"] for r in rows if r["p"]))[:POSITIVES]  # a text counts once
     unlabelled = list(dict.fromkeys(r["text"] for r in rows if r["u"]))[:UNLABELLED]
     return train(positive, unlabelled, n_toxic / n if n else 0.0)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column of scores in 0..1; null and empty texts get the bias's score."""
+    """docs with a column of scores in 0..1 named by out, which replaces one of that name.
+
+    Null and empty texts get the bias's score; the text alone decides, so repeated rows get
+    equal scores; texts of any length are read whole. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.grams, model.weights, model.bias))
 
     @F.pandas_udf("double")

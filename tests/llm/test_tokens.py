@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -77,11 +79,45 @@ def test_store_round_trip(spark, docs, tmp_path):
     assert token_store.read_token_store(spark, empty).count() == 0
 
 
+def test_store_of_any_ids_and_its_places(spark, tmp_path):
+    library, out = Tokenizer.from_file(WORD), f"file://{tmp_path}/named"
+    rows = [(f"d{i:02d}", f"the cat {i} sat on the mat " * (i % 4)) for i in range(30)] + [(None, "null id"), ("d03", "again the")]
+    token_store.write_token_store(spark.createDataFrame(rows, "name string, body string"), out, WORD, end_id=2, parts=3, shard_tokens=60, id_col="name", text_col="body")
+    got = token_store.read_token_store(spark, out, id_col="name").orderBy("start").collect()
+    assert [r["name"] for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
+    by_text = {crc(library.encode(t, add_special_tokens=False).ids + [2]): library.encode(t, add_special_tokens=False).ids + [2] for _, t in rows}
+    stream = [x for r in got for x in by_text[r["ids_crc32"]]]
+    the, cat = (library.encode(w, add_special_tokens=False).ids[0] for w in ("the", "cat"))
+    found = token_store.token_occurrences(spark, out, [the, cat, 49_000, -1]).collect()
+    for token in (the, cat):
+        mine = sorted((r for r in found if r["token"] == token), key=lambda r: r["shard_no"])
+        assert [p for r in mine for p in r["places"]] == [i for i, x in enumerate(stream) if x == token]
+        assert all(r["n"] == len(r["places"]) for r in mine)
+    assert {r["token"] for r in found} <= {the, cat, 49_000}
+    assert token_store.token_occurrences(spark, out, [the], places=False).where("places IS NOT NULL").count() == 0
+    asked = [0, 5, len(stream) - 1, len(stream), -1, None, 5]
+    at = token_store.tokens_at(spark.createDataFrame([(p, "x") for p in asked], "place long, token string"), out).collect()
+    assert sorted(((r["place"], r["token_"]) for r in at), key=str) == sorted(((p, stream[p] if p is not None and 0 <= p < len(stream) else None) for p in asked), key=str)
+    tiny = f"file://{tmp_path}/extreme"
+    token_store.write_token_store(spark.createDataFrame([(-(2**63), "a"), (None, "b"), (2**63 - 1, "c")], "doc_id long, text string"), tiny, WORD, end_id=2, parts=2)
+    assert [r["doc_id"] for r in token_store.read_token_store(spark, tiny).orderBy("start").collect()] == [None, -(2**63), 2**63 - 1]
+
+
+def test_other_vocabulary_files_go_to_the_library_whole(tmp_path):
+    settings_ = json.loads(Path(WORD).read_text())
+    settings_["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings_))
+    assert codec(WORD, False).known and codec(BYTE, True).known and not codec(str(other), False).known and not codec(WORD, True).known
+    for text in ("Hello World", "a  b\n\u00c9"):
+        assert np.frombuffer(codec(str(other), False).encode(text), "<u4").tolist() == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("top", [1, 2, 700, 49_407, 70_000])
 def test_shard_rank_select_access(top):
     rng = np.random.default_rng(top)
     ids = (rng.integers(0, top + 1, 3000) // rng.integers(1, 5, 3000)).astype(np.uint32)
-    shard = token_store.Shard(token_store.encode_shard(ids, np.array([4, 9]), np.array([1000, 3000])))
+    shard = token_store.Shard(token_store.encode_shard(ids, np.array([1000, 3000])))
     assert (shard.decode() == ids).all()
     assert [shard.access(i) for i in range(0, 3000, 97)] == ids[::97].tolist()
     for token in {int(ids[0]), int(ids[-1]), int(ids.max()), top}:
