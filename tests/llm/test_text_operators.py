@@ -96,7 +96,7 @@ def test_jaccard_join_by_brute_force(spark, monkeypatch, k, share, blocks):
         for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
             w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
         docs.append((i, " ".join(w)))
-    docs += [(8, docs[9][1]), (None, docs[10][1]), (9, docs[10][1])]
+    docs += [(8, docs[9][1]), (None, docs[10][1]), (9, docs[10][1]), (901, "x a\0b y"), (902, "x a b y"), (903, "\0 q"), (904, "\0 Q")]
     rule = ngram_join.Rule(k=k, share=share, over=100)
     out = ngram_join.jaccard_components(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n string"), rule)
     order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
@@ -161,6 +161,94 @@ def test_languages(spark):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def kept_bytes(text):
+    return bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode().translate(LOWER))
+
+
+def grams_of(text):
+    data = kept_bytes(text)
+    return {data[i : i + n] for n in language_id.GRAMS for i in range(len(data) - n + 1)}
+
+
+def test_language_kernel_and_ridge_are_those_of_the_definition(monkeypatch):
+    monkeypatch.setattr(language_id, "MATRIX_TEXTS", 7)
+    rng = random.Random(9)
+    texts = [text_in(k, rng, rng.randint(3, 20)) + rng.choice(["", " 12!", "\u00e9"]) for k in rng.choices(list(SYLLABLES), k=40)]
+    labels = [rng.choice(["x", "y", "z"]) for _ in texts]
+    model = language_id.train(texts, labels, ridge=1e-2)
+    chosen = [t for k in "xyz" for t, lab in zip(texts, labels) if lab == k][: 3 * language_id.LANDMARKS]
+    marks = [grams_of(t) for t in chosen]
+    known = set().union(*marks)
+    new = [*texts, "", "q w \0 e", text_in("bb", rng, 400)]
+    own = [grams_of(t.replace("\0", " ")) & known for t in new]
+    want = np.array([[len(a & b) / max(1, len(a)) ** 0.5 / max(1, len(b)) ** 0.5 for b in marks] for a in own])
+    assert np.allclose(np.concatenate([model.kernel(p) for _, _, p in model.presence(new)]), want, atol=1e-5)
+    # Nystroem with all training texts as landmarks is the dense kernel ridge system
+    kernel, y = want[: len(texts)], np.array(labels)
+    w = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(w)
+    good = values > 1e-6 * values.max()
+    phi = kernel @ (vectors[:, good] / np.sqrt(values[good]))
+    weight = np.array([1 / (y == k).sum() for k in y])
+    for c, k in enumerate("xyz"):
+        t = np.where(y == k, 1.0, -1.0)
+        dual = np.linalg.solve(phi @ phi.T + 1e-2 * np.diag(1 / weight), t)
+        assert np.allclose(kernel @ model.weights[:, c], phi @ phi.T @ dual, atol=2e-2)
+
+
+def test_languages_of_long_texts_and_repeats_are_learned(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = [(i, text_in("aa", rng), "aa", 1) for i in range(30)] + [(100 + i, text_in("bb", rng, 2000), "bb", 1) for i in range(20)] + [(500, "qqq vvv", "cc", 1)] * 400
+    rows += [(600, text_in("cc", rng), "cc", 1) for _ in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _language int")
+    seen: list = []
+    train = language_id.train
+    monkeypatch.setattr(language_id, "train", lambda texts, labels: seen.append((texts, labels)) or train(texts, labels))
+    model = language_id.fit(docs, toxicity.fold("doc_id", 1, 0))
+    texts, labels = seen[0]
+    assert model.languages == ["aa", "bb", "cc"] and texts.count("qqq vvv") == 1
+    assert max(map(len, texts)) <= language_id.SAMPLE_CHARS
+    got = language_id.identify(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "_language", "lang_pred", "score"]
+    assert got.where("lang_pred <> lang").count() == 0
+
+
+def test_toxicity_risk_and_its_gradient():
+    rng = np.random.default_rng(5)
+    xp, xu, prior = (rng.random((20, 6)) < 0.5).astype(float), (rng.random((50, 6)) < 0.3).astype(float), 0.3
+    branches = set()
+    for scale in (0.1, 1.0, 4.0):
+        for _ in range(6):
+            theta = rng.normal(size=7) * scale
+            z = lambda x: x @ theta[:-1] + theta[-1]  # noqa: B023, E731
+            loss = lambda v: np.log(1 + np.exp(-v))
+            up, neg, up_grad, down = toxicity.risk(theta, xp, xu, prior)
+            assert np.isclose(up, prior * loss(z(xp)).mean()) and np.isclose(neg, loss(-z(xu)).mean() - prior * loss(-z(xp)).mean())
+            near = [toxicity.risk(theta + h * e, xp, xu, prior)[:2] for e in np.eye(7) for h in (1e-5, -1e-5)]
+            assert np.allclose(up_grad, [(near[2 * i][0] - near[2 * i + 1][0]) / 2e-5 for i in range(7)], atol=1e-5)
+            assert np.allclose(down, [(near[2 * i][1] - near[2 * i + 1][1]) / 2e-5 for i in range(7)], atol=1e-5)
+            branches.add(neg >= 0)
+            step = toxicity.direction(up_grad, neg, down)
+            assert np.allclose(step, up_grad + down if neg >= 0 else -down)
+    strong = np.zeros(7)
+    strong[-1] = -9.0  # everything is called negative: the unlabelled cost nothing, the positives as negatives nothing
+    theta = np.array([8.0] * 6 + [-1.0])
+    apart = toxicity.risk(theta, np.ones((5, 6)), np.zeros((5, 6)), 0.9)
+    branches.add(apart[1] >= 0)
+    assert branches == {True, False}
+
+
+def test_toxicity_sample_holds_a_text_once(spark, monkeypatch):
+    seen: list = []
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior: seen.append((p, u, prior)))
+    rows = [(1, "same words here")] * 300 + [(i, f"text number {i}") for i in range(2, 40)] + [(50, "long " * 9000), (51, None), (52, "")]
+    labels = [(1, 1), (2, 1), (2, 0), (3, 0), (50, 1), (None, 1)]
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), ~toxicity.fold("doc_id", 3, 9))
+    positive, unlabelled, prior = seen[0]
+    assert sorted(t[:15] for t in positive if "long" not in t) == ["same words here", "text number 2"] and len(positive) == 3 and max(map(len, positive)) == toxicity.SAMPLE_CHARS
+    assert len(unlabelled) == len(set(unlabelled)) == 40 and prior > 0.9
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     rows, labels = [], []

@@ -181,3 +181,30 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "ngram_join":
             assert docs.groupBy("doc_id").count().where("count > 1").count() == 0
     assert out.select("doc_id").distinct().count() == docs.count() > 0
+
+
+def test_near_duplicates_keep_one_row_whatever_the_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w7 ", "v7 ")
+    rows = [(5, long), (5, near), (5, long), (None, near + " more"), (None, long), (8, "alone here is a text"), (None, "another text that is alone"), (None, "another text that is alone"), (9, None), (9, None), (9, ""), (2, "q"), (3, "q")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _key int, gone_id int, root int")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    left = sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str)
+    first = [r for r in left if r[1] and r[1].startswith("w0")]
+    assert len(first) == 1 and first[0][0] == 5
+    assert [r for r in left if r not in first] == sorted([(8, "alone here is a text"), (None, "another text that is alone"), (9, None), (9, None), (9, ""), (2, "q")], key=str)
+
+
+def test_language_stage_uses_the_prediction(spark, monkeypatch):
+    rows = [(i, f"the cat and the dog number {i} were there with them", "en") for i in range(40)] + [(100 + i, f"der hund und die katze nummer {i} sind nicht hier", "de") for i in range(40)]
+    rows += [(200, "12 34", "en"), (201, None, "de"), (None, "the dog and the cat were there", None)]
+    docs = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, lang string, score double")
+    assert corpus_pipeline.language(spark, docs, "").count() == 81
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("en",))
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns and got.count() == 41 and got.where("lang = 'de'").count() == 0
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.01)
+    assert corpus_pipeline.language(spark, docs, "").count() == 0
+    bare = docs.withColumn("lang", docs["lang"].substr(9, 1)).where("lang IS NULL")
+    assert corpus_pipeline.language(spark, bare, "").count() == 1  # nothing could be learned: the letters decide
