@@ -32,8 +32,8 @@ from tallyloom.llm import textbytes
 from tallyloom.llm.components import components
 from tallyloom.llm.runtime import cut
 
-#: Bounds of a block: classes, and shingles in all their sets (8 MB of hashes), but for a single larger set.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 20
+#: Bounds of a block: classes, and shingles in all their sets (32 MB of hashes), but for a single larger set.
+BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 1 << 22
 #: Clusters beyond a block (12 bytes each) up to which their table is broadcast; a longer one is joined by a shuffle.
 BROADCAST_CLUSTERS = 100_000
 #: Groups beyond those that the bound needs: a class with no more empty groups than this needs none of them.
