@@ -62,7 +62,7 @@ def agg_25_summed_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT bank_name, transaction_channel AS grp, count(*) AS n, round(sum(amount), 2) AS total, max(amount) AS top, round(avg(balance), 6) AS mean_balance FROM txn GROUP BY 1, 2 HAVING count(*) >= 2 AND round(sum(amount), 2) >= 100000")
-def agg_31_35_group_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg_35_group_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = transactions(spark, sf_dir).groupBy("bank_name", F.col("transaction_channel").alias("grp"))
     return g.agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"), F.max("amount").alias("top"), F.round(F.avg("balance"), 6).alias("mean_balance")).where("n >= 2 AND total >= 100000")
 
@@ -104,14 +104,14 @@ def sca_9_columns_to_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT seq, CASE WHEN transaction_channel = 'cash_withdrawl' THEN false WHEN transaction_type = 'debit' AND regexp_matches(transaction_note, '(?i)transfer.*[05]/[0-9]+$') THEN true ELSE false END AS is_lender, CASE WHEN transaction_type = 'debit' THEN 'loan' ELSE 'disbursal' END || '_' || transaction_channel AS kind FROM txn")
-def sca_34_36_lenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lender_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     debit = F.col("transaction_type") == "debit"
     lender = (F.col("transaction_channel") != "cash_withdrawl") & debit & F.col("transaction_note").rlike("(?i)transfer.*[05]/[0-9]+$")
     return transactions(spark, sf_dir).select("seq", lender.alias("is_lender"), F.concat(F.when(debit, "loan").otherwise("disbursal"), F.lit("_"), "transaction_channel").alias("kind"))
 
 
 @query("SELECT c_custkey, regexp_matches(c_name, '(?i)ltd|customer#0+5') AS is_company, trim(coalesce(c_name, '')) = '' AS continues FROM customer", txn=False)
-def sca_45_46_61_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sca_46_company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").rlike("(?i)ltd|customer#0+5").alias("is_company"), (F.trim(F.coalesce("c_name", F.lit(""))) == "").alias("continues"))
 
 
@@ -124,7 +124,7 @@ def bnk_7_8_edges_and_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT seq, first_value(CASE WHEN transaction_channel = 'upi' THEN date END IGNORE NULLS) OVER (PARTITION BY account_id ORDER BY date, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_date FROM txn")
-def bnk_9_10_11_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dates_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     ahead = F.first(F.when(F.col("transaction_channel") == "upi", F.col("date")), ignorenulls=True).over(by_account().rowsBetween(0, Window.unboundedFollowing))
     return transactions(spark, sf_dir).select("seq", ahead.alias("next_date"))
 
@@ -142,7 +142,7 @@ def bnk_16_23_feed_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT seq, CASE WHEN lower(bank_name) = 'building' THEN 'Housing' WHEN contains(lower(bank_name), 'mach') THEN 'Industry' ELSE bank_name END AS mapped, dense_rank() OVER (ORDER BY bank_name) AS group_no FROM txn")
-def bnk_17_18_21_22_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mapped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("bank_name")
     t = transactions(spark, sf_dir)
     numbers = t.select("bank_name").distinct().withColumn("group_no", F.dense_rank().over(Window.orderBy("bank_name")).cast("long"))
@@ -156,7 +156,7 @@ def bnk_19_first_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT c_custkey, concat(c_mktsegment, '-', c_name) AS label FROM customer WHERE c_acctbal > 0 AND c_mktsegment IS NOT NULL AND c_nationkey BETWEEN 3 AND 9", txn=False)
-def bnk_26_29_33_case_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bnk_29_case_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").where((F.col("c_acctbal") > 0) & F.col("c_mktsegment").isNotNull() & F.col("c_nationkey").between(3, 9))
     return c.select("c_custkey", F.concat_ws("-", "c_mktsegment", "c_name").alias("label"))
 
@@ -176,7 +176,7 @@ def clu_2_3_4_fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT account_id, CASE WHEN count(*) < 3 THEN 'OTHER' ELSE transaction_channel END AS grp, count(*) AS n FROM txn GROUP BY account_id, transaction_channel")
-def clu_5_6_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = transactions(spark, sf_dir).groupBy("account_id", "transaction_channel").agg(F.count("*").alias("n"))
     return g.select("account_id", F.when(F.col("n") < 3, "OTHER").otherwise(F.col("transaction_channel")).alias("grp"), "n")
 
@@ -233,9 +233,3 @@ def udf_2_11_nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT seq, CASE WHEN transaction_type = 'debit' THEN -amount ELSE amount END * 2 AS doubled FROM txn")
 def udf_1_row_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir).select("seq", (signed() * 2).alias("doubled"))
-
-
-@query("SELECT seq, transaction_channel AS category, md5(transaction_channel || seq) AS input_hash FROM txn")
-def udf_14_15_classified_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = transactions(spark, sf_dir)
-    return t.select("seq", F.col("transaction_channel").alias("category"), F.md5(F.concat("transaction_channel", F.col("seq").cast("string"))).alias("input_hash"))

@@ -46,14 +46,14 @@ def win_4_5_6_balance_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def win_7_8_type_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+def type_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir).select("account_id", "seq", "date", "amount", "balance", F.when(F.col("seq") % 50 == 0, F.when(F.col("transaction_type") == "debit", "credit").otherwise("debit")).otherwise(F.col("transaction_type")).alias("transaction_type"))
     schema = "account_id long, seq long, date timestamp, amount double, balance double, transaction_type string"
     return windows.per_group(t, "account_id", ["date", "seq"], windows.repaired_types, schema).select("account_id", "seq", "transaction_type")
 
 
 @query(f"SELECT statement_id, bool_or(up) AS has_up, bool_or(down) AS has_down, bool_or(up) AND bool_or(down) AS jumbled, arg_max(date, seq) < arg_min(date, seq) AS reversed FROM (SELECT *, coalesce(date > lag(date) OVER (PARTITION BY statement_id ORDER BY seq), false) AS up, coalesce(date < lag(date) OVER (PARTITION BY statement_id ORDER BY seq), false) AS down FROM txn) GROUP BY 1")
-def win_9_10_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win_9_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("date").over(Window.partitionBy("statement_id").orderBy("seq"))
     flagged = transactions(spark, sf_dir).withColumn("up", F.coalesce(F.col("date") > before, F.lit(False))).withColumn("down", F.coalesce(F.col("date") < before, F.lit(False)))
     return flagged.groupBy("statement_id").agg(F.bool_or("up").alias("has_up"), F.bool_or("down").alias("has_down"), (F.bool_or("up") & F.bool_or("down")).alias("jumbled"), (F.max_by("date", "seq") < F.min_by("date", "seq")).alias("reversed"))
@@ -107,31 +107,31 @@ def win_17_row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT seq, balance FROM txn")
-def win_18_19_20_fill_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win_20_fill_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     holed = transactions(spark, sf_dir).withColumn("_n", F.row_number().over(by_account())).withColumn("balance", F.when((F.col("_n") % 3 == 2) | (F.col("_n") == 1) & (F.count("*").over(Window.partitionBy("account_id")) > 2), None).otherwise(F.col("balance")))
     lone = holed.withColumn("balance", F.when(F.count("balance").over(Window.partitionBy("account_id")) > 0, F.col("balance")))
     return windows.fill_balances(lone, ["account_id"], ["date", "seq"]).select("seq", "balance")
 
 
 @query(f"SELECT seq, last_value(CASE WHEN transaction_channel = 'upi' THEN date END IGNORE NULLS) OVER (PARTITION BY account_id ORDER BY date, seq ROWS UNBOUNDED PRECEDING) AS carried FROM txn")
-def win_21_34_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win_21_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir).select("seq", windows.carry(F.when(F.col("transaction_channel") == "upi", F.col("date")), by_account()).alias("carried"))
 
 
 @query(f"SELECT seq, CAST(sum(fell) OVER (PARTITION BY account_id ORDER BY date, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS years FROM (SELECT *, CASE WHEN month(date) * 100 + day(date) < lag(month(date) * 100 + day(date)) OVER w THEN 1 ELSE 0 END AS fell FROM txn {_W})")
-def win_22_year_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
+def year_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir).select("seq", windows.rolls_over(F.col("date"), by_account()).alias("years"))
 
 
 @query(f"SELECT seq FROM (SELECT *, lag(transaction_type) OVER w AS t0, lag(balance) OVER w AS b0, lead(transaction_type) OVER w AS t1 FROM txn {_W}) WHERE b0 > 0 AND transaction_type = 'debit' AND balance < 0 AND t1 = 'credit'")
-def win_23_24_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win_24_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = by_account()
     hit = (F.lag("balance").over(w) > 0) & (F.col("transaction_type") == "debit") & (F.col("balance") < 0) & (F.lead("transaction_type").over(w) == "credit")
     return transactions(spark, sf_dir).withColumn("hit", F.coalesce(hit, F.lit(False))).where("hit").select("seq")
 
 
 @query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY account_id, transaction_channel ORDER BY date, seq) - 1 AS k FROM txn) SELECT a.seq AS debit_seq, b.seq AS credit_seq FROM p a JOIN p b ON a.account_id = b.account_id AND a.transaction_channel = b.transaction_channel AND a.k % 2 = 0 AND b.k = a.k + 1 WHERE a.transaction_type = 'debit' AND b.transaction_type = 'credit'")
-def win_25_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["account_id", "transaction_channel"]
     t = windows.pairs_in_group(transactions(spark, sf_dir), keys, ["date", "seq"])
     both = t.groupBy(*keys, "pair").agg(F.max(F.when(F.col("place") == 0, F.struct("transaction_type", "seq"))).alias("a"), F.max(F.when(F.col("place") == 1, F.struct("transaction_type", "seq"))).alias("b"))
@@ -158,7 +158,7 @@ def win_29_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT account_id, count(*) FILTER (gap BETWEEN 25 AND 35) AS regular, count(*) AS n FROM (SELECT account_id, date_diff('day', lag(date) OVER w, date) AS gap FROM txn {_W}) GROUP BY 1")
-def win_30_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gaps_between_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.datediff("date", F.lag("date").over(by_account()))
     return transactions(spark, sf_dir).select("account_id", gap.alias("gap")).groupBy("account_id").agg(F.count_if(F.col("gap").between(25, 35)).alias("regular"), F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.model import TXN_SQL
+from tallyloom.model import TXN_SQL, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +29,8 @@ def query(sql: str | None = None, txn: bool = True, recursive: bool = False) ->
         return f
 
     return add
+
+
+def worn(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a SELECT over the transaction view (FROM txn), which a query's SQL uses as its input too."""
+    return spark.sql(sql.replace("FROM txn", "FROM {txn}"), txn=transactions(spark, sf_dir))

@@ -57,7 +57,7 @@ def sca_12_to_19_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT seq, array_to_string(list_filter(str_split_regex(lower(transaction_note), '[ /:,;.#-]'), lambda w: length(w) >= 3 AND w NOT IN ('chq', 'other') AND 2 * length(regexp_replace(w, '[^0-9]', '', 'g')) <= length(w)), ' ') AS tokens FROM txn")
-def sca_20_21_33_note_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def note_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir).select("seq", F.array_join(text.note_tokens(F.col("transaction_note"), ["chq", "other"]), " ").alias("tokens"))
 
 
@@ -97,14 +97,14 @@ _RULES = [("upi_seven", "^upi/.*7/"), ("transfer", "transfer"), ("cheque", "^chq
 
 
 @query("SELECT seq, CASE WHEN regexp_matches(transaction_note, '(?i)^upi/.*7/') THEN 'upi_seven' WHEN regexp_matches(transaction_note, '(?i)transfer') THEN 'transfer' WHEN regexp_matches(transaction_note, '(?i)^chq') THEN 'cheque' WHEN regexp_matches(transaction_note, '(?i)cash') THEN 'cash' ELSE 'Other' END AS label FROM txn")
-def sca_26_to_32_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.classify(transactions(spark, sf_dir), _RULES, "transaction_note", "label").select("seq", "label")
 
 
 @query(
     """SELECT seq, CASE WHEN transaction_channel = 'upi' AND transaction_type = 'debit' THEN 'Payment' WHEN transaction_channel = 'upi' THEN 'UPI' WHEN transaction_channel = 'chq' THEN 'Cheque' WHEN bank_name = 'MACHINERY' THEN 'Machines' ELSE 'Others' END AS category FROM txn"""
 )
-def sca_35_lookup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lookup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(0, "upi", "debit", None, "Payment"), (1, "upi", None, None, "UPI"), (1, "chq", None, None, "Cheque"), (2, None, None, "MACHINERY", "Machines")]
     mapping = spark.createDataFrame(rows, "level int, transaction_channel string, transaction_type string, bank_name string, category string")
     levels = [["transaction_channel", "transaction_type"], ["transaction_channel"], ["bank_name"]]
@@ -152,7 +152,7 @@ def sca_47_48_json_and_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, greatest(0, least(l_quantity, 30) - greatest(l_quantity / 2, 10)) AS overlap, bit_count(xor(l_partkey, l_suppkey)) AS bits FROM lineitem", txn=False)
-def sca_50_52_overlap_and_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlap_and_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", values.overlap(q / 2, q, F.lit(10), F.lit(30)).alias("overlap"), values.hamming(F.col("l_partkey"), F.col("l_suppkey")).alias("bits"))
 
@@ -191,7 +191,7 @@ def bnk_1_2_6_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT seq, transaction_note || coalesce(CASE WHEN lead(transaction_channel) OVER w = 'chq' THEN lead(transaction_note) OVER w END, '') AS note FROM txn WINDOW w AS (PARTITION BY account_id ORDER BY date, seq)")
-def bnk_3_4_5_next_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+def next_row_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = by_account()
     tail = F.when(F.lead("transaction_channel").over(w) == "chq", F.lead("transaction_note").over(w))
     return transactions(spark, sf_dir).select("seq", F.concat("transaction_note", F.coalesce(tail, F.lit(""))).alias("note"))
@@ -216,7 +216,7 @@ def bnk_25_merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT n_nationkey, n_regionkey IN (1, 3) AS wanted FROM nation", txn=False)
-def bnk_24_27_28_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def allowed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = F.array(F.lit(1), F.lit(3))
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array_contains(allowed, F.col("n_regionkey")).alias("wanted"))
 

@@ -41,7 +41,7 @@ def src_7_snk_1_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part", txn=False)
-def src_8_snk_16_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_8_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared(spark, "csv")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("Part No"), F.col("p_brand").alias("Brand"), F.col("p_size").cast("string").alias("Size (mm)"))
     part.write.option("header", True).csv(out)
@@ -165,7 +165,7 @@ def clu_8_text_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT event_id, CAST(CASE WHEN value < 10 THEN 0 WHEN value < 30 THEN 1 ELSE 2 END AS DOUBLE) AS bin FROM events", txn=False)
-def agg_53_54_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.binned(table(spark, sf_dir, "events").select("event_id", "value"), "value", [10.0, 30.0]).select("event_id", "bin")
 
 
