@@ -86,7 +86,10 @@ def any_date(c: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
     named = F.when(F.map_contains_key(known, F.lower(word)), F.replace(text, word, F.element_at(known, F.lower(word)))).otherwise(text)
     shaped = F.when(word == "", named).otherwise(F.replace(named, F.regexp_extract(named, "([A-Za-z]{3,})", 1), F.initcap(F.regexp_extract(named, "([A-Za-z]{3,})", 1))))
-    return F.coalesce(*[F.try_to_timestamp(shaped, F.lit(f)) for f in FORMATS]).cast("date")
+    at = lambda f: F.try_to_timestamp(shaped, F.lit(f))
+    near = lambda t: F.when(F.year(t) > 2068, F.add_months(t, -1200)).otherwise(t)
+    # two digits are years from 1969 to 2068
+    return F.coalesce(*[at(f).cast("date") if "yyyy" in f else near(at(f)).cast("date") for f in FORMATS])
 
 
 def semi_date(c: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.operators import similarity
 
@@ -91,7 +92,7 @@ def clean_name(name: Column) -> Column:
     return F.when(F.size(rare) == 0, "None").when(F.length(short) > 3, short).otherwise(F.array_join(named, " "))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _near(name: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([similarity.weighted(a, b) > 87 if a and b else False for a, b in zip(name, other)], dtype="boolean")
 
