@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that executors share (spark.checkpoint.dir).
+
+    Where none is set a local master has a folder of its own; on a cluster it is an error.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}/{label}"
+
+
 def by_account() -> Window:
     """Rows of an account in their order."""
     return Window.partitionBy("account_id").orderBy("date", "seq")

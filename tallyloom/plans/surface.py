@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.model import table, transactions
+from tallyloom.model import shared, table, transactions
 from tallyloom.operators import similarity
 from tallyloom.plans.registry import QUERIES, query
 from tallyloom.sources import files, sinks
 from tallyloom.streaming import streams
 
 
-def shared(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that executors share; a folder of our own only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}/{label}"
-
-
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7", txn=False)
 def src_1_3_6_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.by_key(spark, f"{sf_dir}/orders.parquet", {"o_custkey": 7}).select("o_orderkey", "o_orderstatus")
@@ -99,29 +90,29 @@ def _finished(df: DataFrame, mode: str = "append") -> DataFrame:
 
 
 @query("SELECT event_id, 'high' AS issue FROM events WHERE value > 60 UNION ALL SELECT event_id, 'error' FROM events WHERE event_type = 'error'", txn=False)
-def str_5_6_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     rules = {"high": F.col("value") > 60, "error": F.col("event_type") == "error"}
     return streams.route(events, rules).select("event_id", "issue")
 
 
 @query("SELECT time_bucket(INTERVAL 15 MINUTES, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2", txn=False)
-def str_8_9_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.tumbling_counts(table(spark, sf_dir, "events"), "ts", "event_type", "15 minutes", "60 minutes")
 
 
 @query("SELECT s AS start, event_type, count(*) AS n, round(100.0 * count(*) FILTER (value > 20) / count(*), 2) AS rate FROM (SELECT *, unnest([time_bucket(INTERVAL 5 MINUTES, ts), time_bucket(INTERVAL 5 MINUTES, ts) - INTERVAL 5 MINUTES, time_bucket(INTERVAL 5 MINUTES, ts) - INTERVAL 10 MINUTES]) AS s FROM events) GROUP BY 1, 2", txn=False)
-def str_7_22_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sliding_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sliding_rate(table(spark, sf_dir, "events"), "ts", "event_type", F.col("value") > 20, "15 minutes", "5 minutes", "2 minutes").withColumn("rate", F.col("rate").cast("double"))
 
 
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS \"end\", count(*) AS n FROM s GROUP BY user_id, k", txn=False)
-def str_21_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "6 hours", "20 minutes")
 
 
 @query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k = 1", txn=False)
-def str_4_15_16_latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     out = shared(spark, "latest")
     merge = streams.latest_by_key(out, "user_id", "ts")
@@ -131,9 +122,9 @@ def str_4_15_16_latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT user_id, 50 AS seen FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) WHERE n >= 50", txn=False)
-def str_11_12_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = _stream(spark, sf_dir).select("user_id", F.lit(50).alias("wanted"))
-    return _finished(streams.complete_when(wanted, "user_id", "wanted")).select("user_id", F.least("seen", F.lit(50)).cast("int").alias("seen"))
+def page_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _stream(spark, sf_dir).select("user_id", "ts", F.lit(50).alias("wanted"))
+    return _finished(streams.complete_when(wanted, "user_id", "wanted", "ts")).select("user_id", F.least("seen", F.lit(50)).cast("int").alias("seen"))
 
 
 @query("SELECT event_id FROM events", txn=False)
