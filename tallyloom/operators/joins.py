@@ -82,6 +82,22 @@ def daily_spine(df: DataFrame, keys: Sequence[str], date: str, value: str, order
     return days.join(closing, [*keys, "day"], "left").withColumn(value, carried)
 
 
+def monthly_averages(df: DataFrame, keys: Sequence[str], date: str, value: str, order: Sequence[str]) -> DataFrame:
+    """keys, month, average: the mean over every day of a key from its first to its last, value carried forward.
+
+    A closing value stands for the days until the next one, cut at months' ends, so a row is
+    made for each month it spans and none for a day.
+    """
+    closing = df.groupBy(*keys, F.to_date(date).alias("_day")).agg(F.max_by(value, F.struct(*order)).alias(value))
+    until = F.coalesce(F.lead("_day").over(Window.partitionBy(*keys).orderBy("_day")), F.date_add("_day", 1))
+    months = F.sequence(F.trunc("_day", "month"), F.trunc(F.date_sub("_until", 1), "month"), F.expr("interval 1 month"))
+    spans = closing.withColumn("_until", until).withColumn("_month", F.explode(months))
+    days = F.date_diff(F.least(F.col("_until"), F.add_months("_month", 1)), F.greatest("_day", "_month"))
+    spans = spans.withColumn("_days", days)
+    mean = F.sum(F.col(value) * F.col("_days")) / F.sum("_days")
+    return spans.groupBy(*keys, F.date_format("_month", "yyyy-MM").alias("month")).agg(mean.alias("average"))
+
+
 def _allowed_days(day: int) -> list[int]:
     """Days of a month near a day: two before to three after, with the wrap at a month's end."""
     near = {1: [29, 30, 31, 1, 2, 3, 4], 2: [30, 31, 1, 2, 3, 4, 5], 3: [31, 1, 2, 3, 4, 5, 6], 29: [26, 27, 28, 29, 30, 31, 1], 30: [27, 28, 29, 30, 31, 1, 2], 31: [28, 29, 30, 31, 1, 2, 3]}

@@ -197,11 +197,11 @@ def agg_34_36_group_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT bank_name, transaction_channel, k, min(d) AS first_day, max(d) AS last_day, count(*) AS n FROM (
-      SELECT bank_name, transaction_channel, day(date) AS d, row_number() OVER (PARTITION BY bank_name, transaction_channel, strftime(date, '%Y-%m') ORDER BY date, seq) AS k FROM txn) WHERE k <= 5 GROUP BY 1, 2, 3"""
+      SELECT bank_name, transaction_channel, day(date) AS d, row_number() OVER (PARTITION BY bank_name, transaction_channel, strftime(date, '%Y-%m') ORDER BY date, seq) AS k FROM txn) GROUP BY 1, 2, 3"""
 )
 def agg_37_occurrence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("bank_name", "transaction_channel", ops.month()).orderBy("date", "seq")
-    rows = transactions(spark, sf_dir).withColumn("k", F.row_number().over(w).cast("long")).where("k <= 5")
+    rows = transactions(spark, sf_dir).withColumn("k", F.row_number().over(w).cast("long"))
     day = F.dayofmonth("date").cast("long")
     return rows.groupBy("bank_name", "transaction_channel", "k").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n"))
 
@@ -218,7 +218,7 @@ def agg_37_payment_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT transaction_channel, " + ", ".join(f"round(coalesce(sum(amount) FILTER (year(date) = {y}), 0), 2) AS y{y}" for y in range(1995, 2002)) + ", round(sum(amount), 2) AS total FROM txn WHERE transaction_type = 'debit' GROUP BY ROLLUP (transaction_channel)")
-def agg_38_39_spend_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spend_by_year_1995_2001(spark: SparkSession, sf_dir: str) -> DataFrame:
     debits = transactions(spark, sf_dir).where("transaction_type = 'debit'").withColumn("y", F.year("date"))
     years = [F.round(F.coalesce(F.sum(F.when(F.col("y") == y, F.col("amount"))), F.lit(0.0)), 2).alias(f"y{y}") for y in range(1995, 2002)]
     return debits.rollup("transaction_channel").agg(*years, F.round(F.sum("amount"), 2).alias("total"))

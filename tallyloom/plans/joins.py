@@ -211,5 +211,5 @@ def jon_26_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ) s GROUP BY 1, 2"""
 )
 def jon_27_daily_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = ops.daily_spine(transactions(spark, sf_dir), ["account_id"], "date", "balance", ["seq"])
-    return days.groupBy("account_id", F.date_format("day", "yyyy-MM").alias("month")).agg(F.round(F.avg("balance"), 6).alias("average"))
+    means = ops.monthly_averages(transactions(spark, sf_dir), ["account_id"], "date", "balance", ["seq"])
+    return means.withColumn("average", F.round("average", 6))

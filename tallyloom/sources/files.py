@@ -37,26 +37,28 @@ def page_rows(pages: DataFrame, last_page: int | None = None) -> DataFrame:
 
 
 def statement_csv(spark: SparkSession, path: str, roles: Mapping[str, Sequence[str]]) -> DataFrame:
-    """CSV with lines before its header: the header is the first line that names every role.
+    """CSV with lines before its header: a file's header is its first line that names every role.
 
-    roles: output column -> names that a header may use (any case). Only file heads are
-    looked at for the header: one bounded read of the first lines.
+    roles: output column -> names that a header may use (any case). Lines up to a file's header
+    and repeats of it are left out, and lines without any role's cell; all others stay. A file without a
+    header, such as a later part, is read whole. The first file's header says which column has which role.
     """
     raw = spark.read.option("header", False).csv(path)
-    columns = raw.columns
+    columns, meta = raw.columns, raw.metadataColumn("_metadata")
     cells = F.array(*[F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in columns])
-    named = [F.arrays_overlap(cells, F.array(*[F.lit(n.lower()) for n in names])) for names in roles.values()]
-    is_header = named[0]
-    for n in named[1:]:
-        is_header = is_header & n
-    head = raw.limit(200).where(is_header).select(cells.alias("h")).first()
+    is_header = F.lit(True)
+    for names in roles.values():
+        is_header = is_header & F.arrays_overlap(cells, F.array(*[F.lit(n.lower()) for n in names]))
+    place = F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = raw.withColumns({"_file": meta["file_path"], "_place": place, "_cells": cells, "_header": is_header})
+    heads = lines.where("_header").groupBy("_file").agg(F.min(F.struct("_place", "_cells")).alias("h")).select("_file", F.col("h._place").alias("_from"), F.col("h._cells").alias("_names"))
+    head = heads.agg(F.min_by("_names", "_file").alias("h")).first()["h"]
     if head is None:
         raise ValueError("no line names every role")
-    place = {role: next(i for i, c in enumerate(head["h"]) if c in {n.lower() for n in names}) for role, names in roles.items()}
-    last = list(place)[-1]  # lines before the header do not reach the last column that has a role
-    body = raw.where(~F.coalesce(is_header, F.lit(False)))
-    picked = body.select(*[F.nullif(F.trim(F.col(columns[i])), F.lit("")).alias(role) for role, i in place.items()])
-    return picked.where(F.col(last).isNotNull())
+    at = {role: next(i for i, c in enumerate(head) if c in {n.lower() for n in names}) for role, names in roles.items()}
+    body = lines.where(~F.col("_header")).join(heads.select("_file", "_from"), "_file", "left").where(F.col("_from").isNull() | (F.col("_place") > F.col("_from")))
+    picked = body.select(*[F.nullif(F.trim(F.col(columns[i])), F.lit("")).alias(role) for role, i in at.items()])
+    return picked.where(F.coalesce(*[F.col(r) for r in roles]).isNotNull())
 
 
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
