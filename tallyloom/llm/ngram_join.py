@@ -11,10 +11,10 @@ groups they agree in some group entirely. Classes that agree in a group of a siz
 (linked sets share a level) are joined into candidate clusters of that level, streaming,
 by a hub for each group. The trees are built over blocks of a cluster, in tasks of bounded
 size, and return at most one link for each point. A cluster beyond a block meets in rounds:
-its blocks apart; then, again and again, one representative of each component found so far;
-in the end every member outside the cluster's largest component against all others, block
-by block. Members that are connected already are not copied, so a large group of copies
-costs a few passes over it and not its blocks squared. No pair of linked classes is missed,
+its blocks apart; then, as long as that halves their number, one representative of each
+component found so far; in the end every member outside the cluster's largest component
+against all others, block by block. Members that are connected already are not copied, so
+a large group of copies costs a few passes over it and not its blocks squared. No pair of linked classes is missed,
 and no group of copies is ever written out pair by pair.
 """
 
@@ -368,27 +368,38 @@ def _roots(docs: DataFrame, members: DataFrame, rule: Rule, id_col: str, text_co
         inside = cut(_with_roots(inside, out[-1], "root"), "inside")
         return inside
 
-    while True:  # one representative of each component, as long as blocks of them find links
+    before = inside.groupBy("cluster").agg(F.count("*").alias("before"))
+    while True:  # one representative of each component, in clusters where the last round left at most half as many
         first = inside.groupBy("cluster", "root").agg(F.min(F.struct("h", "id", "key", "n")).alias("r")).select("cluster", "root", "r.*")
-        counts = first.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).where(F.col("classes") > 1)
-        counts = cut(counts.select("cluster", _blocks(F.col("classes"), F.col("shingles")).alias("blocks")), "counts")
+        counts = first.groupBy("cluster").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).join(before, "cluster").where((F.col("classes") > 1) & (2 * F.col("classes") <= F.col("before")))
+        counts = cut(counts.select("cluster", "classes", _blocks(F.col("classes"), F.col("shingles")).alias("blocks")), "counts")
+        more = counts.agg(F.max("blocks")).first()[0]
+        if more is None:
+            break
         dealt = first.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("h", F.lit(len(out))), F.col("blocks")))
         tiles = dealt.select("h", "id", "key", F.col("root").alias("known"), "cluster", F.array(_place(F.col("block"), F.col("block"), F.lit(0))).alias("places"))
-        more = counts.agg(F.max("blocks")).first()[0]
-        if more is None or joined(tiles) is None or more == 1:
+        before = counts.select("cluster", F.col("classes").alias("before"))
+        if joined(tiles) is None or more == 1:
             break
 
-    # what is left: members outside the largest component of their cluster meet all others of it
+    # what is left: members outside the largest component of their cluster meet all others of it.
+    # Where they are most of the cluster its blocks, compared apart before, meet each other;
+    # else the members outside are dealt into blocks of their own, and only these meet the rest.
     sums = inside.groupBy("cluster", "root").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
-    tops = sums.groupBy("cluster").agg(F.max_by("root", F.struct("classes", "root")).alias("top"), F.max(F.struct("classes", "root", "shingles")).alias("t"), F.sum("classes").alias("classes"), F.sum("shingles").alias("shingles"))
+    tops = sums.groupBy("cluster").agg(F.max(F.struct("classes", "root", "shingles")).alias("t"), F.sum("classes").alias("classes"), F.sum("shingles").alias("shingles"))
     rest = F.col("classes") - F.col("t.classes"), F.col("shingles") - F.col("t.shingles")
-    odd = cut(tops.where(rest[0] > 0).select("cluster", "top", _blocks(2 * rest[0], 2 * rest[1]).alias("odd"), _blocks(2 * F.col("t.classes"), 2 * F.col("t.shingles")).alias("even")), "odd")
-    if odd.limit(1).count():
+    apart = tops.where(rest[0] > 0).select(
+        "cluster", F.col("t.root").alias("top"), (2 * rest[0] >= F.col("classes")).alias("dense"), _blocks(F.col("classes"), F.col("shingles")).alias("all"), _blocks(*rest).alias("odd"), _blocks(F.col("t.classes"), F.col("t.shingles")).alias("even")
+    )
+    apart = cut(apart, "apart")
+    if apart.limit(1).count():
         is_odd = F.col("root") != F.col("top")
-        block = F.when(is_odd, F.pmod("h", "odd")).otherwise(F.col("odd") + F.pmod("h", "even"))
-        last = F.when(is_odd, F.col("odd") + F.col("even") - 1).otherwise(F.col("odd") - 1)
-        places = F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda other: _place(F.least("block", other), F.greatest("block", other), F.col("block") > other))
-        joined(inside.join(odd, "cluster").withColumn("block", block.cast("long")).select("h", "id", "key", F.col("root").alias("known"), "cluster", places.alias("places")))
+        block = F.when(F.col("dense"), F.pmod("h", "all")).when(is_odd, F.pmod("h", "odd")).otherwise(F.col("odd") + F.pmod("h", "even")).cast("long")
+        last = F.when(F.col("dense"), F.col("all") - 1).when(is_odd, F.col("odd") + F.col("even") - 1).otherwise(F.col("odd") - 1).cast("long")
+        dealt = inside.join(apart, "cluster").withColumn("block", block).withColumn("last", last)
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda other: ~F.col("dense") | (other != F.col("block")))
+        places = F.transform(others, lambda other: _place(F.least("block", other), F.greatest("block", other), F.col("block") > other))
+        joined(dealt.select("h", "id", "key", F.col("root").alias("known"), "cluster", places.alias("places")))
     return out
 
 
