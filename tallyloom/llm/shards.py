@@ -144,11 +144,13 @@ class ShardedTable:
         rows, at = self._rows(plan)
         columns = [c for c in rows.columns if c != at]
         path, run, seq = free("_path", rows.columns), free("_run", rows.columns), free("_seq", rows.columns)
-        places = plan.select(F.col("path").alias(path), F.col("run").alias(run), F.col("seq").alias(seq))
+        number = free("_number", rows.columns)
+        numbers = plan.select("run").distinct().withColumn("number", F.row_number().over(Window.orderBy("run")) - 1)  # a row for each file to make
+        places = plan.join(numbers, "run").select(F.col("path").alias(path), F.col("run").alias(run), F.col("seq").alias(seq), F.col("number").alias(number))
         places = F.broadcast(places) if shards <= BROADCAST_ENTRIES else places
         placed = rows.join(places, F.col(f"{at}.path") == F.col(path))
-        # the rows of a run make one file: they are at most about the target
-        dealt = placed.repartition(runs, run).sortWithinPartitions(run, seq, f"{at}.row")
+        # the rows of a run make one file and one task: they are at most about the target
+        dealt = placed.repartitionById(runs, F.col(number).cast("int")).sortWithinPartitions(run, seq, f"{at}.row")
         dealt.select(*[F.col(f"`{c}`") for c in columns], run).write.option("compression", "zstd").partitionBy(run).parquet(folder)
         first = plan.select("run", F.col("start").alias("seq")).distinct()
         made = self._written(folder).withColumn("run", F.regexp_extract("path", rf"/{run}=([^/]+)/", 1))
