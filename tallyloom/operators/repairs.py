@@ -6,39 +6,13 @@ the rest are window expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.model import signed
-from tallyloom.operators.windows import breaks, carry
-
-
-def carried(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], step: Callable[[object, tuple], tuple[object, tuple]], out: str) -> DataFrame:
-    """df with new columns from a step that sees a key's rows in order: step(state, row) -> (state, values).
-
-    state is None before a key's first row; row has the columns, in their order. Only the
-    state of one key is held. out: the new columns as a DDL list.
-    """
-    kept = [c for c in df.columns]
-    names = [c.split()[0] for c in out.split(", ")]
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, state, seen = None, None, False
-        for batch in batches:
-            values = []
-            for k, *row in zip(batch[key].tolist(), *[batch[c].tolist() for c in columns]):
-                if not seen or k != held:
-                    held, state, seen = k, None, True
-                state, made = step(state, tuple(row))
-                values.append(made)
-            new = pd.DataFrame(values, columns=names, index=batch.index)
-            yield pd.concat([batch[kept], new], axis=1)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+from tallyloom.operators.windows import breaks, carried, carry
 
 
 def repair_types(df: DataFrame, key: str, order: Sequence[str], limit: float = 0.1) -> DataFrame:

@@ -90,6 +90,33 @@ def per_group(df: DataFrame, key: str, order: Sequence[str], step: Callable[[pd.
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+def carried(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], step: Callable[[object, tuple], tuple[object, tuple]], out: str) -> DataFrame:
+    """df with new columns from a step that sees a key's rows in order: step(state, row) -> (state, values).
+
+    state is None before a key's first row; row has the columns, in their order. Only the
+    state of one key is held, whatever the number of its rows. Rows with a null key are one
+    group. out: the new columns as a DDL list.
+    """
+    kept = [c for c in df.columns]
+    names = [c.split()[0] for c in out.split(", ")]
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state, seen = None, None, False
+        for batch in batches:
+            values = []
+            for k, *row in zip(batch[key].tolist(), *[batch[c].tolist() for c in columns]):
+                k = None if pd.isna(k) else k
+                if not seen or k != held:
+                    held, state, seen = k, None, True
+                state, made = step(state, tuple(row))
+                values.append(made)
+            new = pd.DataFrame(values, columns=names, index=batch.index)
+            yield pd.concat([batch[kept], new], axis=1)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def repaired_types(rows: pd.DataFrame, limit: float = 0.1, most: float = 0.2) -> pd.DataFrame:
     """Flips a row's type where only the other sign carries the balance; undone if too many flip.
 
@@ -119,31 +146,38 @@ def without_repeated_block(rows: pd.DataFrame, columns: Sequence[str]) -> pd.Dat
     return rows.iloc[kept]
 
 
-def clamped_dates(rows: pd.DataFrame, days: int = 5) -> pd.DataFrame:
-    """A date before its predecessor by at most so many days becomes the predecessor's; a longer drop stays."""
-    out, held = [], None
-    for date in rows["date"]:
+def clamped_dates(df: DataFrame, key: str, order: Sequence[str], days: int = 5) -> DataFrame:
+    """df whose date, where it is before its predecessor's by at most so many days, is the predecessor's.
+
+    A longer drop stays; a null date stays and clamps nothing.
+    """
+
+    def step(held: pd.Timestamp | None, row: tuple) -> tuple[pd.Timestamp, tuple]:
+        (date,) = row
         if held is not None and date < held and (held - date).days <= days:
             date = held
-        out.append(date)
-        held = date
-    return rows.assign(date=pd.Series(out, index=rows.index, dtype="datetime64[us]"))
+        return date, (date,)
+
+    out = carried(df, key, order, ["date"], step, "clamped timestamp")
+    return out.withColumn("date", F.col("clamped")).drop("clamped")
 
 
-def recurring(rows: pd.DataFrame, band: float = 0.4, gap: int = 15, day: int = 6) -> pd.DataFrame:
-    """Greedy groups: an amount within the band of the last one, later by gap days, at about the same day of month."""
-    groups: list[list] = []
-    number = []
-    for date, amount in zip(rows["date"], rows["amount"]):
+def recurring(df: DataFrame, key: str, order: Sequence[str], band: float = 0.4, gap: int = 15, day: int = 6) -> DataFrame:
+    """df with group_no: an amount within the band of its group's last one, later by gap days, at about the same day of month.
+
+    The first group that fits takes the row, else it starts one. Of each group the last date
+    and amount are held; a null date or amount is a group of its own.
+    """
+
+    def step(groups: list[tuple] | None, row: tuple) -> tuple[list[tuple], tuple]:
+        date, amount = row
+        groups = [] if groups is None else groups
         for k, (last, value) in enumerate(groups):
             apart = abs(date.day - last.day)
             if abs(amount - value) <= band * value and (date - last).days >= gap and min(apart, 30 - apart) <= day:
-                groups[k] = [date, amount]
-                number.append(k)
-                break
-        else:
-            groups.append([date, amount])
-            number.append(len(groups) - 1)
-    return rows.assign(group_no=pd.array(number, dtype="int32"))
-
+                groups[k] = row
+                return groups, (k,)
+        groups.append(row)
+        return groups, (len(groups) - 1,)
 
+    return carried(df, key, order, ["date", "amount"], step, "group_no int")

@@ -88,7 +88,7 @@ def win_13_merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def win_15_clamped_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir).select("statement_id", "seq", "date")
-    return windows.per_group(t, "statement_id", ["seq"], windows.clamped_dates, "statement_id string, seq long, date timestamp")
+    return windows.clamped_dates(t, "statement_id", ["seq"])
 
 
 @query(f"SELECT seq, lag(seq) OVER w AS before_seq, lag(date) OVER w AS before_date FROM txn {_W}")
@@ -154,7 +154,7 @@ def win_28_months_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def win_29_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir).select("account_id", "seq", "date", "amount")
-    return windows.per_group(t, "account_id", ["date", "seq"], windows.recurring, "account_id long, seq long, date timestamp, amount double, group_no int").select("account_id", "seq", "group_no")
+    return windows.recurring(t, "account_id", ["date", "seq"]).select("account_id", "seq", "group_no")
 
 
 @query(f"SELECT account_id, count(*) FILTER (gap BETWEEN 25 AND 35) AS regular, count(*) AS n FROM (SELECT account_id, date_diff('day', lag(date) OVER w, date) AS gap FROM txn {_W}) GROUP BY 1")

@@ -40,16 +40,36 @@ def test_repeated_blocks():
     assert windows.without_repeated_block(rows, ["a"])["a"].tolist() == [1, 2, 3, 4, 5]
 
 
-def test_clamped_dates():
+def in_small_batches(spark, run):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        return run().collect()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_clamped_dates(spark):
     days = [0, 3, 1, 2, 20, 4, 5]
-    rows = pd.DataFrame({"date": pd.to_datetime([DAY + timedelta(days=d) for d in days])})
-    assert [(d - DAY).days for d in windows.clamped_dates(rows)["date"]] == [0, 3, 3, 3, 20, 4, 5]
+    rows = [(k, i, DAY + timedelta(days=d)) for k in (1, 2, None) for i, d in enumerate(days)] + [(1, 7, None), (1, 8, DAY)]
+    df = spark.createDataFrame(rows, "k long, seq long, date timestamp")
+    got = in_small_batches(spark, lambda: windows.clamped_dates(df, "k", ["seq"]))
+    for k in (1, 2, None):
+        dates = [r["date"] for r in sorted(got, key=lambda r: r["seq"]) if r["k"] == k]
+        assert [(d - DAY).days for d in dates[:7]] == [0, 3, 3, 3, 20, 4, 5]
+        assert dates[7:] == ([None, DAY] if k == 1 else [])
+    assert windows.clamped_dates(df.limit(0), "k", ["seq"]).count() == 0
 
 
-def test_recurring_groups():
+def test_recurring_groups(spark):
     dates = [datetime(2024, m, d) for m, d in ((1, 1), (1, 15), (2, 2), (2, 15), (3, 1), (3, 29))]
-    rows = pd.DataFrame({"date": dates, "amount": [100.0, 1000.0, 110.0, 1100.0, 90.0, 95.0]})
-    assert windows.recurring(rows)["group_no"].tolist() == [0, 1, 0, 1, 0, 0]
+    amounts = [100.0, 1000.0, 110.0, 1100.0, 90.0, 95.0]
+    rows = [(k, i, d, a) for k in (1, None) for i, (d, a) in enumerate(zip(dates, amounts))] + [(2, 0, None, 1.0), (2, 1, dates[0], None), (2, 2, dates[5], 1.0)]
+    df = spark.createDataFrame(rows, "k long, seq long, date timestamp, amount double")
+    got = in_small_batches(spark, lambda: windows.recurring(df, "k", ["seq"]))
+    numbers = {k: [r["group_no"] for r in sorted(got, key=lambda r: r["seq"]) if r["k"] == k] for k in (1, 2, None)}
+    assert numbers == {1: [0, 1, 0, 1, 0, 0], 2: [0, 1, 2], None: [0, 1, 0, 1, 0, 0]}
 
 
 def test_filled_balances(spark):
