@@ -1,5 +1,7 @@
 """SQL for the queries that SQL can express."""
 
+from tallyloom.llm import license_index
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Ids of linked pairs (table link: a, b, both ways) -> the least id reachable (table comp: id, component).
@@ -73,4 +75,87 @@ SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(c.comp
 FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN comp c ON c.id = w.doc_id
 """
 
-ORACLE_SQL = {"op1_grid_order_join": OP1, "op2_url_filter": OP2, "op4_tiered_shards": OP4, "op5_winnowing": OP5, "op8_jaccard_join": OP8}
+
+
+def _template_rows() -> str:
+    """(t, label, base, n, need, must, pos, word, key) of every word of every licence template."""
+    rows = []
+    for t, one in enumerate(license_index.BASE + license_index.STATEMENTS):
+        w = one.text.split()
+        keys: set[int] = set()
+        for key in one.keys:
+            k = key.split()
+            at = min(i for i in range(len(w)) if w[i : i + len(k)] == k)
+            keys |= set(range(at, at + len(k)))
+        need = min(m for m in range(1, len(w) + 1) if 10 * m >= round(10 * one.share) * len(w))
+        rows += [f"({t}, '{one.label}', {one.base}, {len(w)}, {need}, {len(keys)}, {i}, '{x}', {int(i in keys)})" for i, x in enumerate(w)]
+    return ", ".join(rows)
+
+
+OP11 = f"""
+WITH tmpl(t, label, base, n, need, must, pos, word, is_key) AS (VALUES {_template_rows()}),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+toks AS (SELECT doc_id, w[i] AS word, i - 1 AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)),
+met AS (
+  SELECT doc_id, t, label, base, n, p - pos AS start, count(*) AS c
+  FROM toks JOIN tmpl ON toks.word = tmpl.word GROUP BY doc_id, t, label, base, n, need, must, p - pos HAVING count(*) >= need AND sum(is_key) = must
+), spots AS (
+  SELECT doc_id, sum(CASE WHEN base THEN 1 ELSE 0 END) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word, max(c / CAST(n AS DOUBLE)) AS score FROM met GROUP BY doc_id
+), own AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM met) GROUP BY doc_id),
+basic AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM met WHERE base) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(s.n_base, 0) AS BIGINT) AS n_base, CAST(s.first_word AS BIGINT) AS first_word, CAST(s.last_word AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(o.labels, '') AS labels, coalesce(s.score, 0.0) AS score
+FROM docs d LEFT JOIN spots s ON s.doc_id = d.doc_id LEFT JOIN own o ON o.doc_id = d.doc_id LEFT JOIN basic b ON b.doc_id = d.doc_id
+"""
+
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM scores WHERE same) WHERE k <= 5
+), found AS (
+  SELECT p.anchor_id, p.positive_id, n.id AS negative_id, p.positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS k
+  FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE k <= 5
+"""
+
+#: Table crc (held: the 256 steps of crc32 over one byte) and an expression for the crc32 of a string's UTF-8 bytes.
+_CRC_STEPS = "crc(held) AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)))"
+_CRC32 = """xor(4294967295, list_reduce(list_transform(range(1, 2 * strlen(f), 2), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(i AS BIGINT), 2) AS BIGINT)),
+  lambda c, b: xor(c >> 8, held[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295))"""
+
+OP13 = f"""
+WITH {_CRC_STEPS},
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents), target AS (SELECT {_WORDS} AS w FROM benchmark),
+grams AS (SELECT doc_id, unnest(w) AS f FROM docs), wanted AS (SELECT unnest(w) AS f FROM target),
+hashed AS (SELECT f, {_CRC32} % 10000 AS bucket FROM (SELECT f FROM grams UNION SELECT f FROM wanted) g, crc),
+counts AS (
+  SELECT h.bucket, sum(CASE WHEN u.side = 0 THEN u.n ELSE 0 END) AS s, sum(CASE WHEN u.side = 1 THEN u.n ELSE 0 END) AS t
+  FROM (SELECT 0 AS side, f, count(*) AS n FROM grams GROUP BY f UNION ALL SELECT 1, f, count(*) FROM wanted GROUP BY f) u JOIN hashed h ON h.f = u.f GROUP BY h.bucket
+), whole AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(c.t + 1 AS DOUBLE) * CAST(w.s + 10000 AS DOUBLE)) / (CAST(c.s + 1 AS DOUBLE) * CAST(w.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts c, whole w
+), weights AS (SELECT g.doc_id, CAST(sum(k.gain) AS BIGINT) AS weight FROM grams g JOIN hashed h ON h.f = g.f JOIN gains k ON k.bucket = h.bucket GROUP BY g.doc_id),
+scored AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce(x.weight, 0) AS weight,
+         coalesce(x.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM docs d LEFT JOIN weights x ON x.doc_id = d.doc_id
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN k <= n * 10 // 100 THEN k END AS rank FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id
+"""
+
+ORACLE_SQL = {
+    "op1_grid_order_join": OP1,
+    "op2_url_filter": OP2,
+    "op4_tiered_shards": OP4,
+    "op5_winnowing": OP5,
+    "op8_jaccard_join": OP8,
+    "op11_license_index": OP11,
+    "op12_hard_negatives": OP12,
+    "op13_importance_resampling": OP13,
+}

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables."""
+"""The registered queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, language_id, near_vectors, ngram_join, packing, runtime, shards, token_counts, token_store, toxicity, url_filter
-
+from tallyloom.llm import decontaminate, hard_negatives, language_id, license_index, near_vectors, ngram_join, packing, resample, runtime, shards, token_counts, token_store, toxicity, url_filter
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
@@ -88,7 +87,49 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
+def op11_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_index.scan(table(spark, sf_dir, "documents"), license_index.BASE + license_index.STATEMENTS)
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        license_index.labels(base).alias("base_labels"),
+        license_index.labels(F.col("places")).alias("labels"),
+        license_index.coverage(F.col("places")).alias("score"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mining = hard_negatives.Mining(positives=5, negatives=5, low=80, high=100, over=100, scale=256)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, mining)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draw = resample.Draw(least_n=1, most_n=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), draw)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_grid_order_join, op2_url_filter, op3_token_store, op4_tiered_shards, op5_winnowing, op6_language_id, op7_token_counts, op8_jaccard_join, op9_toxicity, op10_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_grid_order_join,
+        op2_url_filter,
+        op3_token_store,
+        op4_tiered_shards,
+        op5_winnowing,
+        op6_language_id,
+        op7_token_counts,
+        op8_jaccard_join,
+        op9_toxicity,
+        op10_best_fit_packing,
+        op11_license_index,
+        op12_hard_negatives,
+        op13_importance_resampling,
+    )
 }
-
