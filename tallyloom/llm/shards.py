@@ -6,9 +6,10 @@ rewrites each run as one file. Nothing is changed in place: a manifest lists the
 a version, and a version is committed by renaming its finished manifest to a name that
 must not exist yet. Readers keep the version they opened.
 
-A shard has a place (seq) from its commit and its file's number, so no pass over all of
-the manifest is needed to number arrivals. The driver sees folders, one for each commit,
-and never a list of shards: rows meet the manifest by their file's path.
+A shard has a place (seq) from its commit, its writing task and its file's number, so no
+pass over all of the manifest is needed to number arrivals. The driver names live files, up
+to LISTED of them, and beyond that folders, one for each commit: rows meet the manifest by
+their file's path. expire() forgets old versions and removes the files that only they hold.
 """
 
 from __future__ import annotations
@@ -23,8 +24,17 @@ from tallyloom.llm.runtime import cut, free, hadoop_path
 #: Manifest entries (about 200 bytes each) up to which they are broadcast to the rows; beyond it the rows are shuffled to them.
 BROADCAST_ENTRIES = 50_000
 _ENTRY = "path string, bytes long, n_rows long, seq long"
-#: A shard's place: its commit's number, then its file's.
-_COMMIT = 1 << 40
+#: A shard's place: its commit's number, then its writing task's, then its file's of that task.
+_COMMIT, _TASK = 1 << 46, 1 << 24
+#: The name that Spark gives a task's file: task, job's UUID (which may hold anything that looks like a counter), counter.
+_NAME = r"/part-(\d+)-[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}-c(\d+)\.[^/]*$"
+#: Live files up to which a read names each; beyond it folders are named, and rows of other files are dropped.
+LISTED = 10_000
+
+
+def place(path: str) -> Column:
+    """The place of an appended file within its commit: its task's number, then its number among that task's files."""
+    return F.regexp_extract(path, _NAME, 1).cast("long") * _TASK + F.regexp_extract(path, _NAME, 2).cast("long")
 
 
 class CommitConflict(RuntimeError):
@@ -95,9 +105,7 @@ class ShardedTable:
         version = self.version()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", rows_per_shard).option("compression", "zstd").parquet(folder)
-        part, piece = (F.regexp_extract("path", rf"{mark}(\d+)[^/]*$", 1).cast("long") for mark in ("/part-", "-c"))
-        place = (version + 1) * _COMMIT + part * (1 << 16) + piece
-        new = self._written(folder).where(F.col("n_rows") > 0).withColumn("seq", place)
+        new = self._written(folder).where(F.col("n_rows") > 0).withColumn("seq", (version + 1) * _COMMIT + place("path"))
         return self._commit(self.manifest(version).union(new.select("path", "bytes", "n_rows", "seq")), version + 1)
 
     def plan(self, version: int) -> DataFrame:
@@ -125,8 +133,10 @@ class ShardedTable:
 
     def _rows(self, entries: DataFrame) -> tuple[DataFrame, str]:
         """The rows of the entries' files with a struct of path and row number, and that column's name."""
-        folders = [r[0] for r in entries.select(F.regexp_extract("path", r"^(.*/data/[0-9a-f]{32})/", 1)).distinct().collect()]  # one for each commit
-        rows = self.spark.read.option("recursiveFileLookup", True).parquet(*folders)
+        named = [r[0] for r in entries.select("path").limit(LISTED + 1).collect()]
+        if len(named) > LISTED:
+            named = [r[0] for r in entries.select(F.regexp_extract("path", r"^(.*/data/[0-9a-f]{32})/", 1)).distinct().collect()]  # one for each commit
+        rows = self.spark.read.option("recursiveFileLookup", True).parquet(*named)
         meta, at = rows.metadataColumn("_metadata"), free("_at", rows.columns)
         return rows.withColumn(at, F.struct(meta["file_path"].alias("path"), meta["row_index"].alias("row"))), at
 
@@ -165,6 +175,36 @@ class ShardedTable:
             pass
         return self.version()
 
+    def expire(self, keep: int = 1) -> int:
+        """Forget all versions but the last `keep` and remove the files that only they hold; how many files went.
+
+        Readers of a forgotten version fail from then on. Manifests go first, so a run that
+        ends half-way leaves files that nothing names, never a version without its files; the next
+        call does not see them. Paths pass the driver one part of the list at a time.
+        """
+        if keep < 1:
+            raise ValueError("at least the last version is kept")
+        versions = self._versions()
+        old, kept = versions[:-keep], versions[-keep:]
+        if not old:
+            return 0
+        every = [self.manifest(v).select("path") for v in old]
+        gone = every[0]
+        for more in every[1:]:
+            gone = gone.union(more)
+        live = self.manifest(kept[0]).select("path")
+        for v in kept[1:]:
+            live = live.union(self.manifest(v).select("path"))
+        dead = cut(gone.distinct().join(live.distinct(), "path", "left_anti"), "dead")
+        for v in old:
+            fs, path = hadoop_path(self.spark, f"{self.root}/manifest/v{v}")
+            fs.delete(path, True)
+        n = 0
+        for row in dead.toLocalIterator():
+            fs, path = hadoop_path(self.spark, row["path"])
+            n += bool(fs.delete(path, False))
+        return n
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, all of them and no others.
 
@@ -177,6 +217,8 @@ class ShardedTable:
         if not n:
             arrived = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/data")
             return self.spark.createDataFrame([], arrived.schema)
+        if n <= LISTED:  # only live files are named, so every row of them counts
+            return self.spark.read.option("recursiveFileLookup", True).parquet(*[r[0] for r in entries.select("path").collect()])
         rows, at = self._rows(entries)
         columns, path = [F.col(f"`{c}`") for c in rows.columns if c != at], free("_path", rows.columns)
         live = entries.select(F.col("path").alias(path))

@@ -55,6 +55,8 @@ def test_decontamination_by_brute_force(spark):
     out = decontaminate.contamination(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_hit int"), spark.createDataFrame(items, "item_id long, text string"))
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out.collect()], key=order) == sorted(want, key=order)
+    nameless = spark.createDataFrame([(None, "a b c"), (4, "d e")], "item_id long, text string")
+    assert [tuple(r)[2:] for r in decontaminate.contamination(spark.createDataFrame([(1, "x a b c y d e")], "doc_id long, text string"), nameless).collect()] == [(7, 5, ["4"])]
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), none).collect()} == {0}
     assert decontaminate.contamination(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0

@@ -98,6 +98,8 @@ def test_store_of_any_ids_and_its_places(spark, tmp_path):
     asked = [0, 5, len(stream) - 1, len(stream), -1, None, 5]
     at = token_store.tokens_at(spark.createDataFrame([(p, "x") for p in asked], "place long, token string"), out).collect()
     assert sorted(((r["place"], r["token_"]) for r in at), key=str) == sorted(((p, stream[p] if p is not None and 0 <= p < len(stream) else None) for p in asked), key=str)
+    clash = token_store.tokens_at(spark.createDataFrame([(0, 1, 2, 3, 4)], "`p.q` long, at int, found int, _AT int, shard_no int"), out, "p.q")
+    assert clash.columns == ["p.q", "at", "found", "_AT", "shard_no", "token"] and tuple(clash.first()) == (0, 1, 2, 3, 4, stream[0])
     tiny = f"file://{tmp_path}/extreme"
     token_store.write_token_store(spark.createDataFrame([(-(2**63), "a"), (None, "b"), (2**63 - 1, "c")], "doc_id long, text string"), tiny, WORD, end_id=2, parts=2)
     assert [r["doc_id"] for r in token_store.read_token_store(spark, tiny).orderBy("start").collect()] == [None, -(2**63), 2**63 - 1]

@@ -139,6 +139,38 @@ def test_shards_with_clashing_names_stay_in_order(spark, tmp_path):
     assert table.read(2).count() == 200
 
 
+def test_place_of_a_file_whose_job_has_a_counter_in_its_name(spark):
+    names = ["part-00003-1b2c3d4e-c412-4abc-8def-c0ffee001234-c000.zstd.parquet", "part-00003-1b2c3d4e-c412-4abc-8def-c0ffee001234-c012.zstd.parquet", "part-120000-00000000-0000-c999-0000-00000000c123-c70000.parquet"]
+    found = spark.createDataFrame([(f"file:/x/data/{n}",) for n in names], "path string").select(shards.place("path")).collect()
+    assert [r[0] for r in found] == [3 * shards._TASK, 3 * shards._TASK + 12, 120_000 * shards._TASK + 70_000]
+
+
+@pytest.mark.parametrize("listed", [10_000, 2])
+def test_expired_versions_leave_live_files_alone(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(shards, "LISTED", listed)
+    table = shards.ShardedTable(spark, f"file://{tmp_path}/t", target_bytes=20_000, unit_bytes=512)
+    for k in range(4):
+        table.append(spark.range(k * 500, k * 500 + 500, 1, 2).selectExpr("id", "cast(hash(id) as string) AS text"), rows_per_shard=50)
+    last = table.compact()
+    files = lambda: sum(1 for _ in tmp_path.rglob("*.parquet") if "/data/" in str(_))
+    live, whole, before = table.manifest().count(), sorted(table.read().collect()), files()
+    assert before > live and (listed == 2 or len([f for f in table.read().inputFiles() if "/data/" in f]) == live)
+    assert table.expire(2) >= 0 and table.expire() > 0 and files() == live
+    assert table.version() == last and sorted(table.read().collect()) == whole and table.expire() == 0
+    with pytest.raises(Exception):  # noqa: B017
+        table.read(1).count()
+    with pytest.raises(ValueError):
+        table.expire(0)
+
+
+def test_urls_beside_columns_of_any_name(spark):
+    rows = [("http://a.com/en/7", 1, 2, 3, 4), (None, 5, 6, 7, 8), ("no scheme", 9, 10, 11, 12), ("HTTP://X.example.com/en/7", 13, 14, 15, 16)]
+    pages = spark.createDataFrame(rows, "`the.url` string, Host int, `a.b` int, _salt int, VERDICT int")
+    out = url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES), "the.url")
+    assert out.columns == ["the.url", "a.b", "_salt", "host", "path", "rule", "verdict"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("http://a.com/en/7", 2, 3, "a.com", "/en/7", "com/en/", "block"), (None, 6, 7, "", "", None, "allow"), ("no scheme", 10, 11, "", "", None, "allow"), ("HTTP://X.example.com/en/7", 14, 15, "x.example.com", "/en/7", "example.com/en/7", "allow")], key=str)
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
