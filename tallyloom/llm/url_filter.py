@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.runtime import free
+
 #: Tokens are runs of ASCII letters and digits and of all characters past ASCII.
 _DELIMITERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands for the token of rules that hold no whole one; every URL has it.
@@ -86,13 +88,16 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     """pages with host, path, rule and verdict.
 
     The longest fitting rule decides (of equals the greater string; normal() says what holds
-    for repeated rules); where none fits, rule is null and the verdict is allow. Null URLs and those without :// have an empty host and path,
-    which no rule fits. Every row stays, repeated or not; columns of pages that bear the
-    new names are replaced. Rules fetched for a URL are those of its tokens, so a very
-    common host costs a look-up for each of its URLs and nothing more.
+    for repeated rules); where none fits, rule is null and the verdict is allow. Null URLs and
+    those without :// have an empty host and path, which no rule fits; they are dealt out by a
+    salt and not by their one place. Every row stays, repeated or not; columns of pages that
+    bear the new names, in any case, are replaced, others may have any names. Rules fetched
+    for a URL are those of its tokens, so a very common host costs a look-up for each of its
+    URLs and nothing more.
     """
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    split = pages.select(*kept, url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    url, salt, of_place, of_host, of_path = F.col(f"`{url_col}`"), *(free(n, pages.columns) for n in ("_salt", "_salt_of", "_host_of", "_path_of"))
+    split = pages.select(*kept, url_host(url).alias("host"), url_path(url).alias("path"))
     # a verdict depends on host and path alone
     places = split.select("host", "path").where(F.col("host") != "").distinct()
     rules = normal(rules)
@@ -104,5 +109,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
         tokens = tokens.union(places.select("host", "path", F.lit(_ANY)))
     met = tokens.join(index, "token").where(F.expr("rlike(concat(host, path), pattern)"))
     best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("long"), F.col("rule"), F.col("verdict"))).alias("best"))
-    verdicts = best.select("host", "path", "best.rule", "best.verdict")
-    return split.join(verdicts, ["host", "path"], "left").select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
+    verdicts = best.select(F.col("host").alias(of_host), F.col("path").alias(of_path), F.lit(-1).cast("long").alias(of_place), "best.rule", "best.verdict")
+    dealt = split.withColumn(salt, F.when(F.col("host") == "", F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    same = (F.col("host") == F.col(of_host)) & (F.col("path") == F.col(of_path)) & (F.col(salt) == F.col(of_place))
+    return dealt.join(verdicts, same, "left").select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
