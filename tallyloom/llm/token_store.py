@@ -237,13 +237,16 @@ def tokens_at(store_places: DataFrame, path: str, place_col: str = "place") -> D
     """store_places with the column token: the id at each place of the store, null beyond it or where the place is null.
 
     Places meet the shards by ranges of the store; each is read by one walk down the planes.
+    Columns may have any names; the new one has a _ behind it while store_places has that name.
     """
     spark, name = store_places.sparkSession, free("token", store_places.columns)
+    place, at = F.col(f"`{place_col}`"), free("_at", store_places.columns, [name])
+    token = free("_found", store_places.columns, [name, at])
     table = spark.read.parquet(path)
     ends = table.select("shard_no", "n_tokens").join(_bases(table), "shard_no").select("shard_no", F.col("base").alias("low"), (F.col("base") + F.col("n_tokens")).alias("high"))
     wide = 1 << 20
     cells = ends.withColumn("cell", F.explode(F.sequence(F.expr(f"low div {wide}"), F.expr(f"(high - 1) div {wide}"))))
-    asked = store_places.select(F.col(place_col).cast("long").alias("at")).distinct().withColumn("cell", F.expr(f"at div {wide}"))
+    asked = store_places.select(place.cast("long").alias("at")).distinct().withColumn("cell", F.expr(f"at div {wide}"))
     met = asked.join(cells, "cell").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("shard_no", "at", (F.col("at") - F.col("low")).alias("within"))
     lists = met.groupBy("shard_no").agg(F.collect_list(F.struct("at", "within")).alias("asked"))  # at most a shard's places
 
@@ -254,4 +257,4 @@ def tokens_at(store_places: DataFrame, path: str, place_col: str = "place") -> D
                 yield pd.DataFrame([(r["at"], shard.access(int(r["within"]))) for r in asked], columns=["at", "found"])
 
     found = lists.join(table.select("shard_no", "shard"), "shard_no").select("asked", "shard").mapInPandas(run, "at long, found long")
-    return store_places.join(found, F.col(place_col) == F.col("at"), "left").select(*[F.col(f"`{c}`") for c in store_places.columns], F.col("found").alias(name))
+    return store_places.join(found.toDF(at, token), place == F.col(at), "left").select(*[F.col(f"`{c}`") for c in store_places.columns], F.col(token).alias(name))
