@@ -2,8 +2,8 @@
 
 Both sides keep, of every run of WINDOW consecutive K-word grams, the one with the least
 hash. A passage of K + WINDOW - 1 = 13 shared words holds such a run, so both sides keep a
-gram of it: every shared window is found. Kept grams are joined by hash and each meeting
-is extended word by word; words of runs of 13 or more are hit. Items of fewer words are
+gram of it: every shared window is found. Kept grams are joined by the hash of the gram
+with half of the words that a match needs beside it, and each meeting is extended word by word; words of runs of 13 or more are hit. Items of fewer words are
 one window of their own length m: for each such m there is a second fingerprint with
 K = m and a run of one, which keeps every gram.
 
@@ -121,13 +121,31 @@ def _run(a: Column, b: Column) -> Column:
     return F.when(miss > 0, miss - 1).otherwise(F.size(same).cast("long"))
 
 
+def _longer(prints: DataFrame, words: str, left: str) -> DataFrame:
+    """prints with longer: hashes of each gram with the words that half of a match needs, before it and after it.
+
+    A gram that the benchmark holds in very many contexts meets only those that agree in so
+    many words. Grams that are whole items have their own hash.
+    """
+    held, half = F.split(words, " "), (SPAN - K) // 2
+
+    def name(side: str, start: Column, size: int) -> Column:
+        return F.xxhash64(F.lit(side), F.array_join(F.slice(held, start, F.lit(size)), " "))
+
+    whole = F.when(F.col("need") < SPAN, F.col("hash"))
+    before = F.when((F.col("need") == SPAN) & (F.col(left) >= half), name("before", F.col(left) - half + 1, K + half))
+    after = F.when((F.col("need") == SPAN) & (F.size(held) - F.col(left) >= K + half), name("after", F.col(left) + 1, K + half))
+    return prints.withColumn("longer", F.explode(F.array_compact(F.array(whole, before, after)))).drop("hash")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document row: how many of its words stand in benchmark windows.
 
     Words are runs of letters, digits and characters past ASCII, A-Z lower-cased. Columns:
     id, key (hash of the text, so that rows which share an id stay apart), n_words, n_hit,
     items (ids as strings, sorted). Null and empty texts have no words and no hits; items
-    without words match nothing; an empty benchmark hits nothing. Repeated items are each
+    without words match nothing; an empty benchmark hits nothing; the words of an item with a
+    null id are hit, but there is no id to list. Repeated items are each
     listed; rows of one id and one text give equal rows. Other columns are not read.
     """
     plain = _scan(benchmark, [], item_col, item_text_col).select("n_words").distinct()
@@ -142,7 +160,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # items that share a gram with the words about it are one list; a document meets the list, not its items
     listed = items.groupBy("hash", "need", F.col("left").alias("item_left"), F.col("words").alias("item_words")).agg(F.array_sort(F.collect_set("item")).alias("held"))
     listed = cut(listed.withColumn("list", F.sha2(F.to_json("held"), 256)), "lists")
-    met = found.join(listed.drop("held"), ["hash", "need"])
+    # a match through a gram holds SPAN - K = 8 words beside it, so half of these on one side: the sides agree on 9 words
+    met = _longer(found, "words", "left").join(_longer(listed.drop("held"), "item_words", "item_left"), ["longer", "need"])
     a, b = F.split("words", " "), F.split("item_words", " ")
     before = _run(F.reverse(F.slice(a, F.lit(1), F.col("left"))), F.reverse(F.slice(b, F.lit(1), F.col("item_left"))))
     after = _run(F.slice(a, F.col("left") + 1, F.size(a)), F.slice(b, F.col("item_left") + 1, F.size(b)))
