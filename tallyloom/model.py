@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -30,6 +32,9 @@ TRANSACTION = T.StructType(
 CHANNELS = {"1-URGENT": "upi", "2-HIGH": "net_banking_transfer", "3-MEDIUM": "cash_withdrawl", "4-NOT SPECIFIED": "chq", "5-LOW": "Other"}
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +49,25 @@ def shared(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}/{label}"
+    folder = f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    _made.append((spark, folder))
+    return f"{folder}/{label}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: the plan behind it ends there, and a lost executor costs only its running tasks."""
+    path = shared(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    """Shared folders go when the driver ends."""
+    for spark, folder in _made:
+        with contextlib.suppress(Exception):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_account() -> Window:

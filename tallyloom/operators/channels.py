@@ -14,6 +14,8 @@ from tallyloom.operators import similarity
 #: Charges that banks take, amount bounds of the channel rules, and the words that mark a salary.
 CHARGE_ABOVE, SALARY_PAID_BELOW, SALARY_ABOVE = 50_000, 5_000, 3_000
 SALARY_WORDS = ("SALARY", "SALARIE")
+#: Countries of large amounts, and patterns that stand for whole words.
+INFLATED, WHOLE_WORDS = ("ID",), ("ACH",)
 #: Words that begin a relation in a holder's name, words that are no part of it.
 RELATIONS = ("s/o", "d/o", "w/o", "c/o", "r/o", "son of", "daughter of", "wife of", "care of", "resident of")
 TITLES = ("mr", "mrs", "miss", "master", "dr", "ms", "st", "sr", "jr", "eng", "m/s")
@@ -35,17 +37,19 @@ def salary_mark(note: Column, ignore: Sequence[str]) -> Column:
     return F.when(word.isNotNull(), F.when(~ignored, word)).otherwise(edge)
 
 
-def channel(df: DataFrame, debit: Rules, credit: Rules, charges: Sequence[float], ignore_debit: Sequence[str], ignore_credit: Sequence[str], category: str = "") -> DataFrame:
+def channel(df: DataFrame, debit: Rules, credit: Rules, charges: Sequence[float], ignore_debit: Sequence[str], ignore_credit: Sequence[str], category: Column | str = "", country: Column | str = "IN") -> DataFrame:
     """df with transaction_channel and transaction_channel_regex: the first channel, in order, with a pattern that matches.
 
-    debit, credit: (channel, patterns) in order of priority. Guards: a charge above
-    CHARGE_ABOVE is none; card interest counts for overdraft accounts alone; cash or a
+    debit, credit: (channel, patterns) in order of priority; category and country are of the
+    account, columns or one for all. Guards: a charge above CHARGE_ABOVE is none, but in
+    INFLATED countries; a pattern among WHOLE_WORDS fits whole words only; card interest counts for overdraft accounts alone; cash or a
     transfer of an amount among charges is a charge; salaries paid from SALARY_PAID_BELOW on
     need a salary mark or a note without words to ignore, and an account that is not
     individual; salaries received need more than SALARY_ABOVE. Other types have no channel.
     The rules are code, so they become one expression and no row moves.
     """
     note = F.trim(F.upper(F.regexp_replace("transaction_note", r"[^\x00-\x7F]", " ")))
+    kept_as, land = (F.coalesce(c if isinstance(c, Column) else F.lit(c), F.lit("")) for c in (category, country))
     amount, tight = F.col("amount"), F.replace(note, F.lit(" "), F.lit(""))
     has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(tight, w)) if words else F.lit(False)
     pair = lambda name, regex: F.struct(F.lit(name).alias("c"), F.lit(regex).alias("r")) if isinstance(regex, str) else F.struct(F.lit(name).alias("c"), regex.alias("r"))
@@ -54,11 +58,11 @@ def channel(df: DataFrame, debit: Rules, credit: Rules, charges: Sequence[float]
         found = []
         for name, patterns in rules:
             for p in patterns:
-                fits = note.rlike(p)
+                fits = note.rlike(rf"\b{p}\b") if kind == "debit" and p in WHOLE_WORDS else note.rlike(p)
                 if kind == "debit" and name == "bank_charge":
-                    fits = fits & (amount <= CHARGE_ABOVE)
-                if kind == "debit" and name == "cc_interest" and category != "overdraft":
-                    continue
+                    fits = fits & ((amount <= CHARGE_ABOVE) | land.isin(*INFLATED))
+                if kind == "debit" and name == "cc_interest":
+                    fits = fits & (kept_as == "overdraft")
                 if kind == "debit" and name == "salary_paid":
                     fits = fits & (amount < SALARY_PAID_BELOW)
                 if kind == "credit" and name == "salary":
@@ -67,10 +71,10 @@ def channel(df: DataFrame, debit: Rules, credit: Rules, charges: Sequence[float]
                 if kind == "debit" and name in ("cash_withdrawl", "net_banking_transfer"):
                     hit = F.when(amount.isin(*charges), pair("bank_charge", p)).otherwise(hit)
                 found.append(F.when(fits, hit))
-            if kind == "debit" and name == "salary_paid" and category != "individual":
-                mark = salary_mark(note, ignore_debit)
-                found.append(F.when((amount >= SALARY_PAID_BELOW) & mark.isNotNull(), pair(name, mark)))
-                found += [F.when((amount >= SALARY_PAID_BELOW) & note.rlike(p) & ~has(ignore_debit), pair(name, "")) for p in patterns]
+            if kind == "debit" and name == "salary_paid":
+                mark, due = salary_mark(note, ignore_debit), (amount >= SALARY_PAID_BELOW) & (kept_as != "individual")
+                found.append(F.when(due & mark.isNotNull(), pair(name, mark)))
+                found += [F.when(due & note.rlike(p) & ~has(ignore_debit), pair(name, "")) for p in patterns]
             if kind == "credit" and name == "salary":
                 mark = salary_mark(note, ignore_credit)
                 found.append(F.when((amount > SALARY_ABOVE) & mark.isNotNull(), pair(name, mark)))
@@ -82,6 +86,14 @@ def channel(df: DataFrame, debit: Rules, credit: Rules, charges: Sequence[float]
     return df.withColumn("_found", got).withColumns({"transaction_channel": F.col("_found.c"), "transaction_channel_regex": F.col("_found.r")}).drop("_found")
 
 
+def merchant(debit: Sequence[str], credit: Sequence[str]) -> Column:
+    """What the first pattern of the transaction's type that fits captures in its upper-case note; empty where none does."""
+    note = F.upper(F.regexp_replace("transaction_note", r"[^\x00-\x7F]", " "))
+    first = lambda patterns: F.coalesce(*[F.when(note.rlike(p), F.regexp_extract(note, p, 1)) for p in patterns], F.lit(""))
+    kind = F.col("transaction_type")
+    return F.when(kind == "debit", first(debit)).when(kind == "credit", first(credit)).otherwise("")
+
+
 def clean_name(name: Column) -> Column:
     """A holder's name: cut at a relation, without titles, digits and common words; short rests keep the common words."""
     low = F.regexp_replace(F.lower(name), rf"(?s) (?:{'|'.join(RELATIONS)}) .*", " ")

@@ -229,3 +229,28 @@ def three_row_dates(order) -> Column:
 def carried_dates(order, epoch: Column) -> Column:
     """The date, for the placeholder the last one that is not; leading placeholders stay."""
     return F.coalesce(carry(F.when(F.col("date") != epoch, F.col("date")), order), F.col("date"))
+
+
+def aligned_notes(df: DataFrame, notes: DataFrame, keys: Sequence[str], order: Sequence[str], note: str, line: str, place: str) -> DataFrame:
+    """df whose notes come from a parallel list of lines, where the two can be aligned.
+
+    The first row (in order) of a key whose note of two characters or more stands in a line, in any case,
+    fixes the offset: the first such line minus the row's number. It counts only if the list reaches from there to the last
+    row; a negative offset aligns nothing. Keys without an alignment, and those without lines,
+    keep their notes. notes: keys, place and line, a page's lines to a key, which are gathered in one array.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    lists = notes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, line))), lambda s: s[line]).alias("_lines"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    n = F.count("*").over(Window.partitionBy(*keys))
+    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n).join(lists, on, "left")
+    text = F.upper(note)
+    at = F.array_position(F.transform("_lines", lambda x: F.contains(F.upper(x), text)), True) - 1
+    rows = rows.withColumn("_j", F.when(F.length(note) > 1, at))
+    enough = (F.col("_j") >= 0) & (F.size("_lines") > F.col("_j") - F.col("_i") + F.col("_n") - 1)
+    offset = F.min(F.when(enough, F.struct("_i", (F.col("_j") - F.col("_i")).alias("d")))).over(Window.partitionBy(*keys))
+    rows = rows.withColumn("_d", offset["d"])
+    made = F.when(F.col("_d") >= 0, F.get("_lines", (F.col("_d") + F.col("_i")).cast("int"))).otherwise(F.col(note))
+    return rows.select(*[(made if c == note else F.col(f"`{c}`")).alias(c) for c in df.columns])

@@ -102,3 +102,19 @@ def keyword_categories(df: DataFrame, regexes: Sequence[tuple[str, str]], keywor
     marked = df.withColumn("_regex", F.when(~skipped, by_regex)).withColumn("_word", by_keyword(F.when(F.col("_regex") == "", bare), kind))
     usual = F.coalesce(*[F.when(channel == c, F.lit(name)) for c, name in default.items()], F.lit(""))
     return marked.withColumn(out, F.when(skipped, "").when(F.col("_regex") != "", F.col("_regex")).when(F.col("_word") != "", F.col("_word")).otherwise(usual)).drop("_regex", "_word")
+
+
+def first_by_literal(df: DataFrame, text: str, rules: DataFrame, out: str = "label") -> DataFrame:
+    """df with out: the label of the first rule whose pattern fits the text, null where none does; for rule tables of any size.
+
+    rules: place (the order of trial), label, pattern and literal, an upper-case word that
+    stands as a whole word in every text that the pattern fits (null where there is none).
+    A text's words fetch the rules of their literals, so only these patterns run on it; rules
+    without a literal meet every text. Each different text is judged once. Null texts fit nothing.
+    """
+    said = F.coalesce(F.col("literal"), F.lit(""))
+    texts = df.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    words = F.array_distinct(F.concat(F.split(F.upper("_text"), "[^0-9A-Z]+"), F.array(F.lit(""))))
+    met = texts.select("_text", F.explode(words).alias("_word")).join(rules.withColumn("_word", said), "_word").where(F.expr("rlike(_text, pattern)"))
+    first = met.groupBy("_text").agg(F.min(F.struct("place", "label")).alias("_first"))
+    return df.join(first, F.col(text) == F.col("_text"), "left").withColumn(out, F.col("_first.label")).drop("_text", "_first")

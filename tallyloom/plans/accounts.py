@@ -9,9 +9,10 @@ from tallyloom.model import shared, table, transactions
 from tallyloom.operators import accounts, rules
 from tallyloom.plans.registry import query, worn
 from tallyloom.sources import files, sinks
+from tallyloom.streaming.stores import KeyedStore
 
 _PAID = """SELECT account_id, seq, CAST(substr(CAST(date AS STRING), 1, 10) AS DATE) AS date, transaction_type, CASE WHEN account_id % 4 = 0 THEN 5000.0 + seq % 3 ELSE amount END AS amount, CASE WHEN account_id % 11 = 0 THEN 'loans' ELSE transaction_channel END AS transaction_channel,
-  CASE account_id % 5 WHEN 0 THEN 'NEFT acme ltd' WHEN 1 THEN CASE WHEN seq % 2 = 0 THEN 'RTGS' ELSE 'neft' END WHEN 2 THEN 'tech imps 7' ELSE transaction_note END AS transaction_note FROM txn WHERE account_id % 3 > 0 OR month(date) = 1"""
+  CASE account_id % 5 WHEN 0 THEN 'NEFT acme ltd' WHEN 1 THEN CASE WHEN seq % 2 = 0 THEN 'RTGS' ELSE 'neft' END WHEN 2 THEN 'tech imps 7' ELSE transaction_note END AS transaction_note FROM txn"""
 
 
 @query(
@@ -100,23 +101,21 @@ def snk_7_spilled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(kept.select("account_id", F.col("object_key").isNotNull().alias("spilled")), "account_id")
 
 
-@query("SELECT statement_id, page_number, seq, CASE WHEN seq % 50 = 0 THEN 'patched' ELSE transaction_note END AS transaction_note, bool_or(seq % 50 = 0) OVER (PARTITION BY page_number) AS dirty FROM txn WHERE account_id < 40")
+@query("SELECT statement_id, page_number, seq, CASE WHEN seq % 50 = 0 THEN 'patched' ELSE transaction_note END AS transaction_note, bool_or(seq % 50 = 0) OVER (PARTITION BY statement_id, page_number) AS dirty FROM txn")
 def snk_6_dirty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the pages with a changed row are written again; the others' files stay."""
-    store = shared(spark, "pages")
-    t = transactions(spark, sf_dir).where("account_id < 40").select("statement_id", "page_number", "seq", "transaction_note")
-    sinks.append_table(t, store, ["page_number"])
-    stored = spark.read.schema("statement_id string, seq long, transaction_note string, page_number int").parquet(store)
-    patches = stored.where("seq % 50 = 0").select("seq", F.lit(1).alias("at"), F.lit("transaction_note").alias("column"), F.lit("patched").alias("value"))
-    marked = shared(spark, "dirty")
-    stored.where("seq % 50 = 0").select("page_number").distinct().write.parquet(marked)
-    dirty = spark.read.schema("page_number int").parquet(marked)
-    changed = rules.apply_patches(stored.join(dirty, "page_number", "left_semi"), patches, "seq", ["transaction_note"], "at")
-    staged = shared(spark, "staged")
-    changed.write.parquet(staged)
-    sinks.overwrite_partitions(spark.read.parquet(staged), store, ["page_number"])
-    back = spark.read.schema(stored.schema).parquet(store)
-    return back.join(dirty.withColumn("dirty", F.lit(True)), "page_number", "left").select("statement_id", "page_number", "seq", "transaction_note", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+    """Only the pages (of a statement) with a changed row are written again, as a later layer of a keyed store."""
+    page = F.concat_ws("/", "statement_id", F.col("page_number").cast("string")).alias("page")
+    t = transactions(spark, sf_dir).select(page, "statement_id", "page_number", "seq", "transaction_note")
+    pages = t.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "statement_id", "page_number", "transaction_note"))).alias("rows"))  # a page's rows
+    store = KeyedStore(spark, shared(spark, "pages"), "page", pages.schema, buckets=16)
+    store.write(pages, 0)
+    patches = t.where("seq % 50 = 0").select("page", "seq").groupBy("page").agg(F.collect_set("seq").alias("patched"))
+    note = lambda r, patched: F.when(F.array_contains(patched, r["seq"]), "patched").otherwise(r["transaction_note"]).alias("transaction_note")
+    changed = store.read(before=1).join(patches, "page").select("page", F.transform("rows", lambda r: F.struct(r["seq"].alias("seq"), r["statement_id"].alias("statement_id"), r["page_number"].alias("page_number"), note(r, F.col("patched")))).alias("rows"))
+    store.write(changed, 1)
+    written_again = spark.read.schema(store.stored).parquet(f"{store.root}/deltas/epoch=1").select("page", F.lit(True).alias("dirty"))
+    back = store.read().join(written_again, "page", "left").select(F.explode("rows").alias("r"), F.coalesce("dirty", F.lit(False)).alias("dirty"))
+    return back.select("r.statement_id", "r.page_number", "r.seq", "r.transaction_note", "dirty")
 
 
 @query("SELECT p_partkey, p_brand, p_size FROM part", txn=False)
@@ -164,23 +163,30 @@ def src_2_4_5_statement_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.join(by_hash, "hash").select("statement_id", "page_number", "sequence_number", "template_id", "place", "pages")
 
 
-@query("SELECT 'upi' AS channel, 0 AS priority, '^UPI/' AS pattern UNION ALL SELECT 'upi', 0, 'VPA' UNION ALL SELECT 'chq', 1, '^CHQ'", txn=False)
+@query("SELECT r_name AS bank, n_name AS channel, CAST(dense_rank() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INTEGER) AS priority, pattern FROM (SELECT r_name, n_name, unnest(['^' || n_name, upper(substr(n_name, 1, 2)) || '$']) AS pattern FROM nation JOIN region ON n_regionkey = r_regionkey)", txn=False)
 def src_28_rule_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule tables read from their JSON file, priorities by place."""
+    """Rule tables read from JSON files, one a bank (here a region, whose channels are its nations); priorities by place."""
     out = shared(spark, "rules")
-    spark.createDataFrame([('{"order": ["upi", "chq"], "patterns": {"upi": ["^UPI/", "VPA"], "chq": ["^CHQ"], "unused": ["X"]}}',)], "value string").coalesce(1).write.text(out)
-    raw = spark.read.text(out).select(F.from_json("value", "`order` array<string>, patterns map<string, array<string>>").alias("r"))
-    placed = raw.select(F.posexplode("r.order").alias("priority", "channel"), F.col("r.patterns").alias("p"))
-    return placed.select("channel", "priority", F.explode(F.element_at("p", F.col("channel"))).alias("pattern"))
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    patterns = F.array(F.concat(F.lit("^"), "n_name"), F.concat(F.upper(F.substring("n_name", 1, 2)), F.lit("$")))
+    held = named.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_name", patterns.alias("p")))).alias("c"))  # a region's nations
+    order, lists = F.transform("c", lambda x: x["n_name"]), F.map_from_entries(F.transform("c", lambda x: F.struct(x["n_name"], x["p"])))
+    held.select(F.to_json(F.struct(F.col("r_name").alias("bank"), order.alias("order"), lists.alias("patterns")))).write.text(out)
+    raw = spark.read.text(out).select(F.from_json("value", "bank string, `order` array<string>, patterns map<string, array<string>>").alias("r"))
+    placed = raw.select("r.bank", F.posexplode("r.order").alias("priority", "channel"), F.col("r.patterns").alias("p"))
+    return placed.select("bank", "channel", "priority", F.explode(F.element_at("p", F.col("channel"))).alias("pattern"))
 
 
-@query("SELECT 'a' AS kind, 'u1' AS uuid, '^x' AS regex, 4 AS corners UNION ALL SELECT 'a', 'u2', 'y$', 0 UNION ALL SELECT 'b', 'u3', 'z', 4 UNION ALL SELECT 'memory', 'u4', 'm', 2", txn=False)
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS kind, s_name AS uuid, '^' || s_name AS regex, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 4 END AS INTEGER) AS corners FROM supplier UNION ALL SELECT 'memory', r_name, r_name || '$', 2 FROM region", txn=False)
 def src_29_30_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates from files of one JSON object each, and from a list in memory."""
+    """Templates from files of one JSON object each (here the suppliers of a nation), and from a list in memory."""
     out = shared(spark, "templates")
-    texts = ['{"a": [{"uuid": "u1", "regex": "^x", "bbox": [0, 1, 2, 3]}, {"uuid": "u2", "regex": "y$", "bbox": []}]}', '{"b": [{"uuid": "u3", "regex": "z", "bbox": [1, 1, 2, 2]}]}']
-    spark.createDataFrame([(t,) for t in texts], "value string").repartition(2).write.text(out)
-    held = files.rows(spark, [("memory", "u4", "m", [0.0, 1.0])], "kind string, uuid string, regex string, bbox array<double>")
+    box = F.when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<double>")).otherwise(F.array(*[F.lit(float(k)) for k in range(4)]))
+    one = F.struct(F.col("s_name").alias("uuid"), F.concat(F.lit("^"), "s_name").alias("regex"), box.alias("bbox"))
+    by_kind = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("kind")).agg(F.collect_list(one).alias("t"))  # a nation's file
+    by_kind.select(F.to_json(F.create_map("kind", "t"))).write.text(out)
+    listed = [("memory", r["r_name"], f"{r['r_name']}$", [0.0, 1.0]) for r in table(spark, sf_dir, "region").select("r_name").collect()]  # five rows, the list
+    held = files.rows(spark, listed, "kind string, uuid string, regex string, bbox array<double>")
     return files.templates(spark, out).select("kind", "uuid", "regex", "bbox").union(held).select("kind", "uuid", "regex", F.size("bbox").alias("corners"))
 
 

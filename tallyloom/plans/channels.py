@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.model import table, transactions
-from tallyloom.operators import channels
+from tallyloom.operators import channels, rules
 from tallyloom.plans.registry import query, worn
 
 #: Transactions whose notes, amounts and types make every branch of the channel rules fire; the same text in both engines.
@@ -55,6 +55,28 @@ def sca_26_27_28_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", "transaction_channel", "transaction_channel_regex")
 
 
+#: The same with the account's category and country, notes that hold ACH as a word or a part, and payees to capture.
+_KEPT = f"""SELECT seq, account_id, date, transaction_type, amount, CASE WHEN seq % 31 = 3 THEN 'ach-debit of a' WHEN seq % 31 = 4 THEN 'teacher 7' WHEN seq % 31 = 5 THEN 'PAID TO: ann lee /9' WHEN seq % 31 = 6 THEN 'from bob rd' ELSE transaction_note END AS transaction_note,
+  CASE account_id % 4 WHEN 0 THEN 'overdraft' WHEN 1 THEN 'individual' WHEN 2 THEN 'corporate' END AS category, CASE account_id % 3 WHEN 0 THEN 'ID' WHEN 1 THEN 'IN' END AS country FROM ({_NOTES}) x"""
+_KEPT_DEBIT = [("salary_paid", ["WAGES"]), ("auto_debit_payment", ["ACH"]), *_DEBIT[1:]]
+_KEPT_SQL = _CHANNEL_SQL.replace(f"notes AS ({_NOTES})", f"notes AS ({_KEPT})").replace("amount >= 5000 AND", "coalesce(category, '') <> 'individual' AND amount >= 5000 AND").replace("amount <= 50000 AND", "(amount <= 50000 OR coalesce(country, '') = 'ID') AND")
+_KEPT_SQL = _KEPT_SQL.replace("      WHEN (amount <= 50000 OR coalesce(country, '') = 'ID') AND contains(n, 'MIN BAL')", "      WHEN regexp_matches(n, '\\bACH\\b') THEN 'auto_debit_payment|ACH'\n      WHEN (amount <= 50000 OR coalesce(country, '') = 'ID') AND contains(n, 'MIN BAL')")
+_KEPT_SQL = _KEPT_SQL.replace("      WHEN starts_with(n, 'ATM')", "      WHEN category = 'overdraft' AND contains(n, 'CC INTEREST') THEN 'cc_interest|CC INTEREST'\n      WHEN starts_with(n, 'ATM')")
+
+
+@query(
+    f"""WITH {_KEPT_SQL}, u AS (SELECT *, upper(regexp_replace(transaction_note, '[^\\x00-\\x7F]', ' ', 'g')) AS t FROM found)
+    SELECT seq, split_part(f, '|', 1) AS transaction_channel, split_part(f, '|', 2) AS transaction_channel_regex,
+      CASE WHEN transaction_type = 'debit' AND regexp_matches(t, 'PAID TO: ([A-Z ]+)') THEN regexp_extract(t, 'PAID TO: ([A-Z ]+)', 1) WHEN transaction_type = 'debit' AND regexp_matches(t, '^UPI/([^/]+)/') THEN regexp_extract(t, '^UPI/([^/]+)/', 1)
+        WHEN transaction_type = 'credit' AND regexp_matches(t, 'FROM ([A-Z]+)') THEN regexp_extract(t, 'FROM ([A-Z]+)', 1) ELSE '' END AS unclean_merchant FROM u"""
+)
+def sca_26_27_account_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels by the category and country of each account, and the merchant that the note names."""
+    t = channels.channel(worn(spark, sf_dir, _KEPT), _KEPT_DEBIT, _CREDIT, _CHARGES, _SKIP_DEBIT, _SKIP_CREDIT, F.col("category"), F.col("country"))
+    payee = channels.merchant(["PAID TO: ([A-Z ]+)", "^UPI/([^/]+)/"], ["FROM ([A-Z]+)"])
+    return t.select("seq", "transaction_channel", "transaction_channel_regex", payee.alias("unclean_merchant"))
+
+
 _CHANNELS = ["salary", "refund", "cash_withdrawl", "cash_deposit", "bank_charge", "inward_cheque_bounce", "auto_debit_payment", "net_banking_transfer", "upi", "bi_fast", "Other"]
 _LISTS = {
     "deposit_by_machine": ["CDM"], "chq_bounce_insuff_funds": ["INSUFF"], "chq_technical_bounce": ["SIGNATURE"], "minimum_balance_charge": ["MIN BAL"], "sms_charge": ["SMS"], "pension": ["PENSION"], "gst": ["GST"],
@@ -155,3 +177,17 @@ def udf_14_15_classified_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "input_hash string, transaction_channel string")
     _, known = channels.classified_once(rows.where("account_id % 3 = 0"), none, inputs, classify, outputs)
     return channels.classified_once(rows, known, inputs, classify, outputs)[0].select("seq", "transaction_channel", "from_cache")
+
+
+@query(
+    """WITH r AS (SELECT 2 * c_custkey AS place, c_mktsegment AS label, '(?i)customer#0*' || c_custkey || '/[0-9]*[02468]$' AS pattern, printf('%09d', c_custkey) AS literal FROM customer WHERE c_custkey % 3 <> 2 UNION ALL SELECT 2 * c_custkey + 1, 'odd ' || c_nationkey, '#0*' || c_custkey || '/', printf('%09d', c_custkey) FROM customer UNION ALL SELECT -1, 'cash', '^CASH', NULL)
+    SELECT seq, arg_min(label, place) AS label FROM (SELECT seq, r.label, r.place FROM txn LEFT JOIN r ON (r.literal IS NULL OR contains(transaction_note, '#' || r.literal || '/')) AND regexp_matches(transaction_note, r.pattern)) x GROUP BY 1"""
+)
+def sca_26_34_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two patterns a customer and one for all: as many rules as a bank's lenders and merchants, found by their literals."""
+    c, literal = table(spark, sf_dir, "customer"), F.format_string("%09d", "c_custkey")
+    even = c.where("c_custkey % 3 <> 2").select((2 * F.col("c_custkey")).alias("place"), F.col("c_mktsegment").alias("label"), F.concat(F.lit("(?i)customer#0*"), F.col("c_custkey").cast("string"), F.lit("/[0-9]*[02468]$")).alias("pattern"), literal.alias("literal"))
+    any_ = c.select((2 * F.col("c_custkey") + 1).alias("place"), F.concat(F.lit("odd "), F.col("c_nationkey").cast("string")).alias("label"), F.concat(F.lit("#0*"), F.col("c_custkey").cast("string"), F.lit("/")).alias("pattern"), literal.alias("literal"))
+    cash = c.sparkSession.createDataFrame([(-1, "cash", "^CASH", None)], "place long, label string, pattern string, literal string")
+    found = rules.first_by_literal(transactions(spark, sf_dir), "transaction_note", even.union(any_).unionByName(cash))
+    return found.select("seq", "label")

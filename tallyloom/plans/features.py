@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.model import by_account, signed, table, transactions
-from tallyloom.operators import features, rules, sets, windows
-from tallyloom.plans.registry import query
+from tallyloom.operators import features, recurring, rules, salary, sets, statements, windows
+from tallyloom.plans.registry import query, worn
 
 _W = "WINDOW w AS (PARTITION BY account_id ORDER BY date, seq)"
 _ROW = "account_id long, seq long, date timestamp, transaction_type string, amount double, balance double"
@@ -175,6 +175,48 @@ def clu_2_3_4_fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.per_group(t, "account_id", ["date", "seq"], group, "account_id long, seq long, date timestamp, transaction_note string, group_no int").select("account_id", "seq", "group_no")
 
 
+#: Each account's rows by four statements: most rows, a later stretch that overlaps, one inside the first, and (some) one after a gap.
+LISTS = """SELECT account_id, p.part, seq, date, transaction_type, amount, balance, CASE WHEN p.part = 1 AND seq % 3 = 0 THEN lower(transaction_note) ELSE transaction_note END AS transaction_note
+  FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY date, seq) AS k, count(*) OVER (PARTITION BY account_id) AS n FROM txn) t
+  JOIN (SELECT 0 AS part, 0.0 AS a, 0.6 AS b UNION ALL SELECT 1, 0.35, 0.8 UNION ALL SELECT 2, 0.2, 0.5 UNION ALL SELECT 3, 0.85, 1.0) p ON k > floor(n * p.a) AND k <= floor(n * p.b)"""
+
+#: Statements of one to many rows, a seventh of them each: as they are, with flipped types, halves exchanged, reversed, with a gap, with wrong balances, with a block repeated.
+JUMBLED = """SELECT CAST(account_id AS STRING) AS statement_id, seq, date, CASE WHEN account_id % 7 = 1 AND k % 4 = 2 THEN CASE WHEN transaction_type = 'debit' THEN 'credit' ELSE 'debit' END ELSE transaction_type END AS transaction_type, amount,
+  CASE WHEN account_id % 7 = 5 AND k % 3 = 1 THEN balance + 17 ELSE balance END AS balance, transaction_note, CASE WHEN seq % 5 = 0 THEN 'c7' END AS chq_num, page_number,
+  CASE WHEN account_id % 7 = 2 THEN (k + n - floor(n / 2)) % n WHEN account_id % 7 = 3 THEN n - k ELSE k END * 1000 + copy AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY date, seq) AS k, count(*) OVER (PARTITION BY account_id) AS n FROM txn) t
+  JOIN (SELECT 0 AS copy UNION ALL SELECT 2500 AS copy) c ON copy = 0 OR (account_id % 7 = 6 AND (k = 3 OR k = 4))
+  WHERE NOT (account_id % 7 = 4 AND k > floor(n / 3) AND k <= floor(n / 2))"""
+
+#: Notes of many lengths, some alike, for small accounts and a few that many share.
+NOTED = """SELECT CASE WHEN account_id % 2 = 0 THEN account_id ELSE -1 - account_id % 7 END AS account_id, seq, date, transaction_type, CASE WHEN seq % 10 = 9 THEN 'salary' ELSE transaction_channel END AS transaction_channel,
+  CASE WHEN seq % 4 = 1 THEN lower(bank_name) || ' stores of the ' || chr(CAST(97 + seq % 11 AS INTEGER)) || ' ward' END AS merchant,
+  CASE seq % 7 WHEN 0 THEN 'NEFT/' || bank_name || ' traders and sons/' || seq
+    WHEN 1 THEN 'IMPS-rent of flat ' || chr(CAST(97 + seq % 17 AS INTEGER)) || chr(CAST(97 + seq % 5 AS INTEGER)) || 'lane paid-' || seq
+    WHEN 2 THEN 'instalment of the yearly household insurance premium number ' || seq || ' for policy of class ' || bank_name || ' holder ' || chr(CAST(97 + seq % 19 AS INTEGER)) || 'yz'
+    WHEN 3 THEN 'a/c xxxxx' || (seq % 9) || '12 ' || chr(CAST(97 + seq % 3 AS INTEGER)) || 'q'
+    WHEN 4 THEN 'shop' || chr(CAST(97 + seq % 23 AS INTEGER)) || 'mart'
+    WHEN 5 THEN lower(bank_name) || (seq % 6) || '@ybl/9876543210/ref' || seq
+    ELSE transaction_note END AS transaction_note
+  FROM txn"""
+
+
+@query()
+def clu_2_4_6_recurring_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers for accounts up to 40 rows of a type (a low bound, so that both ways are taken at any scale), runs of three beyond."""
+    rows = worn(spark, sf_dir, NOTED)
+    found = recurring.recurring_groups(rows, ["account_id", "transaction_type"], ["date", "seq"], "transaction_note", "transaction_channel", F.col("merchant"), limit=40)
+    return found.select("account_id", "seq", "group_no", "group_size")
+
+
+@query()
+def clu_3_top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest group at one threshold of each account and type."""
+    rows = worn(spark, sf_dir, NOTED)
+    found = recurring.recurring_groups(rows, ["account_id", "transaction_type"], ["date", "seq"], "transaction_note", "transaction_channel", rule=recurring.alike(90.0))
+    return recurring.top_group(found).select("account_id", "seq", "group_size")
+
+
 @query("SELECT account_id, CASE WHEN count(*) < 3 THEN 'OTHER' ELSE transaction_channel END AS grp, count(*) AS n FROM txn GROUP BY account_id, transaction_channel")
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = transactions(spark, sf_dir).groupBy("account_id", "transaction_channel").agg(F.count("*").alias("n"))
@@ -192,6 +234,76 @@ def clu_7_salary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.salary_stream(credits, "chq", F.col("account_id") % 10 == 1, 3).select("seq", "method")
 
 
+#: Many credits in few months: one account a nation-sized group, dates within 500 days.
+PAID = """SELECT account_id % 25 AS account_id, seq, TIMESTAMP '2020-01-05 00:00:00' + INTERVAL '1' DAY * CAST((seq * 37) % 500 AS INTEGER) AS date, transaction_type, CASE WHEN seq % 3 = 0 THEN 20000.0 + amount / 100 ELSE 20000.0 + amount / 10 END AS amount,
+  CASE WHEN account_id % 25 = 3 AND seq % 7 = 0 THEN 'salary' WHEN seq % 5 = 1 THEN 'upi' ELSE 'neft' END AS transaction_channel,
+  CASE seq % 4 WHEN 0 THEN 'NEFT/ACME INDUSTRIES PVT LTD/' || seq WHEN 1 THEN 'orange lane ' || chr(CAST(97 + seq % 9 AS INTEGER)) || 'bc' WHEN 2 THEN 'RTGS river clinic salary ' || seq ELSE transaction_note END AS transaction_note
+  FROM txn"""
+_PAY_MONTH = "strftime(CASE WHEN day(date) < 20 THEN date - INTERVAL 1 DAY * day(date) ELSE date END, '%Y-%m')"
+
+
+@query(
+    f"""WITH g AS ({PAID}), l AS (SELECT *, lag(month) OVER (PARTITION BY account_id ORDER BY month) AS before FROM (SELECT DISTINCT account_id, strftime(date, '%Y-%m') AS month FROM g)),
+    c AS (SELECT *, {_PAY_MONTH} AS sm, row_number() OVER (PARTITION BY account_id ORDER BY date DESC, seq DESC) AS b FROM g WHERE transaction_type = 'credit'),
+    d AS (SELECT *, abs(mid - amount) / mid AS delta FROM (SELECT *, median(CASE WHEN b <= 6 THEN amount END) OVER (PARTITION BY account_id) AS mid FROM c)),
+    e AS (SELECT *, count(*) OVER (PARTITION BY account_id, sm) AS n, row_number() OVER (PARTITION BY account_id, sm ORDER BY date, seq) AS k,
+      row_number() OVER (PARTITION BY account_id, sm ORDER BY CASE WHEN delta < 0.3 THEN delta END NULLS LAST, amount DESC, date, seq) AS best FROM d WHERE delta < 0.4),
+    f AS (SELECT e.*, l.month IS NOT NULL AND e.n > 1 AS several, l.before, x.sm AS held FROM e LEFT JOIN l ON l.account_id = e.account_id AND l.month = e.sm LEFT JOIN (SELECT DISTINCT account_id, sm FROM e) x ON x.account_id = e.account_id AND x.sm = l.before),
+    p AS (SELECT *, several AND before IS NOT NULL AND held IS NULL AS push FROM f),
+    q AS (SELECT account_id, seq, date, CASE WHEN push AND k = 1 THEN before ELSE sm END AS salary_month FROM p WHERE NOT several OR push OR best = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY account_id, salary_month ORDER BY date DESC, seq DESC) AS z FROM q)
+    SELECT account_id, salary_month, seq FROM (SELECT *, count(*) OVER (PARTITION BY account_id) AS n FROM r WHERE z = 1) WHERE n > 1"""
+)
+def win_31_salary_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = worn(spark, sf_dir, PAID)
+    out = salary.one_per_month(rows.where("transaction_type = 'credit'"), "account_id", ["date", "seq"], salary.account_months(rows, "account_id"))
+    return out.select("account_id", "salary_month", "seq")
+
+
+@query(
+    f"""WITH g AS ({PAID}), c AS (SELECT *, {_PAY_MONTH} AS sm FROM g WHERE transaction_type = 'credit'),
+    s AS (SELECT account_id, transaction_channel, count(*) AS n, count(DISTINCT sm) AS months, round(median(amount), 6) AS middle, sum(amount) / count(DISTINCT sm) AS mean, max(date) AS latest, count(*) FILTER (date >= TIMESTAMP '2021-01-01') AS recent FROM c GROUP BY 1, 2),
+    b AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY mean DESC, latest DESC, transaction_channel) AS r FROM s WHERE recent >= 1),
+    t AS (SELECT c.account_id, c.transaction_channel, bool_and(regexp_matches(upper(transaction_note), 'NEFT|RTGS')) AS bank_transfers, bool_and(day(date) <= 6 OR day(date) >= 24) AS month_end FROM c GROUP BY 1, 2)
+    SELECT b.account_id, b.transaction_channel, b.n, b.months, b.middle, round(b.mean, 6) AS mean_month, b.recent, t.bank_transfers, t.month_end FROM b JOIN t ON b.account_id = t.account_id AND b.transaction_channel = t.transaction_channel WHERE r = 1"""
+)
+def srt_12_best_salary_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    credits = worn(spark, sf_dir, PAID).where("transaction_type = 'credit'")
+    groups = salary.possible_groups(credits, "account_id", "transaction_channel", F.lit("2021-01-01").cast("timestamp"))
+    best = salary.best_groups(groups.where("recent >= 1"), "account_id", "transaction_channel")
+    tests = salary.group_tests(credits, ["account_id", "transaction_channel"]).select("account_id", "transaction_channel", "bank_transfers", "month_end")
+    return best.join(tests, ["account_id", "transaction_channel"]).select("account_id", "transaction_channel", "n", "months", F.round("middle", 6).alias("middle"), F.round("mean_month", 6).alias("mean_month"), "recent", "bank_transfers", "month_end")
+
+
+@query()
+def clu_7_salaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each account's salary, over notes and amounts of which some recur."""
+    rows = worn(spark, sf_dir, PAID)
+    _, summary = salary.salaries(rows, "account_id", ["date", "seq"], (F.col("account_id") == 7) & F.col("transaction_note").contains("ACME"))
+    return summary
+
+
+@query()
+def set_3_src_5_folded_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts folded from statements that overlap, stand in one another and leave gaps."""
+    out = statements.folded_lists(worn(spark, sf_dir, LISTS), ["account_id"], "part", ["date", "seq"])
+    return out.select("account_id", "part", "seq")
+
+
+@query()
+def win_14_33_merged_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of statements that were jumbled in several ways, after their repair, with their places."""
+    rows, _ = statements.merged_statements(worn(spark, sf_dir, JUMBLED), "statement_id", "place")
+    place = F.row_number().over(Window.partitionBy("statement_id").orderBy("_order")).cast("long")
+    return rows.select("statement_id", "seq", "transaction_type", F.round("amount", 2).alias("amount"), F.round("balance", 2).alias("balance"), place.alias("place"))
+
+
+@query()
+def win_14_statement_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, verdicts = statements.merged_statements(worn(spark, sf_dir, JUMBLED), "statement_id", "place")
+    return verdicts.select("statement_id", "is_inconsistent", "breaks", F.size("ranges").alias("chunks"), "is_missing_data", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 20 MINUTES", txn=False)
 def str_10_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("status", F.when(F.col("event_type") == "click", "processing").otherwise("done"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.model import table, transactions
 from tallyloom.operators import filters as ops
+from tallyloom.operators import nested
 from tallyloom.plans.registry import query
 
 
@@ -76,6 +77,25 @@ def prj_17_dates_and_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir).select("seq", F.date_format("date", "dd/MM/yyyy").alias("date"), F.coalesce(F.nullif(F.col("transaction_channel"), F.lit("Other")), F.lit("")).alias("transaction_channel"))
 
 
+@query(
+    """SELECT seq, CASE WHEN seq % 4 = 0 THEN '' ELSE strftime(date, '%d/%m/%Y') END AS start, CASE WHEN seq % 3 = 0 THEN '' WHEN seq % 3 = 1 THEN 'odd' ELSE strftime(date, '%d/%m/%Y') END AS first_day, transaction_channel AS inner_name,
+    strftime(date, '%d/%m/%Y') AS mapped, CASE WHEN seq % 5 = 0 THEN '' ELSE transaction_type END AS mapped_type, strftime(date, '%Y-%m-%d') AS plain, seq % 6 = 0 AS no_detail FROM txn"""
+)
+def prj_17_nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records three levels deep: a struct, an array of structs that hold structs, and a map."""
+    t, text = transactions(spark, sf_dir), lambda p: F.date_format("date", p)
+    daily = F.array(F.struct(F.when(F.col("seq") % 3 == 0, "None").when(F.col("seq") % 3 == 1, "odd").otherwise(text("yyyy-MM-dd")).alias("date"), F.struct("transaction_channel").alias("inner"), F.lit(None).cast("string").alias("empty")))
+    detail = F.when(F.col("seq") % 6 != 0, F.struct(text("dd-MMM-yyyy").alias("startDate"), F.array(text("yyyy-MM-dd")).alias("plain")))
+    about = F.create_map(F.lit("xnsEndDate"), text("yyyy-MM-dd HH:mm:ss"), F.lit("kind"), F.when(F.col("seq") % 5 == 0, None).otherwise(F.col("transaction_type")))
+    head = F.struct(F.when(F.col("seq") % 4 != 0, text("yyyy-MM-dd HH:mm:ss")).alias("xnsStartDate"), daily.alias("EODBalances"), detail.alias("MonthlyDetail"), about.alias("about"), F.array(text("yyyy-MM-dd")).alias("date"))
+    out = nested.reshaped(t.select("seq", head.alias("head")), out="dd/MM/yyyy")
+    day = F.col("head.EODBalances")[0]
+    return out.select(
+        "seq", F.col("head.xnsStartDate").alias("start"), day["date"].alias("first_day"), day["inner"]["transaction_channel"].alias("inner_name"), F.col("head.about")["xnsEndDate"].alias("mapped"),
+        F.col("head.about")["kind"].alias("mapped_type"), F.col("head.date")[0].alias("plain"), F.col("head.MonthlyDetail").isNull().alias("no_detail"),
+    )
+
+
 @query("SELECT account_id, seq FROM (SELECT *, dense_rank() OVER (PARTITION BY account_id ORDER BY strftime(date, '%Y-%m') DESC) AS k FROM txn) WHERE k <= 3")
 def prj_18_last_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.last_months(transactions(spark, sf_dir), 3).select("account_id", "seq")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.model import by_account, table, transactions
-from tallyloom.operators import sets, windows
-from tallyloom.plans.registry import query
+from tallyloom.operators import coverage, sets, statements, windows
+from tallyloom.plans.registry import query, worn
 
 _W = "WINDOW w AS (PARTITION BY account_id ORDER BY date, seq)"
 _SIGNED = "CASE WHEN transaction_type = 'debit' THEN -amount ELSE amount END"
@@ -63,8 +63,7 @@ def win_9_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win_11_repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir).select("statement_id", "seq", "date")
     doubled = t.withColumn("copy", F.lit(0)).union(t.withColumn("copy", F.lit(1)))  # each statement's rows, then again
-    drop = lambda rows: windows.without_repeated_block(rows, ["seq", "date"])
-    return windows.per_group(doubled, "statement_id", ["copy", "date", "seq"], drop, "statement_id string, seq long, date timestamp, copy int").select("seq")
+    return statements.without_repeats(doubled, ["statement_id"], ["copy", "date", "seq"], ["seq", "date"]).select("seq")
 
 
 @query(f"WITH i AS (SELECT *, sum(CASE WHEN transaction_channel = 'chq' THEN 1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY date, seq ROWS UNBOUNDED PRECEDING) AS island FROM txn) SELECT account_id, CAST(island AS BIGINT) AS island, min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM i GROUP BY 1, 2")
@@ -269,6 +268,34 @@ def set_9_10_11_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.select("account_id", F.col("gap_from").cast("string").alias("gap_from"), F.col("gap_to").cast("string").alias("gap_to"))
 
 
+#: Statements of a year; those of some accounts share a row with the one before, some do not carry the balance.
+_YEARS = """SELECT account_id, seq, date, statement_id, transaction_type, amount, CASE WHEN account_id % 3 = 1 AND year(date) % 2 = 0 THEN balance + 50 ELSE balance END AS balance FROM txn
+  UNION ALL SELECT account_id, seq, date, account_id || '-' || (year(date) + 1), transaction_type, amount, CASE WHEN account_id % 3 = 1 AND year(date) % 2 = 0 THEN balance + 50 ELSE balance END FROM txn WHERE account_id % 4 = 1 AND seq % 5 = 0"""
+_ASKED = """SELECT account_id, CAST('1995-02-10' AS DATE) AS asked_from, CASE WHEN account_id % 2 = 0 THEN CAST('2000-12-31' AS DATE) ELSE CAST('2001-03-20' AS DATE) END AS asked_to, CASE WHEN account_id % 5 = 0 THEN CAST('1996-07-01' AS DATE) END AS opening FROM (SELECT DISTINCT account_id FROM txn WHERE account_id % 11 <> 0) d"""
+
+
+@query(
+    f"""WITH g AS ({_YEARS}), asked AS ({_ASKED}), z AS (SELECT *, CASE WHEN transaction_type = 'debit' THEN -amount ELSE amount END AS step, row_number() OVER (PARTITION BY account_id, statement_id ORDER BY date, seq) AS f, row_number() OVER (PARTITION BY account_id, statement_id ORDER BY date DESC, seq DESC) AS l FROM g),
+    s AS (SELECT account_id, statement_id, CAST(min(date) AS DATE) AS low, CAST(max(date) AS DATE) AS high, max(CASE WHEN f = 1 THEN step END) AS step, max(CASE WHEN f = 1 THEN balance END) AS opens, max(CASE WHEN l = 1 THEN balance END) AS closes FROM z GROUP BY 1, 2),
+    n AS (SELECT *, lag(statement_id) OVER w AS before, lag(high) OVER w AS ended, lag(closes) OVER w AS carried FROM s WINDOW w AS (PARTITION BY account_id ORDER BY low, high, statement_id)),
+    between_ AS (SELECT account_id, ended AS a, low AS b FROM n WHERE before IS NOT NULL AND low >= ended AND NOT abs(round(carried + step, 2) - opens) <= 0.1
+      AND NOT EXISTS (SELECT 1 FROM g p JOIN g q ON p.account_id = q.account_id AND p.seq = q.seq AND p.date = q.date AND p.balance = q.balance WHERE p.account_id = n.account_id AND p.statement_id = n.statement_id AND q.statement_id = n.before)),
+    e AS (SELECT s.account_id, min(low) AS low, max_by(high, (low, high)) AS high FROM s GROUP BY 1), x AS (SELECT e.*, asked_from, asked_to, opening FROM e JOIN asked USING (account_id)),
+    begun AS (SELECT DISTINCT x.account_id FROM x JOIN s ON s.account_id = x.account_id AND s.low <= date_trunc('month', asked_to) AND date_trunc('month', asked_to) <= s.high),
+    edges AS (SELECT account_id, asked_from AS a, low AS b FROM x WHERE date_diff('day', asked_from, low) > 30
+      UNION ALL SELECT account_id, high, asked_to FROM x WHERE date_diff('day', high, asked_to) > 4 AND NOT (date_diff('day', high, asked_to) <= 40 AND asked_to <> last_day(asked_to) AND account_id IN (SELECT account_id FROM begun))),
+    every AS (SELECT u.*, asked.opening FROM (SELECT * FROM between_ UNION ALL SELECT * FROM edges) u LEFT JOIN asked ON asked.account_id = u.account_id),
+    cut AS (SELECT account_id, CASE WHEN a <= opening THEN opening ELSE a END AS a, b FROM every WHERE (opening IS NULL OR b >= opening) AND NOT (opening IS NOT NULL AND a <= opening AND b = opening)),
+    r AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY account_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM cut),
+    k AS (SELECT *, sum(fresh) OVER (PARTITION BY account_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM r)
+    SELECT account_id, strftime(min(a), '%Y-%m-%d') AS gap_from, strftime(max(b), '%Y-%m-%d') AS gap_to FROM k GROUP BY account_id, run"""
+)
+def set_9_missing_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = worn(spark, sf_dir, _YEARS)
+    out = coverage.missing_ranges(rows, "account_id", "statement_id", ["date", "seq"], ["seq", "date", "balance"], worn(spark, sf_dir, _ASKED), grace=4, ignore_first=30, ignore_last=40)
+    return out.select("account_id", F.col("gap_from").cast("string").alias("gap_from"), F.col("gap_to").cast("string").alias("gap_to"))
+
+
 @query("SELECT account_id, CASE WHEN count(*) < 5 THEN 'too_few_rows' WHEN count(DISTINCT statement_id) < 4 THEN 'too_few_statements' WHEN min(balance) < -500000 THEN 'overdrawn' ELSE 'completed' END AS status FROM txn GROUP BY 1")
 def set_12_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = F.when(F.count("*") < 5, "too_few_rows").when(F.countDistinct("statement_id") < 4, "too_few_statements").when(F.min("balance") < -500000, "overdrawn")

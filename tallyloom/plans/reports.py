@@ -127,10 +127,10 @@ class PageRows:
                 yield place, cells[1], float(cells[2])
 
 
-@query("SELECT statement_id, page_number, CAST(row_number() OVER (PARTITION BY statement_id, page_number ORDER BY seq) AS INTEGER) AS place, transaction_note AS note, amount FROM txn WHERE account_id < 60")
+@query("SELECT statement_id, page_number, CAST(row_number() OVER (PARTITION BY statement_id, page_number ORDER BY seq) AS INTEGER) AS place, transaction_note AS note, amount FROM txn")
 def udf_3_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of text turned into rows by a table function, a page at a time."""
     expand = F.udtf(PageRows, returnType="place int, note string, amount double")
     rows = F.array_sort(F.collect_list(F.struct("seq", F.concat_ws("|", F.lit("d"), "transaction_note", F.format_string("%.2f", "amount")).alias("line"))))
-    t = transactions(spark, sf_dir).where("account_id < 60").groupBy("statement_id", "page_number").agg(F.concat(F.lit("Statement of account\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), F.lit("\ntotal")).alias("page"))
+    t = transactions(spark, sf_dir).groupBy("statement_id", "page_number").agg(F.concat(F.lit("Statement of account\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), F.lit("\ntotal")).alias("page"))
     return t.lateralJoin(expand(F.col("page").outer())).select("statement_id", "page_number", "place", "note", "amount")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.model import shared, table
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import ORACLE_SQL, query
 from tallyloom.sources import files
 from tallyloom.streaming import consumers, streams
+from tallyloom.streaming.stores import KeyedStore
 
 _EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
@@ -97,6 +98,32 @@ def str_4_15_16_snk_10_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{store}/v{consumers.versions(spark, store)[-1]}")
 
 
+@query(ORACLE_SQL["str_4_15_16_snk_10_ingest"], txn=False)
+def str_4_15_16_keyed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over keyed stores, where a batch reads and writes the buckets of its own statements."""
+    rows = _queue(spark, sf_dir, per_trigger=1).selectExpr(*_INFO)
+    statements = KeyedStore(spark, shared(spark, "statements"), "statement_id", rows.select("statement_id", "inconsistent_hash", "pdf_hash").schema, buckets=16)
+    documents = KeyedStore(spark, shared(spark, "documents"), "pdf_hash", rows.select("pdf_hash", "statement_id").schema, buckets=16)
+    write = rows.writeStream.foreachBatch(consumers.ingest_keyed(statements, documents, ["ts", "event_id"])).option("checkpointLocation", shared(spark, "checkpoint")).trigger(availableNow=True)
+    write.start().awaitTermination()
+    return statements.read()
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1", txn=False)
+def snk_9_13_latest_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event, batch by batch; then the whole stream again under a new checkpoint, which changes nothing."""
+    path = arrivals(spark, sf_dir)
+    schema = files.queue(spark, path, _EVENT, 1).select("user_id", "event_id", "event_type").schema
+    store, last = KeyedStore(spark, shared(spark, "latest"), "user_id", schema, buckets=8, merge_from=2), 0
+    for first, per_trigger in ((0, 1), (1000, 1000)):
+        rows = files.queue(spark, path, _EVENT, per_trigger).select("user_id", "event_id", "event_type")
+        keep = consumers.latest_each(store, "event_id")
+        later = lambda batch, epoch, first=first, keep=keep: keep(batch, first + epoch)
+        rows.writeStream.foreachBatch(later).option("checkpointLocation", shared(spark, f"checkpoint{last}")).trigger(availableNow=True).start().awaitTermination()
+        last += 1
+    return store.read()
+
+
 @query("SELECT user_id, count(*) AS seen FROM events GROUP BY 1 HAVING count(*) >= 8", txn=False)
 def str_11_page_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = _queue(spark, sf_dir).select("user_id", "ts", F.lit(8).alias("wanted"))

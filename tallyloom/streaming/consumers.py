@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.streaming.stores import KeyedStore
+
 Batch = Callable[[DataFrame, int], None]
 
 
@@ -64,6 +66,68 @@ def guarded(out: str, key: str) -> Batch:
     return write
 
 
+def once_each(store: KeyedStore) -> Batch:
+    """A foreachBatch function that keeps the first row of each key; a batch reads the buckets of its own keys only.
+
+    A batch repeated under its number sees the store as it was before it.
+    """
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        new = rows.dropDuplicates([store.key]).select(*store.schema.names).persist()
+        mine = store.buckets_of(new)
+        store.write(new.join(store.read(mine, before=epoch).select(store.key), store.key, "left_anti"), epoch)
+        store.merge(epoch, mine)
+        new.unpersist()
+
+    return write
+
+
+def latest_each(store: KeyedStore, order: str) -> Batch:
+    """A foreachBatch function that keeps the row of each key with the greatest order, reading the buckets of the batch's keys only."""
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        new = rows.groupBy(store.key).agg(F.max_by(F.struct(*store.schema.names), order).alias("r")).select("r.*").persist()
+        mine = store.buckets_of(new)
+        held = store.read(mine, before=epoch).select(F.col(store.key).alias("_k"), F.col(order).alias("_o"))
+        later = new.join(held, F.col(store.key).eqNullSafe(F.col("_k")), "left").where(F.col("_o").isNull() | (F.col(order) > F.col("_o")))
+        store.write(later.select(*store.schema.names), epoch)
+        store.merge(epoch, mine)
+        new.unpersist()
+
+    return write
+
+
+def ingest_keyed(statements: KeyedStore, documents: KeyedStore, order: list[str]) -> Batch:
+    """As ingest, over two keyed stores: statements by their key, and the statement that each pdf_hash belongs to.
+
+    A batch reads the buckets of its statements and of its documents, and writes what changed.
+    """
+    key = statements.key
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        place = F.struct(*order)
+        last_hash = F.max_by("inconsistent_hash", F.when(F.col("inconsistent_hash").isNotNull(), place))
+        new = rows.where(F.coalesce(F.col("attempt_type") != "aa", F.lit(True))).groupBy(key).agg(last_hash.alias("inconsistent_hash"), F.max_by("pdf_hash", place).alias("pdf_hash"), F.min(place).alias("_at")).persist()
+        mine = statements.buckets_of(new)
+        papers = documents.buckets_of(new.where("pdf_hash IS NOT NULL"))
+        known = statements.read(mine, before=epoch).select(F.col(key).alias("_k"), F.col("pdf_hash").alias("_p"))
+        taken = documents.read(papers, before=epoch).select(F.col("pdf_hash").alias("_d"))
+        met = new.join(known, F.col(key) == F.col("_k"), "left")
+        old = met.where(F.col("_k").isNotNull()).select(key, "inconsistent_hash", F.col("_p").alias("pdf_hash"))
+        fresh = met.where(F.col("_k").isNull()).join(taken, F.col("pdf_hash") == F.col("_d"), "left_anti")
+        first = F.row_number().over(Window.partitionBy("pdf_hash").orderBy("_at", key))
+        fresh = fresh.withColumn("_n", first).where(F.col("pdf_hash").isNull() | (F.col("_n") == 1)).select(key, "inconsistent_hash", "pdf_hash").persist()
+        # the documents first: a batch that ends between the two writes starts over with both
+        documents.write(fresh.where("pdf_hash IS NOT NULL").select("pdf_hash", key), epoch)
+        statements.write(old.unionByName(fresh), epoch)
+        statements.merge(epoch, mine)
+        documents.merge(epoch, papers)
+        new.unpersist()
+        fresh.unpersist()
+
+    return write
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

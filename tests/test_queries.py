@@ -13,6 +13,9 @@ import pytest
 from tallyloom.model import TXN_SQL
 from tallyloom.operators import similarity
 from tallyloom.plans import ORACLE_SQL, QUERIES
+from tallyloom.plans.features import JUMBLED, LISTS, NOTED
+from tests import test_statements
+from tests.test_recurring import greedy
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -113,7 +116,64 @@ def scored_transfers(got, con):
     assert {r["own"] for r in got} == {True, False}
 
 
-CHECKS = {"clu_1_minhash_pairs": minhash_pairs, "clu_2_3_4_fuzzy_groups": fuzzy_groups, "clu_8_text_clusters": text_clusters, "agg_53_tree_bins": tree_bins, "sca_33_self_transfers_scored": scored_transfers}
+def recurring_by_greedy(got, con):
+    rows = con.sql(f"{TXN} {NOTED}").fetchall()
+    given = [((r[0], r[3]), (r[2], r[1]), r[6], r[4], r[5]) for r in rows]
+    want = greedy(given, 40)
+    sides = {sum(1 for g in given if g[0] == k) > 40 for k in {g[0] for g in given}}
+    place = {r[1]: ((r[0], r[3]), (r[2], r[1])) for r in rows}
+    assert sides == {True, False} and {r["seq"]: (r["group_no"], r["group_size"]) for r in got} == {seq: want.get(p, (None, None)) for seq, p in place.items()}
+
+
+def top_by_greedy(got, con):
+    rows = con.sql(f"{TXN} {NOTED}").fetchall()
+    given = [((r[0], r[3]), (r[2], r[1]), r[6], r[4], None) for r in rows]
+    want = greedy(given, 1000, lambda a, b: (a[0] == b[0] or "salary" in (a[0], b[0])) and similarity.fuzzy(a[1], b[1]) >= 90)
+    assert {(r["seq"], r["group_size"]) for r in got} == {(p[1][1], v[1]) for p, v in want.items() if v[0] == 1} and got
+
+
+def folded_by_list(got, con):
+    rows = con.sql(f"{TXN} SELECT account_id, part, seq, date, amount, balance, transaction_type, transaction_note FROM ({LISTS}) x").fetchall()
+    want = test_statements.fold(rows)
+    assert sorted((r["account_id"], r["part"], r["seq"]) for r in got) == sorted((a, *x) for a, kept in want.items() for x in kept)
+    assert len(got) < len(rows)
+
+
+def jumbled(con):
+    rows = con.sql(f"{TXN} SELECT * FROM ({JUMBLED}) x ORDER BY statement_id, place, seq").fetchall()
+    out: dict = {}
+    for s, seq, date, kind, amount, balance, note, chq, page, place in rows:
+        out.setdefault(s, []).append({"id": (seq, place), "date": date, "type": kind, "amount": amount, "balance": balance, "note": note, "chq": chq, "page": page})
+    return {s: test_statements.put_right(x) for s, x in out.items()}
+
+
+def repaired_by_lists(got, con):
+    found: dict = {}
+    for r in sorted(got, key=lambda r: r["place"]):
+        found.setdefault(r["statement_id"], []).append((r["seq"], r["transaction_type"], r["amount"], r["balance"]))
+    assert found == {s: [(r[0][0], *r[1:]) for r in rows] for s, (rows, _) in jumbled(con).items()}
+
+
+def verdicts_by_lists(got, con):
+    want = {s: (v[0], v[1], len(v[2]), v[3], ",".join(map(str, v[4]))) for s, (_, v) in jumbled(con).items()}
+    assert {r["statement_id"]: tuple(r)[1:] for r in got} == want
+    assert {v[0] for v in want.values()} == {v[3] for v in want.values()} == {True, False}
+
+
+def salaries_by_method(got, con):
+    found = {r["account_id"]: r for r in got}
+    assert found[3]["method"] == "keyword" and found[7]["method"] == "employer_name" and found[3]["confidence"] == 100
+    assert all(r["months"] > 0 and 50 <= r["confidence"] <= 100 for r in got)
+
+
+CHECKS = {
+    "clu_7_salaries": salaries_by_method,
+    "set_3_src_5_folded_statements": folded_by_list,
+    "win_14_33_merged_statements": repaired_by_lists,
+    "win_14_statement_verdicts": verdicts_by_lists,
+    "clu_2_4_6_recurring_groups": recurring_by_greedy,
+    "clu_3_top_groups": top_by_greedy,
+    "clu_1_minhash_pairs": minhash_pairs, "clu_2_3_4_fuzzy_groups": fuzzy_groups, "clu_8_text_clusters": text_clusters, "agg_53_tree_bins": tree_bins, "sca_33_self_transfers_scored": scored_transfers}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
