@@ -28,38 +28,56 @@ def _named(keys: Sequence[str]) -> Column:
     return F.to_json(F.array(*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\u0000")) for k in keys]))
 
 
-def folded(df: DataFrame, part: str, run: str, order: Sequence[str], step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]) -> DataFrame:
-    """Runs of rows in order, each given to step(state, rows) -> (state, rows that stay); state is None before a part's first run.
+def folded(df: DataFrame, part: str, run: str, order: Sequence[str], columns: Sequence[str], step: Callable[[object, list[tuple]], tuple[object, int]], number: str | None = None) -> DataFrame:
+    """Runs of rows in order, each given to step(state, rows) -> (state, how many of its first rows go).
 
-    One run of one part is held besides the state, whatever the size of the part. part and run hold no nulls.
+    rows have the columns, in their order, nulls as None; state is None before a part's first
+    run. number: a column that takes the place, from 0, of each row that stays within its
+    part. One run is held besides the state, whatever the size of the part. part and run hold no nulls.
     """
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        state, at = None, None
-
-        def close() -> pd.DataFrame:
-            nonlocal state
-            state, out = step(state, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True))
-            held.clear()
-            return out
+        open_frames: list[tuple[pd.DataFrame, np.ndarray, np.ndarray]] = []  # rows, which stay, their places
+        rows: list[tuple] = []
+        spots: list[tuple[np.ndarray, np.ndarray, int]] = []
+        state, at, placed = None, None, 0
+
+        def close() -> None:
+            nonlocal state, placed, rows
+            state, gone = step(state, rows)
+            for k, (stays, place, i) in enumerate(spots):
+                if k < gone:
+                    stays[i] = False
+                else:
+                    place[i], placed = placed, placed + 1
+            rows = []
+            spots.clear()
+
+        def done() -> Iterator[pd.DataFrame]:
+            for frame, stays, place in open_frames:
+                yield (frame if number is None else frame.assign(**{number: place}))[stays]
+            open_frames.clear()
 
         for batch in batches:
-            keys = list(zip(batch[part].tolist(), batch[run].tolist()))
-            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
-            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
-                if a == b:
-                    continue
-                if held and keys[a] != at:
-                    out, old = close(), at
-                    state = state if keys[a][0] == old[0] else None
-                    yield out
-                at = keys[a]
-                held.append(batch.iloc[a:b])
-        if held:
-            yield close()
-
-    return df.repartition(part).sortWithinPartitions(part, run, *order).mapInPandas(stream, df.schema)
+            stays, place = np.ones(len(batch), bool), np.zeros(len(batch), np.int64)
+            cells = list(zip(*[[None if v is None or v != v else v for v in batch[c].tolist()] for c in columns]))
+            for i, key in enumerate(zip(batch[part].tolist(), batch[run].tolist())):
+                if key != at:
+                    if at is not None:
+                        close()
+                        if key[0] != at[0]:
+                            state, placed = None, 0
+                    yield from done()  # the run that opens stands in no earlier batch
+                    at = key
+                rows.append(cells[i])
+                spots.append((stays, place, i))
+            open_frames.append((batch, stays, place))
+        if at is not None:
+            close()
+        yield from done()
+
+    schema = df.schema if number is None or number in df.columns else T.StructType([*df.schema.fields, T.StructField(number, T.LongType())])
+    return df.repartition(part).sortWithinPartitions(part, run, *order).mapInPandas(stream, schema)
 
 
 _MASK, _BASE = (1 << 61) - 1, 1_000_003_019
@@ -160,16 +178,15 @@ def folded_lists(df: DataFrame, keys: Sequence[str], list_col: str, order: Seque
     heads = heads.withColumn(segment, F.concat_ws("|", F.sum("_new").over(by_first.rowsBetween(Window.unboundedPreceding, 0)), key))
     placed = rows.join(heads.select(F.col(key).alias("_k"), F.col(list_col).alias("_l"), run, segment), (F.col(key) == F.col("_k")) & F.col(list_col).eqNullSafe(F.col("_l"))).drop("_k", "_l")
 
-    def fold(state: list | None, new: pd.DataFrame) -> tuple[list, pd.DataFrame]:
-        days = new["date"].dt.normalize()
-        own = list(zip(days, new["amount"], new["balance"], new["transaction_type"], new["transaction_note"], new["date"]))
+    def fold(state: list | None, new: list[tuple]) -> tuple[list, int]:
+        own = [(r[0].normalize(), *r[1:], r[0]) for r in new]
         if not state:
-            return own, new
+            return own, 0
         low, high, last = own[0][5], own[-1][5], state[-1][5]
         begin = next((i for i, r in enumerate(state) if r[0] >= own[0][0]), len(state))
         state = state[begin:] or state[-1:]  # lists come by their first day, so no later one looks further back
         if low <= last and high <= last:
-            return state, new.iloc[:0]
+            return state, len(own)
         drop = 0
         if low <= last:
             for k, r in enumerate(state):
@@ -177,9 +194,9 @@ def folded_lists(df: DataFrame, keys: Sequence[str], list_col: str, order: Seque
                 if r[0] == own[0][0] and all(_same_row(state[k + i], own[i]) for i in range(m)):
                     drop = len(state) - k
                     break
-        return state + own[drop:], new.iloc[drop:]
+        return state + own[drop:], min(drop, len(own))
 
-    out = folded(placed, segment, run, list(order), fold)
+    out = folded(placed, segment, run, list(order), ["date", "amount", "balance", "transaction_type", "transaction_note"], fold)
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -201,11 +218,6 @@ def _alike(a: tuple, b: tuple) -> bool:
     return x == y or round(100 * (1 - edits(x, y) / max(len(x), len(y))), 2) > 75
 
 
-def _cells(rows: pd.DataFrame) -> list[tuple]:
-    columns = [rows["transaction_note"].fillna("").tolist(), *[rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in SAME]]
-    return list(zip(*columns))
-
-
 def without_overlap(before: list[tuple], own: list[tuple]) -> int:
     """How many rows of own repeat the end of before: up to the first row like its last one, if all of them are like its last rows."""
     found = next((i for i, r in enumerate(own) if _alike(before[-1], r)), None)
@@ -214,20 +226,19 @@ def without_overlap(before: list[tuple], own: list[tuple]) -> int:
     return found + 1 if all(_alike(a, b) for a, b in zip(before[len(before) - found - 1 :], own)) else 0
 
 
-def _chunk(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    """One chunk after another: contained and equal ones go, overlaps are cut; rows get their new places."""
-    cells, low, high = _cells(rows), rows["date"].iloc[0], rows["date"].iloc[-1]
-    place = 0
+def _chunk(state: tuple | None, rows: list[tuple]) -> tuple[tuple, int]:
+    """One chunk (note, then the SAME columns) after another: contained and equal ones go, overlaps are cut."""
+    cells = [(r[0] or "", *r[1:]) for r in rows]
+    low, high, cut = cells[0][1], cells[-1][1], 0
     if state is not None:
-        old_low, old_high, old, place = state
-        inside = low > old_low and high < old_high and len(cells) < len(old)
+        old_low, old_high, old = state
+        known = None not in (low, high, old_low, old_high)
+        inside = known and low > old_low and high < old_high and len(cells) < len(old)
         equal = low == old_low and high == old_high and len(cells) == len(old) and all(map(_alike, old, cells))
-        cut = len(cells) if inside or equal else without_overlap(old, cells) if old_high >= low else 0
+        cut = len(cells) if inside or equal else without_overlap(old, cells) if known and old_high >= low else 0
         if cut == len(cells):
-            return state, rows.iloc[:0]
-        rows, cells = rows.iloc[cut:], cells[cut:]
-    rows = rows.assign(_place=np.arange(place, place + len(rows)))
-    return (low, high, cells, place + len(rows)), rows
+            return state, cut
+    return (low, high, cells[cut:]), cut
 
 
 def _repaired(df: DataFrame, limit: float) -> DataFrame:
@@ -238,14 +249,14 @@ def _repaired(df: DataFrame, limit: float) -> DataFrame:
     return r.select(*kept, F.col("type").alias("transaction_type"), F.col("value").alias("amount"), F.col("sum").alias("balance"), done, F.col("inconsistent").alias("_bad"))
 
 
-def _rechained(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """df cut at its breaks, chunks by first and last date, with new places; and the chunks' heads."""
+def _rechained(df: DataFrame) -> DataFrame:
+    """df cut at its breaks, chunks by first and last date, with new places."""
     number = F.sum(F.col("_bad").cast("long")).over(Window.partitionBy("_way").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
     cut = df.withColumn("_chunk", number)
     heads = cut.groupBy("_way", "_chunk").agg(F.min_by("date", "_place").alias("low"), F.max_by("date", "_place").alias("high"))
     heads = heads.withColumn("_run", F.row_number().over(Window.partitionBy("_way").orderBy("low", "high", "_chunk")).cast("long"))  # a row a chunk
     runs = cut.join(heads.select("_way", "_chunk", "_run"), ["_way", "_chunk"])
-    return written(folded(runs, "_way", "_run", ["_place"], _chunk).drop("_chunk", "_run"), "chunks"), heads
+    return written(folded(runs, "_way", "_run", ["_place"], ["transaction_note", *SAME], _chunk, number="_place").drop("_chunk", "_run"), "chunks")
 
 
 def merged_statements(df: DataFrame, key: str, place: str, limit: float = 0.1, share: float = 0.15, rows_least: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -271,8 +282,7 @@ def merged_statements(df: DataFrame, key: str, place: str, limit: float = 0.1, s
     early = first.groupBy("_way").agg(n.alias("_n"), bad.alias("_first_bad")).withColumn("_open", (F.col("_n") > 2) & ~((F.col("_first_bad") > share * F.col("_n")) & (F.col("_n") > rows_least)))
     left = first.join(early.where("_open").select("_way"), "_way", "left_semi")
     for _ in range(2):
-        chained, _ = _rechained(left)
-        left = written(_repaired(chained, limit), "repaired")
+        left = written(_repaired(_rechained(left), limit), "repaired")
     left_bad = left.groupBy("_way").agg(F.count_if("_bad").alias("_last_bad"))
     ways = early.join(left_bad, "_way", "left").withColumn("_breaks", F.when(F.col("_n") <= 2, F.lit(0)).when(F.col("_open"), F.col("_last_bad")).otherwise(F.col("_first_bad")))
     ways = ways.withColumn("_back", F.substring("_way", 1, 1).cast("int")).withColumn("_key", F.expr("substring(_way, 3)"))

@@ -269,6 +269,23 @@ def test_merged_statements_are_put_right(spark):
     assert any(v[0] and v[3] for _, v in want.values()) and any(v[0] and not v[3] for _, v in want.values())
 
 
+def test_runs_over_many_batches(spark):
+    rows = [(p, r, i) for p in ("a", "b") for r in range(5) for i in range(r + 1)]
+    df = spark.createDataFrame(rows, "p string, r int, i int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        step = lambda state, held: ((state or 0) + 1, 1 if (state or 0) % 2 else 0)
+        got = sorted(tuple(r) for r in statements.folded(df, "p", "r", ["i"], ["i"], step, number="n").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for p in ("a", "b"):
+        kept = [(r, i) for q, r, i in rows if q == p and not (r % 2 and i == 0)]
+        want += [(p, r, i, n) for n, (r, i) in enumerate(kept)]
+    assert got == sorted(want)
+
+
 def test_no_statements(spark):
     rows, verdicts = statements.merged_statements(given(spark, []), "k", "place")
     assert rows.collect() == [] and verdicts.collect() == []
