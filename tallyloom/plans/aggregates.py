@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.model import CHANNELS, signed, table, transactions
 from tallyloom.operators import aggregates as ops
-from tallyloom.plans.registry import query
+from tallyloom.operators import rolling
+from tallyloom.plans.registry import query, worn
 
 
 
@@ -317,3 +318,50 @@ def agg_52_weight_of_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_58_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = transactions(spark, sf_dir).where("transaction_type = 'credit'").groupBy("account_id", ops.month().alias("m")).agg(F.count("*").alias("n"))
     return sizes.groupBy("account_id").agg((F.max("n") > 3).alias("over_three"), (F.count_if(F.col("n") > 1) > 1).alias("often_two"), F.count("*").alias("months"))
+
+
+#: Transactions of every channel, description and category that a rolling feature asks for.
+_CHANNELS_OF_ROLLING = list(dict.fromkeys([*rolling.CREDIT_CHANNELS, *rolling.DEBIT_CHANNELS, "investments", "salary", "Other"]))
+_DESCRIBED = ("chq_bounce_insuff_funds", "credit_card_bill", "min_bal_charge", "minimum_balance_charge", "self_transfer", "ach_bounce_charge", "lender_transaction", "")
+_ROLLED = f"""SELECT account_id, seq, date, transaction_type, amount, CASE WHEN account_id % 3 = 0 THEN balance - 300000 ELSE balance END AS balance,
+  CASE (seq * 5 + account_id) % {len(_CHANNELS_OF_ROLLING)} {' '.join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CHANNELS_OF_ROLLING))} END AS transaction_channel,
+  CASE (seq + 2 * account_id) % {len(_DESCRIBED)} {' '.join(f"WHEN {k} THEN '{d}'" for k, d in enumerate(_DESCRIBED))} END AS description,
+  CASE (seq * 3 + account_id) % 8 {' '.join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(rolling.CATEGORIES))} END AS merchant_category, (seq + account_id) % 4 = 1 AS is_lender, (seq + account_id) % 9 = 2 AS is_salary FROM txn"""
+_BEFORE = "s - CAST(day(last_day(s - INTERVAL 1 MONTH)) AS INTEGER)"
+_ROLLING_SQL = f"""g AS ({_ROLLED}), span AS (SELECT account_id, CAST(min(date) AS DATE) AS low, CAST(max(date) AS DATE) + 1 AS fin FROM g GROUP BY 1),
+  cal AS (SELECT account_id, 0 AS k, fin AS s, low FROM span UNION ALL SELECT account_id, k + 1, CAST({_BEFORE} AS DATE), low FROM cal WHERE {_BEFORE} > low),
+  mon AS (SELECT account_id, k AS month, coalesce(lead(s) OVER (PARTITION BY account_id ORDER BY k), low) AS a, s - 1 AS z, count(*) OVER (PARTITION BY account_id) AS months FROM cal),
+  r AS (SELECT g.*, mon.month FROM g JOIN mon ON g.account_id = mon.account_id AND CAST(date AS DATE) BETWEEN a AND z),
+  e AS (SELECT account_id, CAST(date AS DATE) AS day, arg_max(balance, (date, seq)) AS b, bool_or(balance < 0) AS below FROM g GROUP BY 1, 2),
+  days AS (SELECT account_id, CAST(unnest(generate_series(low, fin - 1, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
+  eod AS (SELECT d.account_id, d.day, last_value(e.b IGNORE NULLS) OVER (PARTITION BY d.account_id ORDER BY d.day ROWS UNBOUNDED PRECEDING) AS b, e.below FROM days d LEFT JOIN e ON e.account_id = d.account_id AND e.day = d.day),
+  held AS (SELECT eod.*, mon.month FROM eod JOIN mon ON eod.account_id = mon.account_id AND day BETWEEN a AND z),
+  one AS ({" UNION ALL ".join(f"SELECT account_id, month, '{name}' AS feature, amount AS v FROM r WHERE {rule}" for name, rule in rolling.FEATURES.items())}
+    UNION ALL SELECT account_id, month, 'opening_balance', arg_min(balance, (date, seq)) FROM r GROUP BY 1, 2 UNION ALL SELECT account_id, month, 'closing_balance', arg_max(balance, (date, seq)) FROM r GROUP BY 1, 2
+    UNION ALL SELECT account_id, month, 'avg_bal', b FROM held UNION ALL SELECT account_id, month, 'balance_on_' || day(day), b FROM held WHERE day(day) IN (1, 5, 10, 15, 20, 25, 30)),
+  added AS (SELECT account_id, month, feature, round(sum(v), 2) AS sum, count(*) AS count, max(v) AS max, min(v) AS min FROM one GROUP BY 1, 2, 3),
+  nets AS (SELECT account_id, month, coalesce(sum(CASE WHEN feature = 'credit' THEN sum END), 0) AS c, coalesce(sum(CASE WHEN feature = 'debit' THEN sum END), 0) AS d, coalesce(sum(CASE WHEN feature = 'loan_credits' THEN sum END), 0) AS l, coalesce(sum(CASE WHEN feature = 'refund_credit' THEN sum END), 0) AS f,
+    count(CASE WHEN feature NOT IN ('opening_balance', 'closing_balance', 'avg_bal') AND NOT starts_with(feature, 'balance_on_') THEN 1 END) AS n FROM added GROUP BY 1, 2),
+  monthly AS (SELECT * FROM added UNION ALL SELECT account_id, month, 'net_cash_inflow', round(c - d, 2) + 0.0, 1, round(c - d, 2) + 0.0, round(c - d, 2) + 0.0 FROM nets WHERE n > 0 UNION ALL SELECT account_id, month, 'income', round(c - l - f, 2) + 0.0, 1, round(c - l - f, 2) + 0.0, round(c - l - f, 2) + 0.0 FROM nets WHERE n > 0
+    UNION ALL SELECT account_id, month, 'negative_balance_days', NULL, count(*), NULL, NULL FROM held WHERE below OR (below IS NULL AND b < 0) GROUP BY 1, 2),
+  grouped AS (SELECT m.account_id, t.g, m.feature, round(sum(m.sum), 2) AS sum, sum(m.count) AS count, max(m.max) AS max, min(m.min) AS min FROM monthly m JOIN (SELECT DISTINCT account_id, months FROM mon) n ON n.account_id = m.account_id
+    JOIN (SELECT unnest(range(1, 200)) AS g) t ON m.month < 3 * t.g AND 3 * t.g <= n.months WHERE (m.feature <> 'opening_balance' OR m.month = 3 * t.g - 1) AND (m.feature <> 'closing_balance' OR m.month = 0) GROUP BY 1, 2, 3),
+  both_ AS (SELECT account_id, 'month_' || month AS period, feature, sum, count, sum / count AS avg, max, min FROM monthly UNION ALL SELECT account_id, (3 * g) || '_months_group', feature, sum, count, sum / count, max, min FROM grouped),
+  ratio AS (SELECT account_id, period, (CASE WHEN max(CASE WHEN feature = 'emi_debit' THEN sum END) <> 0 THEN max(CASE WHEN feature = 'avg_bal' THEN sum / count END) / max(CASE WHEN feature = 'emi_debit' THEN sum END) ELSE 9.0 END) AS r FROM both_ GROUP BY 1, 2)"""
+
+
+_TOLD = ("avg_bal", "opening_balance", "closing_balance", "abb_isto_emi", "net_cash_inflow", "income", "balance_on_15")
+
+
+@query(
+    f"""WITH {_ROLLING_SQL}, every AS (SELECT * FROM both_ UNION ALL SELECT account_id, period, 'abb_isto_emi', r, 1, r, r, r FROM ratio)
+    SELECT account_id, period, count(*) AS features, round(sum(sum), 2) AS total, CAST(sum(count) AS BIGINT) AS n, max(max) AS max, min(min) AS min, {", ".join(f"max(CASE WHEN feature = '{f}' THEN avg END) AS {f}" for f in _TOLD)},
+      CAST(max(CASE WHEN feature = 'negative_balance_days' THEN count END) AS BIGINT) AS negative_days FROM every GROUP BY 1, 2""",
+    recursive=True,
+)
+def win_28_agg_28_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of every rolling month and of the latest 3, 6, 9 ... months, summed up by period, some of them told."""
+    found = rolling.rolling_features(worn(spark, sf_dir, _ROLLED), "account_id", ["date", "seq"])
+    told = [F.max(F.when(F.col("feature") == f, F.col("avg"))).alias(f) for f in _TOLD]
+    days = F.max(F.when(F.col("feature") == "negative_balance_days", F.col("count"))).alias("negative_days")
+    return found.groupBy("account_id", "period").agg(F.count("*").alias("features"), F.round(F.sum("sum"), 2).alias("total"), F.sum("count").alias("n"), F.max("max").alias("max"), F.min("min").alias("min"), *told, days)
