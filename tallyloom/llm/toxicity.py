@@ -1,6 +1,6 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of byte grams is trained in numpy from confirmed
+A linear classifier over byte grams (whether one occurs, and whether it does so again) is trained in numpy from confirmed
 toxic documents and unlabelled ones. Its risk is prior * (loss of the positives as
 positive) + max(0, loss of the unlabelled as negative - prior * loss of the positives as
 negative): the second part estimates the negatives' loss, and where it falls below zero
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from tallyloom.llm import textbytes
 from tallyloom.llm.language_id import passage
 
-#: Gram lengths in bytes; a gram counts once a text. Bytes that are not of words are spaces.
+#: Gram lengths in bytes. Bytes that are not of words are spaces.
 GRAMS = (5, 6)
+#: A gram has a weight for each of so many occurrences in a text; more count no further.
+TIMES = 3
 #: Bounds of the training sample (texts of each kind, characters of one; of longer ones a passage) and of the grams used.
 POSITIVES, UNLABELLED, SAMPLE_CHARS, FEATURES = 1500, 3000, 16_384, 768
 #: A gram is used from so many positives, and so many deviations beyond the rate of the unlabelled.
-LEAST, EXCESS = 8, 9.0
+LEAST, EXCESS = 8, 7.5
 _FILTER = 1 << 20
 _SPACED = np.where(textbytes._WORD, np.arange(256), 32).astype(np.uint8)
 _SPACED[0] = 0
@@ -33,7 +35,7 @@ _SPACED[0] = 0
 
 @dataclass
 class Model:
-    """Sorted grams, their weights and the bias; of bounded size."""
+    """Sorted grams, for each the weights of its first occurrences, and the bias; of bounded size."""
 
     grams: np.ndarray
     weights: np.ndarray
@@ -48,7 +50,7 @@ class Model:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
     def present(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Runs of texts with the (text, gram) pairs that occur, each once: text * grams + gram."""
+        """Runs of texts with the (text, gram, occurrence) triples there are: (text * grams + gram) * TIMES + occurrence."""
         n = max(1, len(self.grams))
         for first, last, data, starts in textbytes.blocks(texts, 8):
             data, found = _SPACED[data], []
@@ -59,10 +61,11 @@ class Model:
                 same = self.grams[place] == g[at]
                 text = np.searchsorted(starts, at[same], side="right") - 1
                 found.append(text * n + place[same])
-            yield first, last, np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            pairs, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield first, last, np.concatenate([pairs[times > k] * TIMES + k for k in range(TIMES)])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out, n = np.full(len(texts), self.bias), max(1, len(self.grams))
+        out, n = np.full(len(texts), self.bias), max(1, len(self.grams) * TIMES)
         for first, last, pairs in self.present(texts):
             out[first:last] += np.bincount(pairs // n, self.weights[pairs % n] if len(self.grams) else None, minlength=last - first)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
@@ -96,7 +99,7 @@ def choose_grams(positive: list[str], unlabelled: list[str]) -> np.ndarray:
 def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
     """The two parts of the risk at theta (weights, then bias) with the logistic loss, and their gradients.
 
-    xp, xu: presence of the grams in the positive and the unlabelled texts. The first part
+    xp, xu: occurrences of the grams in the positive and the unlabelled texts. The first part
     is that of the positives, the second the estimate of the negatives', which may be below zero.
     """
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -117,7 +120,7 @@ def direction(positive_up: np.ndarray, negative: float, down: np.ndarray) -> np.
     return positive_up + down if negative >= 0 else -down
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 5e-5) -> Model:
+def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss.
 
     Without positives, or without unlabelled texts, the model scores every text the prior.
@@ -127,7 +130,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     if not positive or not unlabelled:
         return model
     model = Model(choose_grams(positive, unlabelled), np.zeros(0), model.bias)
-    n = len(model.grams)
+    n = len(model.grams) * TIMES
     if not n:
         return model
 
