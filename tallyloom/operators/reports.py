@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Patterns of mandated debits (anchored ones match at a note's start), and descriptions that are none.
 MANDATES = (
-    r"^.*[^a-z](nach|ecs|ach|achdr)[^a-z]+.*", r"^(ach|nach|ecs|achdr)[^a-z].*", r"^Ins\s*Debit.*(CSG|CA)\s*[0-9]{3,}\s*dt.*", r"^ACHDR(\/)?.*\/[0-9]{4,}\/[0-9]{4,}.*", r"^(Loan)?\s*Reco.*For\s*[0-9]{3,}\s*",
+    r".*[^a-z](nach|ecs|ach|achdr)[^a-z]+.*", r"^(ach|nach|ecs|achdr)[^a-z].*", r"^Ins\s*Debit.*(CSG|CA)\s*[0-9]{3,}\s*dt.*", r"^ACHDR(\/)?.*\/[0-9]{4,}\/[0-9]{4,}.*", r"^(Loan)?\s*Reco.*For\s*[0-9]{3,}\s*",
     r"^INTERCITY\s*ECS\s*PAID\s*NACH\s*:\s*Paid\s*to.*", r"^DEBIT-CMP\s*MANDATE\s*DEBIT.*", r"^MAND\s*DR\s*-\s*[a-zA-Z0-9]{4,}-[a-zA-Z0-9]{4,}$", r"^CMS\/[a-zA-Z0-9]{4,}\/[0-9]{4,}$", r".*drawdown\s*from\s*casa.*",
 )
 NO_MANDATE = ("insurance", "investments", "lender_transaction", "trading/investments", "mutual_funds", "donation")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.model import table, transactions
+from tallyloom.model import shared, table, transactions
 from tallyloom.operators import channels, rules
+from tallyloom.operators.stages import Enrichments, Stage
 from tallyloom.plans.registry import query, worn
 
 #: Transactions whose notes, amounts and types make every branch of the channel rules fire; the same text in both engines.
@@ -191,3 +192,33 @@ def sca_26_34_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     cash = c.sparkSession.createDataFrame([(-1, "cash", "^CASH", None)], "place long, label string, pattern string, literal string")
     found = rules.first_by_literal(transactions(spark, sf_dir), "transaction_note", even.union(any_).unionByName(cash))
     return found.select("seq", "label")
+
+
+_CHANGED = "SELECT account_id, seq, date, CASE WHEN account_id % 7 = 0 AND seq % 3 = 0 THEN amount + 10 ELSE amount END AS amount, transaction_type, transaction_channel FROM txn WHERE account_id % 9 <> 4"
+
+
+@query(
+    f"""WITH c AS ({_CHANGED}), m AS (SELECT account_id, strftime(date, '%Y-%m') AS month, round(sum(amount), 2) AS total FROM c GROUP BY 1, 2), k AS (SELECT account_id, count(DISTINCT transaction_channel) AS channels FROM c GROUP BY 1),
+    p AS (SELECT account_id, max(total) AS top, count(*) AS months FROM m GROUP BY 1), again AS (SELECT DISTINCT account_id FROM txn WHERE account_id % 7 = 0 AND seq % 3 = 0 AND account_id % 9 <> 4),
+    tops AS (SELECT account_id, max(total) AS top, count(*) AS months FROM (SELECT account_id, strftime(date, '%Y-%m') AS month, round(sum(amount), 2) AS total FROM txn GROUP BY 1, 2) GROUP BY 1)
+    SELECT p.account_id, p.top, p.months, k.channels, a.account_id IS NOT NULL AS monthly_ran, a.account_id IS NOT NULL AS channels_ran, a.account_id IS NOT NULL AND (p.top <> t.top OR p.months <> t.months) AS report_ran
+    FROM p JOIN k ON k.account_id = p.account_id JOIN tops t ON t.account_id = p.account_id LEFT JOIN again a ON a.account_id = p.account_id"""
+)
+def udf_15_enrichment_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four stages over the transactions; then some accounts change and some go, and only what they touch runs again."""
+    keep = ["account_id", "seq", "date", "amount", "transaction_type", "transaction_channel"]
+    before, after = transactions(spark, sf_dir).select(*keep), worn(spark, sf_dir, _CHANGED).select(*keep)
+    month = F.date_format("date", "yyyy-MM").alias("month")
+    graph = [
+        Stage("report", ("tops", "channels"), lambda g: g["tops"].join(g["channels"], "account_id")),
+        Stage("tops", ("monthly",), lambda g: g["monthly"].groupBy("account_id").agg(F.max("total").alias("top"), F.count("*").alias("months"))),
+        Stage("monthly", ("rows",), lambda g: g["rows"].groupBy("account_id", month).agg(F.round(F.sum("amount"), 2).alias("total"))),
+        Stage("channels", ("rows",), lambda g: g["rows"].groupBy("account_id").agg(F.count_distinct("transaction_channel").alias("channels"))),
+    ]
+    store = Enrichments(spark, shared(spark, "enrichments"), "account_id", graph, ["rows"])
+    store.refresh({"rows": before}, 0)
+    results, ran = store.refresh({"rows": after}, 1)
+    flags = ran.groupBy("key").agg(*[F.max((F.col("stage") == s).cast("int")).alias(s) for s in ("monthly", "channels", "report")])
+    said = lambda s: (F.coalesce(F.col(f"ran.{s}"), F.lit(0)) == 1).alias(f"{s}_ran")
+    out = results["report"].alias("r").join(flags.alias("ran"), F.col("r.account_id").cast("string") == F.col("ran.key"), "left")
+    return out.select("r.account_id", "r.top", "r.months", "r.channels", said("monthly"), said("channels"), said("report"))
