@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.model import by_account, signed, table, transactions
-from tallyloom.operators import features, recurring, rules, salary, sets, statements, windows
+from tallyloom.operators import features, feeds, recurring, rules, salary, sets, statements, windows
 from tallyloom.plans.registry import query, worn
 
 _W = "WINDOW w AS (PARTITION BY account_id ORDER BY date, seq)"
@@ -304,6 +304,19 @@ def win_14_statement_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("statement_id", "is_inconsistent", "breaks", F.size("ranges").alias("chunks"), "is_missing_data", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
+#: Feeds of which some accounts have neighbours exchanged, a row that came too early or too late, or split balances.
+FED = """SELECT account_id, seq, CASE WHEN account_id % 5 = 1 THEN TIMESTAMP '2020-01-01 00:00:00' ELSE date END AS date, transaction_type, amount, CASE WHEN account_id % 5 = 4 AND k = 4 THEN next_balance ELSE balance END AS balance,
+  CASE WHEN account_id % 5 = 1 AND k = 3 THEN 45 WHEN account_id % 5 = 2 AND k = 7 THEN 25 WHEN account_id % 5 = 3 AND k = 2 THEN 75 ELSE 10 * k END AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY date, seq) AS k, lead(balance) OVER (PARTITION BY account_id ORDER BY date, seq) AS next_balance FROM txn) t"""
+
+
+@query()
+def win_32_srt_16_feed_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each feed in their repaired order, with new balances and what was done."""
+    rows = worn(spark, sf_dir, FED).withColumnRenamed("place", "given")
+    return feeds.repaired_feed(rows, "account_id", ["given"]).select("account_id", "seq", "place", "new_balance", F.array_join("tags", ",").alias("tags"))
+
+
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 20 MINUTES", txn=False)
 def str_10_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("status", F.when(F.col("event_type") == "click", "processing").otherwise("done"))

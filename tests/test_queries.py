@@ -13,8 +13,8 @@ import pytest
 from tallyloom.model import TXN_SQL
 from tallyloom.operators import similarity
 from tallyloom.plans import ORACLE_SQL, QUERIES
-from tallyloom.plans.features import JUMBLED, LISTS, NOTED
-from tests import test_statements
+from tallyloom.plans.features import FED, JUMBLED, LISTS, NOTED
+from tests import test_feeds, test_statements
 from tests.test_recurring import greedy
 
 SF = "/root/testdata/sf0.001"
@@ -166,7 +166,17 @@ def salaries_by_method(got, con):
     assert all(r["months"] > 0 and 50 <= r["confidence"] <= 100 for r in got)
 
 
+def feeds_by_lists(got, con):
+    rows = con.sql(f"{TXN} SELECT * FROM ({FED}) x ORDER BY account_id, place").fetchall()
+    given: dict = {}
+    for account, seq, date, kind, amount, balance, _ in rows:
+        given.setdefault(account, []).append([seq, date, -abs(amount) if kind == "debit" else abs(amount), balance])
+    want = [(a, r[0], k + 1, r[3], ",".join(r[4])) for a, x in given.items() for k, r in enumerate(test_feeds.whole(x))]
+    assert sorted(map(tuple, got)) == sorted(want) and len({r["tags"] for r in got}) > 3
+
+
 CHECKS = {
+    "win_32_srt_16_feed_repairs": feeds_by_lists,
     "clu_7_salaries": salaries_by_method,
     "set_3_src_5_folded_statements": folded_by_list,
     "win_14_33_merged_statements": repaired_by_lists,
