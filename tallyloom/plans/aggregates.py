@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.model import CHANNELS, signed, table, transactions
 from tallyloom.operators import aggregates as ops
-from tallyloom.operators import rolling
+from tallyloom.operators import predictors, rolling
 from tallyloom.plans.registry import query, worn
 
 
@@ -365,3 +365,57 @@ def win_28_agg_28_rolling_features(spark: SparkSession, sf_dir: str) -> DataFram
     told = [F.max(F.when(F.col("feature") == f, F.col("avg"))).alias(f) for f in _TOLD]
     days = F.max(F.when(F.col("feature") == "negative_balance_days", F.col("count"))).alias("negative_days")
     return found.groupBy("account_id", "period").agg(F.count("*").alias("features"), F.round(F.sum("sum"), 2).alias("total"), F.sum("count").alias("n"), F.max("max").alias("max"), F.min("min").alias("min"), *told, days)
+
+
+#: The same with the categories of the predictors, and dates close enough that every window has rows.
+_SCORED = f"""SELECT account_id, seq, TIMESTAMP '2023-01-01 00:00:00' + INTERVAL '1' DAY * CAST((seq * 13 + account_id) % 330 AS INTEGER) AS date, transaction_type, amount, CASE WHEN seq % 6 = 0 THEN 50.0 ELSE balance END AS balance, transaction_channel,
+  CASE seq % 9 WHEN 0 THEN 'loans' WHEN 1 THEN 'food' WHEN 2 THEN 'bills' WHEN 3 THEN 'ewallet' WHEN 4 THEN 'fuel' WHEN 5 THEN 'groceries' WHEN 6 THEN 'travel' WHEN 7 THEN NULL ELSE 'x' END AS merchant_category FROM ({_ROLLED}) x"""
+
+
+def _scored_sql() -> str:
+    def within(window: str) -> str:
+        return "true" if window == "all" else f"date > fin - INTERVAL {window[1:]} DAY" if window[0] == "c" else f"apart = {window[1:]}"
+
+    def part(how: str, of: str, rule: str, window: str) -> str:
+        rows = f"FILTER (({rule}) AND {within(window)})"
+        return {"count": f"CAST(count({of}) {rows} AS DOUBLE)", "sum": f"round(coalesce(sum({of}) {rows}, 0), 2)", "mean": f"avg({of}) {rows}"}.get(how, f"{how}({of}) {rows}")
+
+    out = [f"nullif({part(*p)}, 0) AS {name}" if p[0] in ("count", "sum") else f"{part(*p)} AS {name}" for name, p in predictors.PREDICTORS.items()]
+    for name, (how, above, below, window, times) in predictors.RATIOS.items():
+        ratio = f"CASE WHEN {part(how, 'amount', below, window)} <> 0 THEN {part(how, 'amount', above, window)} / {part(how, 'amount', below, window)} * {times} END"
+        out.append(f"{ratio if name == 'ratio_cnt_nonlender_to_lender_debits' else f'nullif({ratio}, 0)'} AS {name}")
+    return ", ".join(out)
+
+
+@query(
+    f"""WITH g AS (SELECT * REPLACE (coalesce(merchant_category, '') AS merchant_category), max(date) OVER (PARTITION BY account_id) AS fin FROM ({_SCORED}) x),
+    a AS (SELECT *, 12 * (year(fin) - year(date)) + month(fin) - month(date) AS apart FROM g) SELECT account_id, {_scored_sql()} FROM a GROUP BY 1"""
+)
+def agg_50_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictors.predictors(worn(spark, sf_dir, _SCORED), "account_id")
+
+
+def _basic_sql() -> str:
+    out = []
+    for side, names in (("debit", rolling.DEBIT_CHANNELS), ("credit", rolling.CREDIT_CHANNELS)):
+        for c in names:
+            rows = f"FILTER (transaction_channel = '{c}' AND transaction_type = '{side}')"
+            out += [f"round(coalesce(sum(amount) {rows}, 0), 2) AS amt_{c}_{side}", f"count(*) {rows} AS cnt_{c}_{side}"]
+    return ", ".join(out)
+
+
+@query(
+    f"""WITH g AS (SELECT *, strftime(date, '%Y-%m') AS month, CAST(date AS DATE) AS day FROM ({_SCORED}) x),
+    e AS (SELECT account_id, month, day, arg_max(balance, (date, seq)) AS b FROM g GROUP BY 1, 2, 3), m AS (SELECT account_id, month, min(day) AS a, max(day) AS z, max(b) AS max_eod_balance, min(b) AS min_eod_balance FROM e GROUP BY 1, 2),
+    d AS (SELECT account_id, month, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM m),
+    f AS (SELECT d.account_id, d.month, d.day, last_value(b IGNORE NULLS) OVER (PARTITION BY d.account_id, d.month ORDER BY d.day ROWS UNBOUNDED PRECEDING) AS b FROM d LEFT JOIN e ON d.account_id = e.account_id AND d.day = e.day),
+    l AS (SELECT account_id, month, round(avg(b), 4) AS avg_bal, median(b) AS median_balance FROM f GROUP BY 1, 2), o AS (SELECT account_id, month, arg_max(b, (n, -b)) AS mode_balance FROM (SELECT account_id, month, b, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    w AS (SELECT account_id, month, count(*) AS cnt_transactions, count(*) FILTER (transaction_type = 'debit') AS cnt_debit, count(*) FILTER (transaction_type = 'credit') AS cnt_credit,
+      round(arg_min(CASE WHEN transaction_type = 'debit' THEN balance + amount ELSE balance - amount END, (date, seq)), 2) AS opening_balance, round(coalesce(sum(amount) FILTER (transaction_type = 'debit'), 0), 2) AS amt_debit, round(coalesce(sum(amount) FILTER (transaction_type = 'credit'), 0), 2) AS amt_credit,
+      arg_max(balance, (date, seq)) AS closing_balance, min(balance) AS lowest, max(balance) AS highest, round(avg(amount) FILTER (transaction_type = 'credit'), 4) AS avg_credit_transaction_size, round(avg(amount) FILTER (transaction_type = 'debit'), 4) AS avg_debit_transaction_size, {_basic_sql()} FROM g GROUP BY 1, 2)
+    SELECT w.* EXCLUDE (lowest, highest), least(lowest, opening_balance) AS min_bal, greatest(highest, opening_balance) AS max_bal, round(amt_credit - amt_debit, 2) + 0.0 AS net_cash_inflow, l.avg_bal, l.median_balance, o.mode_balance, m.max_eod_balance, m.min_eod_balance
+    FROM w JOIN l ON l.account_id = w.account_id AND l.month = w.month JOIN o ON o.account_id = w.account_id AND o.month = w.month JOIN m ON m.account_id = w.account_id AND m.month = w.month"""
+)
+def agg_30_basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = predictors.basic_features(worn(spark, sf_dir, _SCORED), "account_id", ["date", "seq"])
+    return out.withColumns({c: F.round(c, 4) for c in ("avg_bal", "avg_credit_transaction_size", "avg_debit_transaction_size")})
