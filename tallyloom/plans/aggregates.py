@@ -409,13 +409,13 @@ def _basic_sql() -> str:
     e AS (SELECT account_id, month, day, arg_max(balance, (date, seq)) AS b FROM g GROUP BY 1, 2, 3), m AS (SELECT account_id, month, min(day) AS a, max(day) AS z, max(b) AS max_eod_balance, min(b) AS min_eod_balance FROM e GROUP BY 1, 2),
     d AS (SELECT account_id, month, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM m),
     f AS (SELECT d.account_id, d.month, d.day, last_value(b IGNORE NULLS) OVER (PARTITION BY d.account_id, d.month ORDER BY d.day ROWS UNBOUNDED PRECEDING) AS b FROM d LEFT JOIN e ON d.account_id = e.account_id AND d.day = e.day),
-    l AS (SELECT account_id, month, round(avg(b), 4) AS avg_bal, median(b) AS median_balance FROM f GROUP BY 1, 2), o AS (SELECT account_id, month, arg_max(b, (n, -b)) AS mode_balance FROM (SELECT account_id, month, b, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    l AS (SELECT account_id, month, round(avg(b), 8) AS avg_bal, median(b) AS median_balance FROM f GROUP BY 1, 2), o AS (SELECT account_id, month, arg_max(b, (n, -b)) AS mode_balance FROM (SELECT account_id, month, b, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2),
     w AS (SELECT account_id, month, count(*) AS cnt_transactions, count(*) FILTER (transaction_type = 'debit') AS cnt_debit, count(*) FILTER (transaction_type = 'credit') AS cnt_credit,
       round(arg_min(CASE WHEN transaction_type = 'debit' THEN balance + amount ELSE balance - amount END, (date, seq)), 2) AS opening_balance, round(coalesce(sum(amount) FILTER (transaction_type = 'debit'), 0), 2) AS amt_debit, round(coalesce(sum(amount) FILTER (transaction_type = 'credit'), 0), 2) AS amt_credit,
-      arg_max(balance, (date, seq)) AS closing_balance, min(balance) AS lowest, max(balance) AS highest, round(avg(amount) FILTER (transaction_type = 'credit'), 4) AS avg_credit_transaction_size, round(avg(amount) FILTER (transaction_type = 'debit'), 4) AS avg_debit_transaction_size, {_basic_sql()} FROM g GROUP BY 1, 2)
+      arg_max(balance, (date, seq)) AS closing_balance, min(balance) AS lowest, max(balance) AS highest, round(avg(amount) FILTER (transaction_type = 'credit'), 8) AS avg_credit_transaction_size, round(avg(amount) FILTER (transaction_type = 'debit'), 8) AS avg_debit_transaction_size, {_basic_sql()} FROM g GROUP BY 1, 2)
     SELECT w.* EXCLUDE (lowest, highest), least(lowest, opening_balance) AS min_bal, greatest(highest, opening_balance) AS max_bal, round(amt_credit - amt_debit, 2) + 0.0 AS net_cash_inflow, l.avg_bal, l.median_balance, o.mode_balance, m.max_eod_balance, m.min_eod_balance
     FROM w JOIN l ON l.account_id = w.account_id AND l.month = w.month JOIN o ON o.account_id = w.account_id AND o.month = w.month JOIN m ON m.account_id = w.account_id AND m.month = w.month"""
 )
 def agg_30_basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = predictors.basic_features(worn(spark, sf_dir, _SCORED), "account_id", ["date", "seq"])
-    return out.withColumns({c: F.round(c, 4) for c in ("avg_bal", "avg_credit_transaction_size", "avg_debit_transaction_size")})
+    return out.withColumns({c: F.round(c, 8) for c in ("avg_bal", "avg_credit_transaction_size", "avg_debit_transaction_size")})
