@@ -67,6 +67,11 @@ def _bucket(feature: Column, draw: Draw) -> Column:
     return (F.crc32(feature.cast("binary")) % draw.buckets).cast("int")
 
 
+def _buckets(text: str, draw: Draw) -> Column:
+    """The bucket of every feature of a text, repeats kept."""
+    return F.transform(_features(words(F.col(f"`{text}`")), draw), lambda f: _bucket(f, draw))
+
+
 def gains(docs: DataFrame, target: DataFrame, draw: Draw, text_col: str = "text", target_text_col: str = "text") -> DataFrame:
     """bucket, gain: one row for each bucket that holds an n-gram of either side.
 
@@ -74,14 +79,17 @@ def gains(docs: DataFrame, target: DataFrame, draw: Draw, text_col: str = "text"
     s, t in the bucket and S, T in all. Counts cover all rows and are added up before they are
     shuffled, so a task sends at most one row a bucket and a very common n-gram is one of them.
     """
+    return _gains(docs.select(_buckets(text_col, draw).alias("buckets")), target.select(_buckets(target_text_col, draw).alias("buckets")), draw)
+
+
+def _gains(docs: DataFrame, target: DataFrame, draw: Draw) -> DataFrame:
+    """As gains, of both sides' arrays of buckets."""
 
-    def counted(frame: DataFrame, text: str, side: int) -> DataFrame:
-        found = frame.select(F.explode(_features(words(F.col(f"`{text}`")), draw)).alias("f"))
+    def counted(frame: DataFrame, side: int) -> DataFrame:
         n = F.lit(1).cast("long")
-        return found.select(_bucket(F.col("f"), draw).alias("bucket"), (n * (1 - side)).alias("s"), (n * side).alias("t"))
+        return frame.select(F.explode("buckets").alias("bucket")).select("bucket", (n * (1 - side)).alias("s"), (n * side).alias("t"))
 
-    both = counted(docs, text_col, 0).union(counted(target, target_text_col, 1))
-    held = cut(both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")
+    held = cut(counted(docs, 0).union(counted(target, 1)).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "counts")
     s, t = held.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     up = (F.col("t") + 1).cast("double") * F.lit(float(s + draw.buckets))
     down = (F.col("s") + 1).cast("double") * F.lit(float(t + draw.buckets))
@@ -106,15 +114,18 @@ def resample(docs: DataFrame, target: DataFrame, draw: Draw = Draw(), id_col: st
     target gives every bucket its gain against no counts; no documents give no rows. Other
     columns are not read, whatever their names.
     """
-    table, text = gains(docs, target, draw, text_col, target_text_col), F.col(f"`{text_col}`")
+    text = F.col(f"`{text_col}`")
+    # texts are read once: their buckets are small numbers, and both passes are over these
     split = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), F.spark_partition_id().alias("part"), words(text).alias("held"))
+    hashed = F.transform(_features(F.col("held"), draw), lambda f: _bucket(f, draw))
+    held = cut(split.select("id", "key", "part", F.size("held").cast("long").alias("n_words"), hashed.alias("buckets")), "buckets")
+    table = _gains(held.select("buckets"), target.select(_buckets(target_text_col, draw).alias("buckets")), draw)
     # rows of one id and text that stand in one part of the input are one group, which knows their number
-    each = split.select("id", "key", "part", F.size("held").cast("long").alias("n_words"), F.posexplode_outer(_features(F.col("held"), draw)).alias("pos", "f"))
-    each = each.withColumn("bucket", _bucket(F.col("f"), draw))
+    each = held.select("id", "key", "part", "n_words", F.posexplode_outer("buckets").alias("pos", "bucket"))
     summed = (
         each.join(F.broadcast(table), "bucket", "left")  # a row a bucket
         .groupBy("id", "key", "part", "n_words")
-        .agg(F.sum(F.coalesce("gain", F.lit(0))).alias("gain"), F.count("f").alias("n"), F.sum((F.coalesce("pos", F.lit(0)) == 0).cast("long")).alias("times"))
+        .agg(F.sum(F.coalesce("gain", F.lit(0))).alias("gain"), F.count("bucket").alias("n"), F.sum((F.coalesce("pos", F.lit(0)) == 0).cast("long")).alias("times"))
     )
     one = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     weight = F.expr("gain div times")
