@@ -212,15 +212,15 @@ def bnk_5_notes_from_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Notes read short, some as a single sign; and the page's lines: heads, whole notes, sometimes too few.
 _SHORT = """SELECT statement_id, seq, date, k, n, CASE WHEN k % 4 = 0 AND account_id % 2 = 0 THEN 'x' WHEN account_id % 7 = 3 THEN 'none of them' ELSE lower(substr(transaction_note, 1, 14 + CAST(account_id % 20 AS INTEGER))) END AS note, transaction_note, account_id
   FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY date, seq) - 1 AS k, count(*) OVER (PARTITION BY statement_id) AS n FROM txn) t"""
-_LINES = f"""SELECT statement_id, k + account_id % 3 AS place, transaction_note AS line FROM ({_SHORT}) s WHERE NOT (account_id % 5 = 1 AND k = n - 1) UNION ALL SELECT statement_id, 0 - 1 AS place, 'head of the page' AS line FROM ({_SHORT}) s WHERE k = 0 AND account_id % 6 <> 2"""
+_PAGE_LINES = f"""SELECT statement_id, k + account_id % 3 AS place, transaction_note AS line FROM ({_SHORT}) s WHERE NOT (account_id % 5 = 1 AND k = n - 1) UNION ALL SELECT statement_id, 0 - 1 AS place, 'head of the page' AS line FROM ({_SHORT}) s WHERE k = 0 AND account_id % 6 <> 2"""
 
 
 @query(
-    f"""WITH s AS ({_SHORT}), l AS (SELECT statement_id, line, row_number() OVER (PARTITION BY statement_id ORDER BY place, line) - 1 AS p, count(*) OVER (PARTITION BY statement_id) AS lines FROM ({_LINES}) x),
+    f"""WITH s AS ({_SHORT}), l AS (SELECT statement_id, line, row_number() OVER (PARTITION BY statement_id ORDER BY place, line) - 1 AS p, count(*) OVER (PARTITION BY statement_id) AS lines FROM ({_PAGE_LINES}) x),
     j AS (SELECT s.statement_id, s.k, s.n, min(l.p) AS j, max(l.lines) AS lines FROM s JOIN l ON l.statement_id = s.statement_id AND contains(upper(l.line), upper(s.note)) WHERE length(s.note) > 1 GROUP BY 1, 2, 3),
     o AS (SELECT statement_id, arg_min(j - k, k) AS d FROM j WHERE lines > j - k + n - 1 GROUP BY 1)
     SELECT s.seq, CASE WHEN o.d >= 0 THEN l.line ELSE s.note END AS note FROM s LEFT JOIN o ON o.statement_id = s.statement_id LEFT JOIN l ON l.statement_id = s.statement_id AND l.p = o.d + s.k"""
 )
 def bnk_12_aligned_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repairs.aligned_notes(worn(spark, sf_dir, _SHORT), worn(spark, sf_dir, _LINES), ["statement_id"], ["date", "seq"], "note", "line", "place")
+    out = repairs.aligned_notes(worn(spark, sf_dir, _SHORT), worn(spark, sf_dir, _PAGE_LINES), ["statement_id"], ["date", "seq"], "note", "line", "place")
     return out.select("seq", "note")
