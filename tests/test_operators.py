@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text, values
-from tallyloom.operators import aggregates, joins, rules, sets, similarity, windows
+from tallyloom.operators import aggregates, features, joins, rules, sets, similarity, windows
 from tallyloom.plans.surface import access
 from tallyloom.sources import files, sinks
 from tallyloom.streaming import streams
@@ -235,3 +235,11 @@ def test_spend_of_any_year(spark):
     assert len(got) == 2 * 4 + 2 + 4 + 1
     assert got["upi", "2024-01", 0] == (4.0, None) and got["chq", "2031-05", 0] == (0.0, None) and got[None, "1980-12", 2] == (8.0, None)
     assert got["upi", None, 1] == (4.0, 1.0) and got[None, None, 3] == (12.0, 3.0)
+
+
+def test_name_matches_by_share_of_tokens(spark):
+    notes = [(1, "NEFT/ACME Industries/99"), (2, "acme"), (3, "river-clinic pay"), (4, None), (5, "pvt ltd"), (6, "industries of acme, acme")]
+    names = [("Acme Industries Pvt",), ("River Clinic & Sons",), ("pvt",)]
+    df, wanted = spark.createDataFrame(notes, "seq int, note string"), spark.createDataFrame(names, "name string")
+    got = features.name_matches(df, "seq", "note", wanted, "name", ["pvt", "ltd"], 0.6).collect()
+    assert sorted(map(tuple, got)) == [(1, "Acme Industries Pvt"), (3, "River Clinic & Sons"), (6, "Acme Industries Pvt")]
