@@ -76,11 +76,13 @@ def sca_23_24_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sca_23_fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.lower("p_name").alias("name"))
-    a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    scored = a.join(b, on).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), similarity.fuzzy_score(F.col("a.name"), F.col("b.name")).alias("score"))
-    return scored.where("score > 75")
+    p, block = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.lower("p_name").alias("name")), ["p_brand", "p_type"]
+    met = similarity.different_texts(p, "name", block)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scored = met.select("x", "y").distinct().repartition(spread, "x", "y").withColumn("score", similarity.fuzzy_score("x", "y")).where("score > 75")  # alike both ways round
+    same = similarity.equal_texts(p, "name", block).withColumn("score", F.lit(100.0))
+    found = met.join(scored, ["x", "y"]).select(*block, "x", "y", "score").union(same)
+    return similarity.pairs_of_rows(found, p, "p_partkey", "name", block)
 
 
 _CATEGORY_REGEXES = [("cash", "^cash_"), ("account_seven", "customer#0*7/")]

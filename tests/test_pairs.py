@@ -30,3 +30,7 @@ def pairs(n, near=1):
 
 def test_minhash_pairs_of_copies(spark, tmp_path):
     assert counted(QUERIES["clu_1_minhash_pairs"](spark, parts(spark, tmp_path, 4000))) == pairs(4000)
+
+
+def test_fuzzy_scores_of_copies(spark, tmp_path):
+    assert counted(QUERIES["sca_23_fuzzy_scores"](spark, parts(spark, tmp_path, 4000))) == pairs(4000)
