@@ -68,10 +68,9 @@ def sca_22_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) > 0.75", txn=False)
 def sca_23_24_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    return a.join(b, on & text.alike(F.col("a.p_name"), F.col("b.p_name"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    p, block = table(spark, sf_dir, "part"), ["p_brand", "p_type"]
+    near = similarity.different_texts(p, "p_name", block).where(text.alike(F.col("x"), F.col("y")))
+    return similarity.pairs_of_rows(near.union(similarity.equal_texts(p, "p_name", block)), p, "p_partkey", "p_name", block)
 
 
 @query()

@@ -47,3 +47,9 @@ def test_pairs_of_rows_in_small_chunks(spark):
     got = similarity.pairs_of_rows(met.union(similarity.equal_texts(df, "t", ["g"])), df, "k", "t", ["g"], chunk=2).select("a", "b").collect()
     rows = [tuple(r) for r in df.collect() if r["t"] is not None]
     assert sorted(map(tuple, got)) == sorted((a, b) for a, g, _ in rows for b, h, _ in rows if g == h and a < b)
+
+
+def test_alike_compares_texts_once(spark, tmp_path):
+    folder = parts(spark, tmp_path, 30_000)
+    assert similarity.different_texts(spark.read.parquet(f"{folder}/part.parquet"), "p_name", ["p_brand", "p_type"]).count() == 3
+    assert counted(QUERIES["sca_23_24_alike"](spark, folder)) == pairs(30_000)
