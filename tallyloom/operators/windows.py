@@ -117,33 +117,90 @@ def carried(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def repaired_types(rows: pd.DataFrame, limit: float = 0.1, most: float = 0.2) -> pd.DataFrame:
-    """Flips a row's type where only the other sign carries the balance; undone if too many flip.
+def rearranged(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], step: Callable[[list[tuple]], list[tuple]], added: str = "") -> DataFrame:
+    """As per_group for steps that keep, drop, reorder or mark rows: step(rows) -> (place, *new values) of each row that stays.
 
-    More than a fifth of the rows, and more than two, is too many.
+    rows have the columns, in their order; no frame is made for a key. added: the new columns
+    as a DDL list; one of df's names replaces that column.
     """
+    new = T.StructType.fromDDL(added).fields if added else []
+    names = [f.name for f in new]
+    schema = T.StructType([*[f for f in df.schema.fields if f.name not in names], *new])
+
+    def made(rows: pd.DataFrame, starts: Sequence[int]) -> pd.DataFrame:
+        cells, take = list(zip(*[rows[c].tolist() for c in columns])), []
+        values: list[list] = [[] for _ in names]
+        for i, j in zip(starts, starts[1:]):
+            for place, *own in step(cells[i:j]):
+                take.append(i + place)
+                for held, v in zip(values, own):
+                    held.append(v)
+        out = rows.iloc[take].reset_index(drop=True)
+        for f, v in zip(new, values):
+            out[f.name] = pd.Series(v, dtype={"int": "int32", "bigint": "int64"}.get(f.dataType.simpleString(), "object"))
+        return out[schema.fieldNames()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            rows = pd.concat([held[-1].iloc[-1:], batch], ignore_index=True) if held else batch
+            keys, before = rows[key], rows[key].shift()
+            starts = np.flatnonzero(~((keys == before) | keys.isna() & before.isna()).to_numpy(bool) & (np.arange(len(rows)) > 0))
+            if held:
+                starts = starts - 1  # places in the batch
+            if not len(starts):
+                held.append(batch)
+                continue
+            whole = pd.concat([*held, batch.iloc[: starts[-1]]], ignore_index=True)
+            first = len(whole) - starts[-1]
+            yield made(whole, [0, *[int(first + i) for i in starts if first + i > 0]])
+            held = [batch.iloc[starts[-1] :]]
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            yield made(rows, [0, len(rows)])
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def flipped_types(rows: Sequence[tuple], limit: float = 0.1, most: float = 0.2) -> list:
+    """The types of rows (type, amount, balance) as repaired_types makes them."""
     kinds, flips, held = [], 0, None
-    for kind, amount, balance in zip(rows["transaction_type"], rows["amount"], rows["balance"]):
+    for kind, amount, balance in rows:
         sign = -1 if kind == "debit" else 1
         if held is not None and abs(held + sign * amount - balance) > limit and abs(held - sign * amount - balance) <= limit:
             kind, flips = ("credit" if kind == "debit" else "debit"), flips + 1
         kinds.append(kind)
         held = balance
-    return rows.assign(transaction_type=rows["transaction_type"] if flips > max(2, most * len(rows)) else kinds)
+    return [r[0] for r in rows] if flips > max(2, most * len(rows)) else kinds
 
 
-def without_repeated_block(rows: pd.DataFrame, columns: Sequence[str]) -> pd.DataFrame:
-    """Drops a block of rows that repeats the block of the same length just before it."""
-    cells, kept, i = list(map(tuple, rows[list(columns)].itertuples(index=False))), [], 0
+def repaired_types(rows: pd.DataFrame, limit: float = 0.1, most: float = 0.2) -> pd.DataFrame:
+    """Flips a row's type where only the other sign carries the balance; undone if too many flip.
+
+    More than a fifth of the rows, and more than two, is too many.
+    """
+    return rows.assign(transaction_type=flipped_types(list(zip(rows["transaction_type"], rows["amount"], rows["balance"])), limit, most))
+
+
+def unrepeated(cells: Sequence[tuple]) -> list[int]:
+    """Places of what stays without blocks that repeat the block of the same length just before them."""
+    kept, i = [], 0
     while i < len(cells):
         for n in range(min(len(kept), len(cells) - i), 0, -1):
-            if [cells[k] for k in kept[-n:]] == cells[i : i + n]:
+            if cells[kept[-n]] == cells[i] and [cells[k] for k in kept[-n:]] == list(cells[i : i + n]):
                 i += n
                 break
         else:
             kept.append(i)
             i += 1
-    return rows.iloc[kept]
+    return kept
+
+
+def without_repeated_block(rows: pd.DataFrame, columns: Sequence[str]) -> pd.DataFrame:
+    """Drops a block of rows that repeats the block of the same length just before it."""
+    return rows.iloc[unrepeated(list(map(tuple, rows[list(columns)].itertuples(index=False))))]
 
 
 def clamped_dates(df: DataFrame, key: str, order: Sequence[str], days: int = 5) -> DataFrame:

@@ -10,7 +10,6 @@ from tallyloom.operators import features, feeds, recurring, rules, salary, sets,
 from tallyloom.plans.registry import query, worn
 
 _W = "WINDOW w AS (PARTITION BY account_id ORDER BY date, seq)"
-_ROW = "account_id long, seq long, date timestamp, transaction_type string, amount double, balance double"
 _COLUMNS = ["account_id", "seq", "date", "transaction_type", "amount", "balance"]
 
 
@@ -34,8 +33,8 @@ def jon_20_set_3_overlapping_lists(spark: SparkSession, sf_dir: str) -> DataFram
     # the first two thirds and the last two thirds of each account overlap by a third
     first = placed.where(F.col("n") <= F.ceil(2 * F.col("total") / 3)).withColumn("part", F.lit(0))
     last = placed.where(F.col("n") > F.floor(F.col("total") / 3)).withColumn("part", F.lit(1))
-    fold = lambda rows: features.joined_lists(rows, "part", ["seq", "date", "amount", "balance"], least=1)[_COLUMNS]
-    return windows.per_group(first.union(last).drop("n", "total"), "account_id", ["part", "date", "seq"], fold, _ROW).select("account_id", "seq")
+    fold = lambda rows: features.joined_lists(rows, least=1)
+    return windows.rearranged(first.union(last).drop("n", "total"), "account_id", ["part", "date", "seq"], ["part", "seq", "date", "amount", "balance"], fold).select("account_id", "seq")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7", txn=False)
@@ -85,15 +84,14 @@ def win_14_33_repaired_statements(spark: SparkSession, sf_dir: str) -> DataFrame
     t = transactions(spark, sf_dir).select(*_COLUMNS)
     n = F.row_number().over(by_account())
     worn = t.withColumn("n", n).withColumn("transaction_type", F.when(F.col("n") == 3, F.when(F.col("transaction_type") == "debit", "credit").otherwise("debit")).otherwise(F.col("transaction_type"))).drop("n")
-    fixed = windows.per_group(worn, "account_id", ["date", "seq"], features.repaired_statement, _ROW)
+    fixed = windows.rearranged(worn, "account_id", ["date", "seq"], ["transaction_type", "amount", "balance", "date"], features.repaired_statement, "transaction_type string")
     return fixed.select("account_id", "seq", "transaction_type")
 
 
 @query("SELECT account_id, seq, row_number() OVER (PARTITION BY account_id ORDER BY date, seq) AS place FROM txn")
 def win_32_srt_16_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = transactions(spark, sf_dir).select(*_COLUMNS).withColumn("place", F.row_number().over(by_account()).cast("long"))
-    add = lambda rows: features.swapped_neighbours(rows).assign(place=lambda r: range(1, len(r) + 1))
-    return windows.per_group(t, "account_id", ["date", "seq"], add, _ROW + ", place long").select("account_id", "seq", "place")
+    t = transactions(spark, sf_dir).select(*_COLUMNS)
+    return windows.rearranged(t, "account_id", ["date", "seq"], ["transaction_type", "amount", "balance", "date"], features.swapped_neighbours, "place long").select("account_id", "seq", "place")
 
 
 @query("SELECT seq, CASE WHEN d IS NOT NULL THEN 'debit' ELSE 'credit' END AS transaction_type, coalesce(d, c) AS amount FROM (SELECT seq, CASE WHEN transaction_type = 'debit' THEN amount END AS d, CASE WHEN transaction_type = 'credit' THEN amount END AS c FROM txn)")
@@ -171,8 +169,8 @@ def bnk_31_32_34_udf_17_crud(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def clu_2_3_4_fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir).select("account_id", "seq", "date", "transaction_note")
-    group = lambda rows: features.fuzzy_groups(rows, "transaction_note", 85.0)
-    return windows.per_group(t, "account_id", ["date", "seq"], group, "account_id long, seq long, date timestamp, transaction_note string, group_no int").select("account_id", "seq", "group_no")
+    group = lambda rows: features.fuzzy_groups(rows, 85.0)
+    return windows.rearranged(t, "account_id", ["date", "seq"], ["transaction_note"], group, "group_no int").select("account_id", "seq", "group_no")
 
 
 #: Each account's rows by four statements: most rows, a later stretch that overlaps, one inside the first, and (some) one after a gap.
