@@ -103,7 +103,7 @@ def alike(threshold: float):
 
     def rule(seed: tuple, row: tuple) -> bool:
         (channel, note, _), (other, text, _) = seed, row
-        return (channel == other or "salary" in (channel, other)) and similarity.fuzzy(note, text) >= threshold
+        return (channel == other or "salary" in (channel, other)) and similarity.fuzzy_at_least(note, text, threshold)
 
     return rule
 
