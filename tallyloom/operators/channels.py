@@ -106,7 +106,9 @@ def clean_name(name: Column) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def _near(name: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([similarity.weighted(a, b) > 87 if a and b else False for a, b in zip(name, other)], dtype="boolean")
+    pairs = [(a, b) if a and b else None for a, b in zip(name, other)]
+    known: dict = {p: p is not None and similarity.weighted(*p) > 87 for p in set(pairs)}  # of a batch, each pair once
+    return pd.Series([known[p] for p in pairs], dtype="boolean")
 
 
 def self_transfer(holder: Column, merchant: Column, note: Column, fuzzy: bool = True) -> Column:
