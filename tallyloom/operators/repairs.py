@@ -15,6 +15,22 @@ from tallyloom.model import signed
 from tallyloom.operators.windows import breaks, carried, carry
 
 
+def repaired_type(before: float | None, row: tuple, limit: float) -> tuple[float, tuple]:
+    """The step of repair_types: (balance that the next row starts from, (type, amount, balance, optimizations, inconsistent))."""
+    kind, amount, balance = row
+    done = ["AMOUNT_MADE_POSITIVE"] if amount < 0 else []
+    amount = abs(amount)
+    if before is None:
+        return balance, (kind, amount, balance, done, False)
+    near = lambda x, y: abs(round(x, 2) - round(y, 2)) <= limit
+    tried = (("credit", before + amount, balance), ("debit", before - amount, balance), ("debit", before - amount, -balance), ("credit", before + amount, -balance))
+    for new, expected, turned in tried:
+        if near(expected, turned):
+            done = done + ["TRANSACTION_TYPE_CHANGED"] * (new != kind) + ["BALANCE_SIGN_CHANGED"] * (turned != balance)
+            return turned, (new, amount, turned, done, False)
+    return balance, (kind, amount, balance, done, True)
+
+
 def repair_types(df: DataFrame, key: str, order: Sequence[str], limit: float = 0.1) -> DataFrame:
     """df with type, value and sum (the repaired type, amount and balance), optimizations and inconsistent.
 
@@ -25,21 +41,7 @@ def repair_types(df: DataFrame, key: str, order: Sequence[str], limit: float = 0
     turn (or a fifth, of more than ten rows) gets its rows back as they were.
     """
 
-    def step(before: float | None, row: tuple) -> tuple[float, tuple]:
-        kind, amount, balance = row
-        done = ["AMOUNT_MADE_POSITIVE"] if amount < 0 else []
-        amount = abs(amount)
-        if before is None:
-            return balance, (kind, amount, balance, done, False)
-        near = lambda x, y: abs(round(x, 2) - round(y, 2)) <= limit
-        tried = (("credit", before + amount, balance), ("debit", before - amount, balance), ("debit", before - amount, -balance), ("credit", before + amount, -balance))
-        for new, expected, turned in tried:
-            if near(expected, turned):
-                done = done + ["TRANSACTION_TYPE_CHANGED"] * (new != kind) + ["BALANCE_SIGN_CHANGED"] * (turned != balance)
-                return turned, (new, amount, turned, done, False)
-        return balance, (kind, amount, balance, done, True)
-
-    out = carried(df, key, order, ["transaction_type", "amount", "balance"], step, "type string, value double, sum double, optimizations array<string>, inconsistent boolean")
+    out = carried(df, key, order, ["transaction_type", "amount", "balance"], lambda before, row: repaired_type(before, row, limit), "type string, value double, sum double, optimizations array<string>, inconsistent boolean")
     whole = Window.partitionBy(key)
     turned, n = F.count_if(F.array_contains("optimizations", "BALANCE_SIGN_CHANGED")).over(whole), F.count("*").over(whole)
     out = out.withColumn("_undo", ((turned / n > 0.2) & (n > 10)) | ((turned > 2) & (n <= 10)))

@@ -2,21 +2,23 @@
 
 A statement is cut into chunks where its balances break. Tables of chunk heads say in which
 order chunks stand; the rows then stream by in that order, one chunk and its predecessor
-held at a time. Accounts of many statements are split where no statement spans the gap.
+held at a time. Statements of few rows go through the same steps in one task, one at a time. Accounts of many statements are split where no statement spans the gap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.model import written
-from tallyloom.operators.repairs import first_break, repair_types
+from tallyloom.operators.repairs import first_break, repair_types, repaired_type
 from tallyloom.operators.similarity import partial
 
 #: Columns that two rows of one transaction share; their notes need only be alike.
@@ -259,7 +261,7 @@ def _rechained(df: DataFrame) -> DataFrame:
     return written(folded(runs, "_way", "_run", ["_place"], ["transaction_note", *SAME], _chunk, number="_place").drop("_chunk", "_run"), "chunks")
 
 
-def merged_statements(df: DataFrame, key: str, place: str, limit: float = 0.1, share: float = 0.15, rows_least: int = 20) -> tuple[DataFrame, DataFrame]:
+def merged_statements(df: DataFrame, key: str, place: str, limit: float = 0.1, share: float = 0.15, rows_least: int = 20, small: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Statements whose pages were merged or jumbled, put right where that is possible: (rows, verdicts).
 
     df has the key, the given place, date, transaction_type, amount, balance,
@@ -272,7 +274,184 @@ def merged_statements(df: DataFrame, key: str, place: str, limit: float = 0.1, s
     of one or two rows. verdicts: key, is_inconsistent, breaks, ranges (of the chunks, in
     order), is_missing_data (whether a chunk begins a day or more after the end of that before),
     pages (whose rows changed or went; none if the statement stays as it was).
+    Statements of up to small rows are put right in one pass over the rows, the others by
+    rounds over tables.
     """
+    df = df.withColumns({c: F.col(c).cast("double") for c in ("amount", "balance")})
+    page_type = df.schema["page_number"].dataType
+    rows = written(_put_right_small(df.withColumn("_key", _named([key])), place, limit, share, rows_least, small), "passed")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    out = rows.where("NOT _large").select(*names, "_order", "_done")
+    said = rows.where("_verdict IS NOT NULL").select(F.col(f"`{key}`"), "_verdict.*")
+    large = rows.where("_large").select(*names)
+    if not large.isEmpty():
+        more, found = _put_right_large(large, key, place, limit, share, rows_least)
+        out, said = out.unionByName(more), said.unionByName(found)
+    return out, said.withColumn("pages", F.col("pages").cast(T.ArrayType(page_type)))
+
+
+def _tried(cells: list[tuple], back: bool, limit: float, share: float, rows_least: int) -> tuple[list[list], bool, int]:
+    """Small statements one way: (rows, whether the rounds were made, breaks). A row: index, date, note, chq, type, amount, balance, done, whether it breaks."""
+
+    def repaired(rows: list[list]) -> list[list]:
+        before, out, turned = None, [], 0
+        for r in rows:
+            before, made = repaired_type(before, tuple(r[4:7]), limit)
+            out.append([*r[:4], *made[:3], r[7] + made[3], made[4]])
+            turned += "BALANCE_SIGN_CHANGED" in made[3]
+        if turned / len(rows) > 0.2 if len(rows) > 10 else turned > 2:
+            return [[*r[:8], o[8]] for r, o in zip(rows, out)]
+        return out
+
+    def rechained(rows: list[list]) -> list[list]:
+        cuts = [0, *[i for i, r in enumerate(rows) if r[8]], len(rows)]
+        first = lambda d: (d is not None, d) if d is not None else (False,)  # noqa: E731  nulls first
+        runs = sorted((first(rows[i][1]), first(rows[j - 1][1]), i, j) for i, j in zip(cuts, cuts[1:]) if i < j)
+        state, out = None, []
+        for _, _, i, j in runs:
+            none = lambda v: None if v != v else v
+            state, gone = _chunk(state, [(r[2], r[1], none(r[5]), none(r[6]), r[3]) for r in rows[i:j]])
+            out += rows[i + gone : j]
+        return out
+
+    order = range(len(cells) - 1, -1, -1) if back else range(len(cells))
+    rows = repaired([[i, *cells[i], [], False] for i in order])
+    n, bad = len(rows), sum(r[8] for r in rows)
+    if n <= 2:
+        return [[*r[:8], False] for r in rows], False, 0
+    if bad > share * n and n > rows_least:
+        return rows, False, bad
+    for _ in range(2):
+        rows = repaired(rechained(rows))
+    return rows, True, sum(r[8] for r in rows)
+
+
+def _cents(x: float) -> float:
+    """As Spark rounds to two places."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP)) if abs(x) < 1e15 else x
+
+
+def _tallies(rows: list[list], limit: float) -> bool:
+    """Whether first_break finds none: in the rows' own orientation, or of a single date either way."""
+    plus = lambda r: -r[5] if r[4] == "debit" else r[5]
+    low, high = rows[0][1], rows[-1][1]
+    turn = low is not None and high is not None and low > high
+    if low is not None and low == high:
+        pairs = list(zip(rows, rows[1:]))
+        near = lambda x: x <= limit or x != x  # noqa: E731  an unknown balance says nothing
+        forward = all(near(abs(a[6] + plus(b) - b[6])) for a, b in pairs)
+        turn = not forward and all(near(abs(b[6] + plus(a) - a[6])) for a, b in pairs)
+    breaks = lambda x: any(abs(_cents(a[6] + plus(b)) - _cents(b[6])) > limit for a, b in zip(x, x[1:]) if a[6] + plus(b) - b[6] == a[6] + plus(b) - b[6])
+    one = len({r[1] for r in rows} - {None}) == 1
+    ways = (rows[::-1], rows) if turn else (rows, rows[::-1])
+    return not breaks(ways[0]) or one and not breaks(ways[1])
+
+
+def _solved(cells: list[tuple], pages: list, limit: float, share: float, rows_least: int) -> tuple[list[list] | None, bool, dict]:
+    """One statement: (its rows in order if it is put right, whether backwards, its verdict). cells: date, note, chq, type, amount, balance."""
+    rows, made, breaks = _tried(cells, False, limit, share, rows_least)
+    back = False
+    if breaks:
+        other = _tried(cells, True, limit, share, rows_least)
+        if other[2] < breaks:
+            (rows, made, breaks), back = other, True
+    cuts = [0, *[i for i, r in enumerate(rows) if r[8] and i], len(rows)]
+    ranges = [(rows[i][1], rows[j - 1][1]) for i, j in zip(cuts, cuts[1:])]
+    day = lambda d: d.date() if hasattr(d, "date") else d
+    gap = any(b[0] is not None and a[1] is not None and (day(b[0]) - day(a[1])).days >= 1 for a, b in zip(ranges, ranges[1:]))
+    verdict = {"is_inconsistent": breaks > 0, "breaks": breaks, "ranges": [{"low": a, "high": z} for a, z in ranges], "is_missing_data": breaks > 0 and gap, "pages": []}
+    if breaks or not made:
+        return None, False, verdict
+    rows = [[*r, k] for k, r in enumerate(rows)]
+    known: dict = {}
+    said = lambda r: tuple(None if v != v else v for v in (r[1], r[5], r[6], r[4], r[2]))
+    found = repeats([known.setdefault((r[9],) if len(r[2] or "") < 3 else said(r), len(known) + 1) for r in rows])
+    if found:
+        gone = {i + j for i, n in found for j in range(n)}
+        thinner = [r for i, r in enumerate(rows) if i not in gone]
+        rows = thinner if _tallies(thinner, limit) else rows
+    stayed = {r[0]: r for r in rows}
+    verdict["pages"] = sorted({p for i, p in enumerate(pages) if p is not None and (i not in stayed or stayed[i][7])})
+    return rows, back, verdict
+
+
+def _put_right_small(df: DataFrame, place: str, limit: float, share: float, rows_least: int, small: int) -> DataFrame:
+    """df, sorted by _key and place, with _order, _done, _verdict (on one row of a statement) and _large, in one pass.
+
+    At most small rows of a statement are held; those of a longer one come out as they are, marked _large.
+    """
+    date, page = df.schema["date"].dataType, df.schema["page_number"].dataType
+    span = T.StructType([T.StructField("low", date), T.StructField("high", date)])
+    said = T.StructType([T.StructField("is_inconsistent", T.BooleanType()), T.StructField("breaks", T.LongType()), T.StructField("ranges", T.ArrayType(span)), T.StructField("is_missing_data", T.BooleanType()), T.StructField("pages", T.ArrayType(page))])
+    own = [f for f in df.schema.fields if f.name != "_key"]
+    schema = T.StructType([*own, T.StructField("_order", T.LongType()), T.StructField("_done", T.ArrayType(T.StringType())), T.StructField("_verdict", said), T.StructField("_large", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lambda x: [float("nan") if v is None else v for v in x]
+
+        def made(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+            """Whole statements, which begin at these places but the last."""
+            at, pages = {f.name: table.column(f.name).to_pylist() for f in own if f.name in ("date", "transaction_note", "chq_num", "transaction_type", "amount", "balance")}, table.column("page_number").to_pylist()
+            cells = list(zip(at["date"], at["transaction_note"], at["chq_num"], at["transaction_type"], known(at["amount"]), known(at["balance"])))
+            take, kinds, amounts, balances, orders, dones, verdicts = [], [], [], [], [], [], []
+            for i, j in zip(starts, starts[1:]):
+                rows, back, verdict = _solved(cells[i:j], pages[i:j], limit, share, rows_least)
+                stay = [(k, at["transaction_type"][i + k], at["amount"][i + k], at["balance"][i + k], k + 1, []) for k in range(j - i)]
+                if rows is not None:
+                    stay = [(r[0], r[4], r[5] if r[5] == r[5] else None, r[6] if r[6] == r[6] else None, -r[9] if back else r[9], r[7]) for r in rows]
+                for k, kind, amount, balance, order, done in stay:
+                    take.append(i + k)
+                    kinds.append(kind)
+                    amounts.append(amount)
+                    balances.append(balance)
+                    orders.append(order)
+                    dones.append(done)
+                verdicts += [verdict, *[None] * (len(stay) - 1)]
+            yield from shaped(table.take(take), {"transaction_type": kinds, "amount": amounts, "balance": balances}, orders, dones, verdicts, False)
+
+        def shaped(table: pa.Table, changed: dict, orders: list, dones: list, verdicts: list, large: bool) -> Iterator[pa.RecordBatch]:
+            n, when = len(table), table.schema.field("date").type
+            kept = {f.name: pa.array(changed[f.name], table.schema.field(f.name).type) if f.name in changed else table.column(f.name) for f in own}
+            ranges = pa.list_(pa.struct([("low", when), ("high", when)]))
+            verdict = pa.struct([("is_inconsistent", pa.bool_()), ("breaks", pa.int64()), ("ranges", ranges), ("is_missing_data", pa.bool_()), ("pages", pa.list_(table.schema.field("page_number").type))])
+            kept |= {"_order": pa.array(orders, pa.int64()), "_done": pa.array(dones, pa.list_(pa.string())), "_verdict": pa.array(verdicts, verdict), "_large": pa.array([large] * n, pa.bool_())}
+            yield from pa.table(kept).to_batches()
+
+        def plain(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            n = len(table)
+            yield from shaped(table, {}, [None] * n, [None] * n, [None] * n, True)
+
+        held, large = None, None  # the open statement's rows so far; its key once it is known to be large
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            keys = np.asarray(table.column("_key").to_pylist(), object)
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+            ends = [*starts[1:], len(table)]
+            whole = []  # ranges of whole small statements that follow each other
+            for i, j in zip(starts, ends):
+                last = j == len(table)
+                if keys[i] == large or j - i > small:
+                    large = keys[i]
+                    if len(whole) > 1:
+                        yield from made(table.slice(whole[0], whole[-1] - whole[0]), [w - whole[0] for w in whole])
+                    whole = []
+                    yield from plain(table.slice(i, j - i))
+                elif not last:
+                    whole = [*whole, j] if whole else [i, j]
+            if len(whole) > 1:
+                yield from made(table.slice(whole[0], whole[-1] - whole[0]), [w - whole[0] for w in whole])
+            held = None if keys[-1] == large else table.slice(starts[-1])
+        if held is not None:
+            yield from made(held, [0, len(held)])
+
+    return df.repartition("_key").sortWithinPartitions("_key", place).mapInArrow(run, schema)
+
+
+def _put_right_large(df: DataFrame, key: str, place: str, limit: float, share: float, rows_least: int) -> tuple[DataFrame, DataFrame]:
+    """merged_statements by rounds over tables, for statements of any number of rows."""
     given = written(df.withColumn("_key", _named([key])).withColumn("_given", F.row_number().over(Window.partitionBy("_key").orderBy(place)).cast("long")), "given")
     both = given.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_back"))
     both = both.withColumn("_way", F.concat_ws("|", F.col("_back").cast("string"), "_key")).withColumn("_place", F.when(F.col("_back") == 1, -F.col("_given")).otherwise(F.col("_given")))

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import statements, windows
@@ -269,6 +270,21 @@ def test_merged_statements_are_put_right(spark):
     assert any(v[0] and v[3] for _, v in want.values()) and any(v[0] and not v[3] for _, v in want.values())
 
 
+def test_small_statements_go_in_one_pass_as_by_rounds(spark):
+    cases = [(k, [dict(r, balance=None, note=None) if i == 5 else dict(r, date=None) if i == 9 and " 26" in k else r for i, r in enumerate(s)]) for k, s in scenarios()]
+    df = given(spark, cases).withColumn("big", F.lit(2**53 + 1)).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = []
+        for small in (0, 30, 2000):
+            rows, verdicts = statements.merged_statements(df, "k", "place", small=small)
+            w = Window.partitionBy("k").orderBy("_order")
+            found.append((sorted(map(str, rows.withColumn("_order", F.row_number().over(w)).collect())), sorted(map(str, verdicts.collect()))))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] and len(found[0][1]) == len(cases)
+
+
 def test_runs_over_many_batches(spark):
     rows = [(p, r, i) for p in ("a", "b") for r in range(5) for i in range(r + 1)]
     df = spark.createDataFrame(rows, "p string, r int, i int")
