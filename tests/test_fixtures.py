@@ -65,6 +65,17 @@ def test_answers_that_lack_a_row_fail(spark):
         reports.merged_answer(rows, answer.where("hash = 'h1'"), ["hash", "note"], "place").collect()
 
 
+def test_missing_days_of_long_and_overlapping_ranges(spark):
+    asked = spark.sql("SELECT k, to_date('1900-01-15') AS low, to_date('2199-12-20') AS high FROM VALUES (1), (2), (null) t(k)")
+    covered = spark.sql("SELECT 1 AS k, to_date(d) AS low, to_date(d) AS high FROM VALUES ('1900-02-10'), ('1900-02-20'), ('1900-02-20'), ('2199-12-20') t(d)")
+    got = {(r["k"], r["month"]): r["days"] for r in accounts.missing_days(asked, covered, "k", 60).collect()}
+    assert got[1, "Feb 1900"] == [d for d in range(1, 29) if d not in (10, 20)] and got[1, "Jan 1900"] == list(range(15, 32))
+    assert got[1, "Dec 2199"] == list(range(1, 20)) and got[2, "Dec 2199"] == list(range(1, 21)) and len(got) == 7200
+    two = spark.sql("SELECT 1 AS k, to_date(a) AS low, to_date(z) AS high FROM VALUES ('2024-01-01', '2024-01-10'), ('2024-01-08', '2024-02-03') t(a, z)")
+    got = {r["month"]: r["days"] for r in accounts.missing_days(two, covered, "k", 33).collect()}
+    assert got == {"Jan 2024": list(range(1, 32)), "Feb 2024": [1, 2, 3]} and not accounts.missing_days(two, covered, "k", 34).collect()
+
+
 def test_spills_come_back_and_missing_days(spark, tmp_path):
     rows = spark.createDataFrame([(1, "short"), (2, "long" * 20), (3, None)], "account_id long, data string")
     kept = accounts.spilled(rows, "account_id", "data", 10, f"file://{tmp_path}/o")
