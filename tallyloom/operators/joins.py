@@ -85,17 +85,27 @@ def daily_spine(df: DataFrame, keys: Sequence[str], date: str, value: str, order
 def monthly_averages(df: DataFrame, keys: Sequence[str], date: str, value: str, order: Sequence[str]) -> DataFrame:
     """keys, month, average: the mean over every day of a key from its first to its last, value carried forward.
 
-    A closing value stands for the days until the next one, cut at months' ends, so a row is
-    made for each month it spans and none for a day.
+    A closing value stands for the days until the next one. Each counts in its own month, the
+    first of a month with the days that the one before still had in it; the months between two
+    closing values are made last, so that what is grouped grows with the rows, not with the months.
     """
-    closing = df.groupBy(*keys, F.to_date(date).alias("_day")).agg(F.max_by(value, F.struct(*order)).alias(value))
-    until = F.coalesce(F.lead("_day").over(Window.partitionBy(*keys).orderBy("_day")), F.date_add("_day", 1))
-    months = F.sequence(F.trunc("_day", "month"), F.trunc(F.date_sub("_until", 1), "month"), F.expr("interval 1 month"))
-    spans = closing.withColumn("_until", until).withColumn("_month", F.explode(months))
-    days = F.date_diff(F.least(F.col("_until"), F.add_months("_month", 1)), F.greatest("_day", "_month"))
-    spans = spans.withColumn("_days", days)
-    mean = F.sum(F.col(value) * F.col("_days")) / F.sum("_days")
-    return spans.groupBy(*keys, F.date_format("_month", "yyyy-MM").alias("month")).agg(mean.alias("average"))
+    w = Window.partitionBy(*keys).orderBy("_day", *order)
+    rows = df.select(*keys, F.to_date(date).alias("_day"), F.col(value).alias("_value"), *[c for c in order if c not in keys and c not in (date, value)])
+    closing = rows.withColumn("_until", F.lead("_day").over(w)).where(F.col("_until").isNull() | (F.col("_until") > F.col("_day")))
+    by_day = Window.partitionBy(*keys).orderBy("_day")
+    month = F.trunc("_day", "month")
+    head = F.when(F.lag("_day").over(by_day) < month, F.date_diff("_day", month))
+    closing = closing.where(F.col("_day").isNotNull()).withColumns({"_before": F.lag("_value").over(by_day), "_head": head, "_until": F.coalesce("_until", F.date_add("_day", 1)), "_month": month})
+    own = F.date_diff(F.least(F.col("_until"), F.add_months("_month", 1)), "_day")
+    parts = (F.sum(F.col("_value") * own), F.sum(F.when(F.col("_head") > 0, F.col("_before") * F.col("_head"))))
+    total = F.coalesce(parts[0] + parts[1], *parts)
+    by_month = closing.groupBy(*keys, "_month").agg((total / (F.sum(own) + F.coalesce(F.sum("_head"), F.lit(0)))).alias("average"), F.max_by("_value", "_day").alias("_last"), F.max("_until").alias("_until"))
+    first, end = F.add_months("_month", 1), F.add_months(F.trunc("_until", "month"), -1)
+    days = lambda m: F.date_diff(F.add_months(m, 1), m)
+    mean = lambda m, a: F.struct(F.date_format(m, "yyyy-MM").alias("month"), a.alias("average"))
+    between = F.transform(F.when(first <= end, F.sequence(first, end, F.expr("interval 1 month"))), lambda m: mean(m, F.col("_last") * days(m) / days(m)))
+    here = F.array(mean(F.col("_month"), F.col("average")))
+    return by_month.select(*keys, F.explode(F.when(between.isNull(), here).otherwise(F.concat(here, between))).alias("_m")).select(*keys, "_m.month", "_m.average")
 
 
 def _allowed_days(day: int) -> list[int]:

@@ -243,3 +243,14 @@ def test_name_matches_by_share_of_tokens(spark):
     df, wanted = spark.createDataFrame(notes, "seq int, note string"), spark.createDataFrame(names, "name string")
     got = features.name_matches(df, "seq", "note", wanted, "name", ["pvt", "ltd"], 0.6).collect()
     assert sorted(map(tuple, got)) == [(1, "Acme Industries Pvt"), (3, "River Clinic & Sons"), (6, "Acme Industries Pvt")]
+
+
+def test_monthly_averages_make_months_after_grouping(spark):
+    rows = [(1, 1, "2020-01-30", 10.0), (1, 2, "2020-01-30", 20.0), (1, 3, "2020-04-01", 5.0), (1, 4, "2020-04-11", 8.0), (1, 5, "2020-06-03", None), (2, 1, None, 4.0), (2, 2, "2021-02-28", 7.0), (None, 1, "2021-01-01", 1.0), (None, 2, "2021-01-03", 4.0)]
+    df = spark.createDataFrame(rows, "k int, i int, d string, v double").withColumn("d", F.to_timestamp("d"))
+    out = joins.monthly_averages(df, ["k"], "d", "v", ["i"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # a long gap is one row until then
+    want = {(1, "2020-01"): 20.0, (1, "2020-02"): 20.0, (1, "2020-03"): 20.0, (1, "2020-04"): (5.0 * 10 + 8.0 * 20) / 30, (1, "2020-05"): 8.0, (1, "2020-06"): 16.0 / 3, (2, "2021-02"): 7.0, (None, "2021-01"): 2.0}
+    got = {(r["k"], r["month"]): r["average"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
