@@ -104,17 +104,27 @@ def keyword_categories(df: DataFrame, regexes: Sequence[tuple[str, str]], keywor
     return marked.withColumn(out, F.when(skipped, "").when(F.col("_regex") != "", F.col("_regex")).when(F.col("_word") != "", F.col("_word")).otherwise(usual)).drop("_regex", "_word")
 
 
-def first_by_literal(df: DataFrame, text: str, rules: DataFrame, out: str = "label") -> DataFrame:
+def first_by_literal(df: DataFrame, text: str, rules: DataFrame, out: str = "label", share: int = 100_000) -> DataFrame:
     """df with out: the label of the first rule whose pattern fits the text, null where none does; for rule tables of any size.
 
     rules: place (the order of trial), label, pattern and literal, an upper-case word that
     stands as a whole word in every text that the pattern fits (null where there is none).
     A text's words fetch the rules of their literals, so only these patterns run on it; rules
     without a literal meet every text. Each different text is judged once. Null texts fit nothing.
+    A word of more than share texts goes no further if no rule has it; else its texts are dealt
+    out in shares, and its rules are copied to each, so no task holds all texts of one word.
     """
-    said = F.coalesce(F.col("literal"), F.lit(""))
-    texts = df.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    ruled = rules.withColumn("_word", F.coalesce(F.col("literal"), F.lit("")))
+    texts = df.select(F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct()
     words = F.array_distinct(F.concat(F.split(F.upper("_text"), "[^0-9A-Z]+"), F.array(F.lit(""))))
-    met = texts.select("_text", F.explode(words).alias("_word")).join(rules.withColumn("_word", said), "_word").where(F.expr("rlike(_text, pattern)"))
+    said = texts.select("_text", F.explode(words).alias("_word"))
+    # only words of more than share texts: few enough to be sent to every task
+    often = said.groupBy("_word").agg(F.count("*").alias("_n")).where(F.col("_n") > share).select("_word", F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+    asked = ruled.join(F.broadcast(often), "_word", "left_semi").select("_word").distinct().withColumn("_asked", F.lit(True))
+    often = often.join(asked, "_word", "left")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = said.join(F.broadcast(often), "_word", "left").where("_parts IS NULL OR _asked").select("_text", "_word", F.pmod(F.xxhash64("_text"), parts).cast("int").alias("_part"))
+    copied = ruled.join(F.broadcast(often), "_word", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = dealt.join(copied, ["_word", "_part"]).where(F.expr("rlike(_text, pattern)"))
     first = met.groupBy("_text").agg(F.min(F.struct("place", "label")).alias("_first"))
     return df.join(first, F.col(text) == F.col("_text"), "left").withColumn(out, F.col("_first.label")).drop("_text", "_first")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -61,6 +62,17 @@ def test_rules_by_literal(spark):
     assert found.columns == ["t", "label"] and sorted(map(str, found.collect())) == sorted(str(r) for r in spark.createDataFrame(list(zip(texts, want)), "t string, label string").collect())
 
 
+@pytest.mark.parametrize("share", [1, 7, 50])
+def test_rules_of_words_that_most_texts_share(spark, share):
+    """Frequent words without a rule, with one and with several, and rules that every text meets, are the same however they are dealt out."""
+    texts = [f"{'UPI' if i % 3 else 'neft'}/CUSTOMER/{i:03d}" for i in range(120)] + ["UPI", "", "alone 7"]
+    table = [(i, f"own {i}", f"/{i:03d}$", f"{i:03d}") for i in range(0, 120, 5)] + [(500, "even", "UPI.*[02468]$", "UPI"), (400, "four", "UPI.*4$", "UPI"), (600, "nine", "9$", None), (-1, "alone", "^alone", None)]
+    given = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    found = rules.first_by_literal(given, "t", spark.createDataFrame(table, "place int, label string, pattern string, literal string"), share=share)
+    want = {t: next((label for _, label, pattern, _ in sorted(table, key=lambda r: r[0]) if re.search(pattern, t)), None) for t in texts}
+    assert {r["t"]: r["label"] for r in found.collect()} == want and {"four", "even", "nine", "alone", None} < set(want.values())
+
+
 @pytest.mark.parametrize(("note", "amount", "category", "country", "want"), [("MIN BAL", 60_000.0, None, "IN", "Other"), ("MIN BAL", 60_000.0, None, "ID", "bank_charge"), ("CC INTEREST", 9.0, "overdraft", "IN", "cc_interest"), ("CC INTEREST", 9.0, "individual", "IN", "Other"), ("WAGES", 9_000.0, "individual", "IN", "Other"), ("WAGES", 9_000.0, None, None, "salary_paid"), ("AN ACH-7", 9.0, None, None, "auto_debit"), ("TEACHER", 9.0, None, None, "Other")])
 def test_every_guard_of_an_account_decides(spark, note, amount, category, country, want):
     row = spark.createDataFrame([("debit", amount, note, category, country)], "transaction_type string, amount double, transaction_note string, category string, country string")
