@@ -150,9 +150,8 @@ def clu_1_minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clu_8_text_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared(spark, "notes")
-    transactions(spark, sf_dir).select("seq", "bank_name", "transaction_type", "transaction_note").write.parquet(path)
-    return similarity.text_clusters(spark.read.parquet(path), "transaction_note", 10, ["bank_name", "transaction_type"]).select("seq", "cluster")
+    rows = transactions(spark, sf_dir).select("seq", "bank_name", "transaction_type", "transaction_note")
+    return similarity.text_clusters(rows, "transaction_note", 10, ["bank_name", "transaction_type"]).select("seq", "cluster")
 
 
 @query("SELECT event_id, CAST(CASE WHEN value < 10 THEN 0 WHEN value < 30 THEN 1 ELSE 2 END AS DOUBLE) AS bin FROM events", txn=False)

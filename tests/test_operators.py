@@ -208,6 +208,25 @@ def test_text_clusters_by_pair(spark):
         assert len(odd) == len(even) == 1 and odd != even
 
 
+def test_text_clusters_read_each_text_once(spark):
+    """Whatever the number of models, which stop words, cases and separators do not change."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"bank {i % 3}", ("The RENT/flat" if i % 4 == 0 else "rent, of flat") if i % 2 == 0 else "fuel CAR") for i in range(60)] + [(60, "", "rent flat"), (61, None, "fuel car")]
+    df = spark.createDataFrame(rows, "seq long, bank string, raw string").repartition(2).select("seq", "bank", seen("raw").alias("note"))
+    found = similarity.text_clusters(df, "note", 2, ["bank"])
+    got = {r["seq"]: r["cluster"] for r in found.select("seq", "cluster").collect()}
+    assert found.columns == ["seq", "bank", "note", "cluster"] and sorted(got) == [r[0] for r in rows] and read.value == len(rows)
+    for bank in range(3):
+        even, odd = ({got[r[0]] for r in rows if r[1] == f"bank {bank}" and r[0] % 2 == k} for k in (0, 1))
+        assert len(even) == len(odd) == 1 and even != odd
+
+
 def test_keyword_categories(spark):
     rows = [(1, "ATM cash out", "debit", "x"), (2, "paid to online grocry order", "debit", "x"), (3, "paid to online grocry order", "credit", "x"), (4, "lazy pay bank", "debit", "x"), (5, "lazypay", "debit", "x"), (6, "nothing", "debit", "bill_payment"), (7, "cash", "debit", "salary"), (8, None, None, None)]
     df = spark.createDataFrame(rows, "k long, note string, transaction_type string, transaction_channel string")
