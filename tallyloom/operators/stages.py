@@ -49,10 +49,14 @@ def _key(key: str) -> Column:
 
 
 def row_hashes(df: DataFrame, key: str) -> DataFrame:
-    """_key and hash: one hash for all rows of a key, the same in any order; added up before rows are shuffled."""
+    """_key and hash: one hash for all rows of a key, the same in any order; added up before rows are shuffled.
+
+    The upper and lower halves of the rows' hashes are added up apart, so that long sums hold them.
+    """
     values = [F.col(f"`{c}`") for c in df.columns]
-    row = F.xxhash64(*values, *[v.isNull() for v in values]).cast("decimal(38,0)")
-    return df.select(_key(key), row.alias("_row")).groupBy("_key").agg(F.concat_ws("/", F.sum("_row").cast("string"), F.count("*").cast("string")).alias("hash"))
+    rows = df.select(_key(key), F.xxhash64(*values, *[v.isNull() for v in values]).alias("_row"))
+    sums = [F.sum(F.shiftright("_row", 32)), F.sum(F.col("_row").bitwiseAND(F.lit(0xFFFFFFFF))), F.count("*")]
+    return rows.groupBy("_key").agg(F.concat_ws("/", *[s.cast("string") for s in sums]).alias("hash"))
 
 
 class Enrichments:
@@ -69,6 +73,8 @@ class Enrichments:
         """The stage's rows of all keys, each as it was last made."""
         stored = T.StructType([*schema.fields, T.StructField("_made", T.LongType())])
         rows = self.spark.read.schema(stored).parquet(*[f"{self.root}/{stage.name}/rows/made={m}" for m in made])
+        if len(made) == 1:  # nothing was made again
+            return rows.drop("_made")
         last = self._states(stage).read().select(F.col("key").alias("_last_key"), F.col("made").alias("_last"))
         return rows.withColumn("_key", _key(self.key)).join(last, (F.col("_key") == F.col("_last_key")) & (F.col("_made") == F.col("_last")), "left_semi").drop("_key", "_made")
 
@@ -91,7 +97,8 @@ class Enrichments:
             known = store.read(before=run).select(F.col("key").alias("_known"), F.col("input_hash").alias("_was"))
             both = given.join(known, F.col("_key") == F.col("_known"), "full")
             stale = written(both.where(~F.coalesce(F.col("input_hash") == F.col("_was"), F.lit(False))).select(F.coalesce("_key", "_known").alias("_key"), "input_hash"), "stale")
-            mine = {n: held[n].withColumn("_key", _key(self.key)).join(stale.select("_key"), "_key", "left_semi").drop("_key") for n in stage.inputs}
+            every = store.empty(before=run)  # the first time all keys are stale, so no row is left out
+            mine = {n: held[n] if every else held[n].withColumn("_key", _key(self.key)).join(stale.select("_key"), "_key", "left_semi").drop("_key") for n in stage.inputs}
             made = stage.run(mine)
             made.withColumn("_made", F.lit(run).cast("long")).write.mode("overwrite").parquet(f"{self.root}/{stage.name}/rows/made={run}")
             fresh = row_hashes(self.spark.read.schema(made.schema).parquet(f"{self.root}/{stage.name}/rows/made={run}"), self.key)

@@ -56,6 +56,10 @@ class KeyedStore:
             out[b] = upto, [e for e, held in deltas.items() if b in held and (upto is None or e > upto)]
         return out
 
+    def empty(self, before: int | None = None) -> bool:
+        """Whether no rows are stored; before: as it was ahead of that epoch."""
+        return not any(epochs or upto is not None for upto, epochs in self._layers(range(self.buckets), before).values())
+
     def read(self, buckets: Iterable[int] | None = None, before: int | None = None) -> DataFrame:
         """The last row of each key, of all buckets or of these; before: as it was ahead of that epoch."""
         layers = self._layers(range(self.buckets) if buckets is None else buckets, before)
@@ -64,6 +68,8 @@ class KeyedStore:
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         rows = self.spark.read.schema(self.stored).parquet(*paths)
+        if all((upto is not None) + len(epochs) <= 1 for upto, epochs in layers.values()):  # one row a key as they stand
+            return rows.select(*self.schema.names)
         last = rows.groupBy(self.key).agg(F.max_by(F.struct(*[c for c in self.schema.names if c != self.key]), "_epoch").alias("_row"))
         return last.select(*[F.col(c) if c == self.key else F.col(f"_row.{c}").alias(c) for c in self.schema.names])
 

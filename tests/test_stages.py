@@ -62,3 +62,20 @@ def test_graphs_that_cannot_be_ordered():
     for bad in ([stage("a", "b"), stage("b", "a")], [stage("a", "x")], [stage("a", "s"), stage("a", "s")], [stage("s", "s")]):
         with pytest.raises(ValueError):
             order_of(bad, ["s"])
+
+
+def test_the_first_run_joins_nothing_with_what_is_stale(spark, tmp_path):
+    """While nothing was made before, all rows are stale and all results the last ones; later both are sought again."""
+    seen: list = []
+
+    def counts(given):
+        seen.append(given["rows"]._jdf.queryExecution().analyzed().toString())
+        return given["rows"].groupBy("k").agg(F.count("*").alias("n"))
+
+    store = Enrichments(spark, f"file://{tmp_path}/e", "k", [Stage("counts", ("rows",), counts)], ["rows"], buckets=2)
+    frame = lambda *keys: {"rows": spark.createDataFrame([(k,) for k in keys], "k int")}
+    got, _ = store.refresh(frame(1, 1, 2, None), 0)
+    assert sorted(map(tuple, got["counts"].collect()), key=str) == [(1, 2), (2, 1), (None, 1)]
+    assert "Join" not in seen[0] + got["counts"]._jdf.queryExecution().analyzed().toString()
+    got, _ = store.refresh(frame(1, 2, 2), 1)
+    assert sorted(map(tuple, got["counts"].collect())) == [(1, 1), (2, 2)] and "Join" in seen[1]
