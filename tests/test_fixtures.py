@@ -100,3 +100,20 @@ def test_bins_and_handlers(spark):
     for bad in ("tallyloom.streaming.consumers:nothing", "tallyloom.model:CHANNELS"):
         with pytest.raises(ValueError):
             consumers.handler(bad)
+
+
+def test_rows_beside_texts_of_frequent_keys(spark):
+    given = [("a", i, None) for i in range(40)] + [("b", 40, "x"), ("b", 40, "x"), ("c", 41, "y"), (None, 42, "z")]
+    rows = spark.createDataFrame(given, "k string, seq long, note string")
+    texts = spark.createDataFrame([("a", "1,2"), ("b", "3"), ("d", "4"), (None, "5")], "k string, text string")
+    got = accounts.beside(rows, texts, "k", "text", share=5)
+    assert got.columns == ["k", "seq", "note", "text"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(texts, "k").collect()))
+    assert got.where("k = 'a'").select(F.spark_partition_id()).distinct().count() > 1  # not in one task
+
+
+def test_rows_beside_texts_hold_one_copy(spark):
+    """8,000 rows with a text of 2 MB: 16 GB, four times the heap."""
+    rows = spark.range(8_000).select(F.lit("a").alias("k"), F.col("id").alias("seq"))
+    texts = spark.range(1).select(F.lit("a").alias("k"), F.repeat(F.lit("0123456789"), 200_000).alias("text"))
+    accounts.beside(rows, texts, "k", "text").write.format("noop").mode("overwrite").save()
