@@ -6,7 +6,8 @@ merchant), so seeds are sought among signatures in the order of their first rows
 to LIMIT rows match by tiers of score and length; their seeds stream by with the rows. Larger
 keys match by shared runs of three characters, in rounds over an inverted index of the
 rarest runs: no key is held in a task and no pair of a dense group is made, as its first
-member takes the others before pairs are looked for.
+member takes the others before pairs are looked for. Without a limit one rule holds at any
+size: a block of a key's signatures gives its next seeds, which take what they match in tasks of their own.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ LIMIT, SHARE = 1000, 0.6
 #: Rounds in which only first members look for partners, before all links of what is left are made.
 PROBES = 4
 _BUCKETS = 4096
+#: Signatures of a key that give seeds in one round of a rule without a limit, and those compared with these seeds in one task.
+BLOCK, DEALT = 1000, 4096
 
 # Words that say nothing of the other party, and the handles of payment ids.
 STOP = (
@@ -124,6 +127,53 @@ def _small(signatures: DataFrame, rule, bound: int) -> DataFrame:
     return carried(signatures, "key", ["first", "channel", "note", "merchant"], ["channel", "note", "merchant"], step, "seed long")
 
 
+def _by_rule(signatures: DataFrame, rule) -> DataFrame:
+    """signatures with seed: the number of the first seed of its key that each matches, whatever the number of signatures.
+
+    In a round the first BLOCK signatures left of a key stream by and give its next seeds; the
+    others are dealt out in shares, each beside these seeds, and those that match one join the first. No
+    earlier seed matches what is left, so that is the first of all. A key of up to BLOCK signatures takes one round.
+    """
+    order, cells = ["first", "channel", "note", "merchant"], ["channel", "note", "merchant"]
+
+    def heads(seeds: list | None, row: tuple) -> tuple[list, tuple]:
+        seeds = [] if seeds is None else seeds
+        k = next((k for k, seed in enumerate(seeds) if rule(seed, row)), len(seeds))
+        if k == len(seeds):
+            seeds.append(row)
+            return seeds, (k, True)
+        return seeds, (k, False)
+
+    def others(seeds: list | None, row: tuple) -> tuple[list, tuple]:
+        seeds, (number, *cell) = [] if seeds is None else seeds, row
+        if number == number and number is not None:  # the seeds come first
+            seeds.append((number, tuple(cell)))
+            return seeds, (None,)
+        return seeds, (next((float(k) for k, seed in seeds if rule(seed, tuple(cell))), None),)
+
+    left, found, before = signatures, None, 0
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*order))
+    while True:
+        head = left.withColumn("_at", place).where(F.col("_at") <= BLOCK).drop("_at")
+        head = written(carried(head, "key", order, cells, heads, "seed long, _new boolean").withColumn("seed", F.col("seed") + before), "heads")
+        done = head.drop("_new")
+        found = done if found is None else found.union(done)
+        last = head.groupBy("key").agg(F.max(F.struct(*order)).alias("_last"), F.count("*").alias("_n")).where(F.col("_n") >= BLOCK).drop("_n")
+        rest = written(left.join(last, "key").where(F.struct(*order) > F.col("_last")).drop("_last"), "rest")
+        if rest.isEmpty():
+            return found
+        shares = rest.groupBy("key").agg(F.ceil(F.count("*") / DEALT).alias("_shares"))
+        share = F.pmod(F.xxhash64(*cells), F.col("_shares"))
+        seeds = head.where("_new").drop("_new").withColumn("number", F.col("seed").cast("double")).drop("seed")
+        copies = seeds.join(shares, "key").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)))
+        dealt = rest.withColumn("number", F.lit(None).cast("double")).join(shares, "key").withColumn("_share", share)
+        both = copies.unionByName(dealt).drop("_shares").withColumn("_part", F.concat_ws("|", F.col("_share").cast("string"), "key")).drop("_share")
+        met = carried(both, "_part", [F.col("number").isNull(), "number", *order], ["number", *cells], others, "seed double").where("number IS NULL").drop("number", "_part")
+        met = written(met, "met")
+        found = found.union(met.where("seed IS NOT NULL").withColumn("seed", F.col("seed").cast("long")))
+        left, before = met.where("seed IS NULL").drop("seed"), before + BLOCK
+
+
 def first_matches(df: DataFrame, key: str, place: str, tokens: str, share: float = SHARE, probes: int = PROBES) -> DataFrame:
     """key, place, seed: for each row the place of the seed that it joins (its own if it is one).
 
@@ -186,14 +236,26 @@ def first_matches(df: DataFrame, key: str, place: str, tokens: str, share: float
     return joined.union(seeds.select("key", "place", F.col("place").alias("seed")))
 
 
+def _by_size(signatures: DataFrame, sizes: DataFrame, rule, limit: int, share: float) -> DataFrame:
+    """signatures with seed, by the rule in keys that are not _large, by runs of three characters in the others."""
+    signatures = written(signatures.join(sizes, "key"), "signatures")
+    small = _small(signatures.where("NOT _large AND length(note) > 2"), rule, limit)
+    small = small.select("key", "channel", "note", "merchant", "first", "n", F.col("seed").cast("string").alias("seed"))
+    notes = signatures.where("_large AND length(note) > 2")
+    vertices = notes.groupBy("key", "note").agg(F.max("channel").alias("channel")).select("key", F.struct("channel", "note").alias("place"), shingles(F.col("note")).alias("runs"))
+    seeds = first_matches(vertices, "key", "place", "runs", share).select("key", F.col("place.note").alias("note"), F.to_json("seed").alias("seed"))
+    large = notes.join(seeds, ["key", "note"]).select("key", "channel", "note", "merchant", "first", "n", "seed")
+    return written(small.union(large), "groups")
+
+
 def recurring_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], note: str, channel: str, merchant: Column | None = None, rule=tiered, limit: int = LIMIT, share: float = SHARE
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], note: str, channel: str, merchant: Column | None = None, rule=tiered, limit: int | None = LIMIT, share: float = SHARE
 ) -> DataFrame:
     """df with group_no and group_size: the recurring group of a row within its keys, null for rows that stand alone.
 
     Groups are numbered from 1 by size, the largest first, of equals that whose first row
-    comes first. Keys with up to limit rows use rule in the given order of rows; larger keys
-    compare cleaned notes by runs of three characters, in descending order of (channel, note),
+    comes first. Keys with up to limit rows use rule in the given order of rows, and keys of any size where there is
+    no limit; larger keys compare cleaned notes by runs of three characters, in descending order of (channel, note),
     channels apart or not, and rows whose clean note has fewer than three characters stand
     alone. Null keys are keys as any other; null notes, channels and merchants count as empty.
     """
@@ -201,18 +263,12 @@ def recurring_groups(
     raw_channel = F.coalesce(F.col(channel), F.lit(""))
     name = F.coalesce(merchant, F.lit("")) if merchant is not None else F.lit("")
     rows = df.withColumn("_key", key).withColumn("_channel", raw_channel).withColumn("_note", clean_note(F.col(note), raw_channel)).withColumn("_merchant", name)
-    sizes = rows.groupBy("_key").agg((F.count("*") > limit).alias("_large"))
     first = F.min(F.struct(*order)).alias("first")
     signatures = rows.groupBy(F.col("_key").alias("key"), F.col("_channel").alias("channel"), F.col("_note").alias("note"), F.col("_merchant").alias("merchant")).agg(first, F.count("*").alias("n"))
-    signatures = written(signatures.join(sizes.withColumnRenamed("_key", "key"), "key"), "signatures")
-
-    small = _small(signatures.where("NOT _large AND length(note) > 2"), rule, limit)
-    small = small.select("key", "channel", "note", "merchant", "first", "n", F.col("seed").cast("string").alias("seed"))
-    notes = signatures.where("_large AND length(note) > 2")
-    vertices = notes.groupBy("key", "note").agg(F.max("channel").alias("channel")).select("key", F.struct("channel", "note").alias("place"), shingles(F.col("note")).alias("runs"))
-    seeds = first_matches(vertices, "key", "place", "runs", share).select("key", F.col("place.note").alias("note"), F.to_json("seed").alias("seed"))
-    large = notes.join(seeds, ["key", "note"]).select("key", "channel", "note", "merchant", "first", "n", "seed")
-    found = written(small.union(large), "groups")
+    if limit is None:
+        found = _by_rule(written(signatures.where(F.length("note") > 2), "signatures"), rule)
+    else:
+        found = _by_size(signatures, rows.groupBy(F.col("_key").alias("key")).agg((F.count("*") > limit).alias("_large")), rule, limit, share)
 
     groups = found.groupBy("key", "seed").agg(F.sum("n").alias("group_size"), F.min("first").alias("first")).where("group_size > 1")
     numbered = groups.withColumn("group_no", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("group_size"), "first")))  # a row a group

@@ -209,9 +209,9 @@ def clu_2_4_6_recurring_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clu_3_top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest group at one threshold of each account and type."""
+    """The largest group at one threshold of each account and type, whatever their number of rows."""
     rows = worn(spark, sf_dir, NOTED)
-    found = recurring.recurring_groups(rows, ["account_id", "transaction_type"], ["date", "seq"], "transaction_note", "transaction_channel", rule=recurring.alike(90.0))
+    found = recurring.recurring_groups(rows, ["account_id", "transaction_type"], ["date", "seq"], "transaction_note", "transaction_channel", rule=recurring.alike(90.0), limit=None)
     return recurring.top_group(found).select("account_id", "seq", "group_size")
 
 

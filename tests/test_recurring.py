@@ -5,11 +5,15 @@ from __future__ import annotations
 import random
 import re
 from datetime import datetime, timedelta
+from functools import cache
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import recurring, similarity
+from tallyloom.plans import QUERIES
+from tallyloom.plans.features import NOTED
+from tallyloom.plans.registry import worn
 
 STOP, HANDLES = set(recurring.STOP), set(recurring.HANDLES)
 
@@ -134,3 +138,35 @@ def test_clean_notes(spark):
 def test_empty_frames(spark):
     none = spark.createDataFrame([], "k string, seq long, note string, channel string")
     assert recurring.recurring_groups(none, ["k"], ["seq"], "note", "channel").collect() == []
+
+
+@cache
+def by_threshold(a, b):
+    return (a[0] == b[0] or "salary" in (a[0], b[0])) and similarity.fuzzy(a[1], b[1]) >= 90
+
+
+def test_top_groups_of_an_account_of_many_rows(spark, tmp_path):
+    """One rule at any size: an account with more than 1,000 rows of a type is grouped as a small one."""
+    sf = "/root/testdata/sf0.01"
+    spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey = 7").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{sf}/orders.parquet").withColumn("o_custkey", F.lit(7).cast("long")).orderBy("o_orderkey").limit(3600).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = worn(spark, str(tmp_path), NOTED).collect()
+    given = [((r["account_id"], r["transaction_type"]), (r["date"], r["seq"]), r["transaction_note"], r["transaction_channel"], None) for r in rows]
+    assert min(sum(1 for g in given if g[0][1] == t) for t in ("debit", "credit")) > recurring.LIMIT
+    want = greedy(given, len(given), by_threshold)
+    got = QUERIES["clu_3_top_groups"](spark, str(tmp_path)).collect()
+    assert got and {(r["seq"], r["group_size"]) for r in got} == {(p[1][1], v[1]) for p, v in want.items() if v[0] == 1}
+
+
+@pytest.mark.parametrize("block, dealt", [(1, 3), (7, 10), (1000, 4096)])
+def test_a_rule_without_a_limit_equals_the_greedy_pass(spark, monkeypatch, block, dealt):
+    monkeypatch.setattr(recurring, "BLOCK", block)
+    monkeypatch.setattr(recurring, "DEALT", dealt)
+    rng, rows = random.Random(block), []
+    for key, n in (("small", 5), (None, 12), ("hot", 30 if block == 1 else 300)):
+        rows += [(key, i, note, rng.choice(["upi", "neft", "salary", None])) for i, note in enumerate(notes(rng, n))]
+        rows += [(key, n, None, "neft"), (key, n + 1, "a b", "neft")]
+    df = spark.createDataFrame(rows, "k string, seq long, note string, channel string")
+    found = recurring.recurring_groups(df, ["k"], ["seq"], "note", "channel", rule=recurring.alike(90.0), limit=None).collect()
+    want = greedy([(*r, None) for r in rows], len(rows), by_threshold)
+    assert len(found) == len(rows) and {(r["k"], r["seq"]): (r["group_no"], r["group_size"]) for r in found if r["group_no"]} == want
