@@ -8,8 +8,9 @@ of each group, finds all pairs that may link; survivors are verified on the sets
 How the work is spread. Equal sets are one class. The same bound says that the sets of a
 linked pair differ in at most r shingles, with r from their sizes; hashed into more than r
 groups they agree in some group entirely. Classes that agree in a group of a size level
-(linked sets share a level) are joined into candidate clusters of that level, streaming,
-by a hub for each group. The trees are built over blocks of a cluster, in tasks of bounded
+(linked sets share a level) are joined into candidate clusters of that level, by a hub for
+each group. The names of groups are most of what is shuffled, so they travel sorted, as bytes of their
+differences, in parts of a bounded number. The trees are built over blocks of a cluster, in tasks of bounded
 size, and return at most one link for each point. A cluster beyond a block meets in rounds:
 its blocks apart; then, as long as that halves their number, one representative of each
 component found so far; in the end every member outside the cluster's largest component
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textbytes
@@ -39,6 +40,10 @@ BROADCAST_CLUSTERS = 100_000
 #: Groups beyond those that the bound needs: a class with no more empty groups than this needs none of them.
 SPARE = 2
 LEAF = 16
+#: Bits of a group's name, and bytes of a node's, in a shuffle: two that are taken for one only share a cluster.
+NAME_BITS, NODE_BYTES = 56, 6
+#: Shingles, of all sets together, whose names make a part (about as many), which a task holds.
+PART_SHINGLES = 1 << 20
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[32, *range(9, 14)]] = False
 
@@ -108,8 +113,8 @@ def levels_of(n: int, rule: Rule, levels: np.ndarray) -> list[int]:
 
 
 def node(h: int, level: int) -> int:
-    """The name of a set in a level."""
-    return int(textbytes.mix(np.array([h], np.int64).view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)[0])
+    """The name of a set in a level, of NODE_BYTES."""
+    return int(textbytes.mix(np.array([h], np.int64).view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))[0]) >> 64 - 8 * NODE_BYTES
 
 
 def signatures(s: np.ndarray, level: int, rule: Rule, levels: np.ndarray) -> np.ndarray:
@@ -157,6 +162,48 @@ def combine(names: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([names[first], own, own]), np.concatenate([nodes[first], a, b])
 
 
+def _bytes(numbers: np.ndarray, width: int) -> bytes:
+    """The low bytes of each number."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def pack(names: np.ndarray, nodes: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(part, width, names, nodes) of rows (name, node): a part's names, sorted, as bytes of their differences, and the nodes beside them."""
+    short = names.view(np.uint64) >> np.uint64(64 - NAME_BITS)
+    part, rest = (short % np.uint64(parts)).astype(np.int64), short // np.uint64(parts)
+    order = np.lexsort((rest, part))
+    part, rest, nodes = part[order], rest[order], nodes[order]
+    edges = np.flatnonzero(np.concatenate([np.ones(len(part[:1]), bool), part[1:] != part[:-1]]))
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)]):
+        gaps = np.diff(rest[a:b], prepend=np.uint64(0))
+        width = max(1, -(-int(gaps.max()).bit_length() // 8))
+        yield int(part[a]), width, _bytes(gaps, width), _bytes(nodes[a:b], NODE_BYTES)
+
+
+def tied(packed: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), each once: the nodes of every name of a part, tied to the least of them; packed is (width, names, nodes) of that part."""
+    names = np.concatenate([np.cumsum(_numbers(data, width), dtype=np.uint64) for width, data, _ in packed])
+    nodes = np.concatenate([_numbers(data, NODE_BYTES) for _, _, data in packed]).astype(np.int64)
+    order = np.argsort(names, kind="stable")
+    names, nodes = names[order], nodes[order]
+    same = names[1:] == names[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])  # most names have one node
+    names, nodes = names[shared], nodes[shared]
+    order = np.lexsort((nodes, names))
+    names, nodes = names[order], nodes[order]
+    first = np.flatnonzero(np.concatenate([np.ones(len(names[:1]), bool), names[1:] != names[:-1]]))
+    hub = np.repeat(nodes[first], np.diff(np.append(first, len(names))))
+    more = hub != nodes
+    a, b = np.unique(np.stack([hub[more], nodes[more]], 1), axis=0).T
+    return a, b
+
+
 class CountTree:
     """An R-tree, packed once, over count vectors sorted by set size."""
 
@@ -260,8 +307,8 @@ def _named(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame
     return given.mapInPandas(run, f"id {id_type}, key long, n long, h long, nodes array<long>")
 
 
-def _candidates(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """Pairs (a, b) of nodes that have a name in common, each with the least of its name."""
+def _candidates(docs: DataFrame, rule: Rule, text_col: str, parts: int) -> DataFrame:
+    """Pairs (a, b) of nodes that have a name in common, each with the least of its name; names are met in so many parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = rule.levels(1 << 12)
@@ -278,11 +325,23 @@ def _candidates(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
                     names.append(got)
                     sets.append(np.full(len(got), node(h, level), np.int64))
             if names:
-                yield pd.DataFrame(dict(zip(("name", "h"), combine(np.concatenate(names).view(np.int64), np.concatenate(sets)))))
+                for one in pack(*combine(np.concatenate(names).view(np.int64), np.concatenate(sets)), parts):
+                    yield pd.DataFrame([one], columns=["part", "width", "names", "nodes"])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            for part, *packed in batch[["part", "width", "names", "nodes"]].itertuples(index=False, name=None):
+                if part != at:
+                    if held:
+                        yield pd.DataFrame(dict(zip("ab", tied(held))))
+                    at, held = part, []
+                held.append(packed)
+        if held:
+            yield pd.DataFrame(dict(zip("ab", tied(held))))
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "name long, h long")
-    hub = F.first("h").over(Window.partitionBy("name").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("a", hub).where(F.col("a") != F.col("h")).select("a", F.col("h").alias("b")).distinct()
+    packed = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "part long, width int, names binary, nodes binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "a long, b long").distinct()
 
 
 def _blocks(classes: Column, shingles: Column) -> Column:
@@ -415,7 +474,9 @@ def jaccard_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text
     named = cut(_named(docs, rule, id_col, text_col), "sets")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n", "nodes"))
     classes = cut(named.where(F.col("n") > 0).groupBy("h").agg(first.alias("r")).select("h", "r.id", "r.key", "r.n", "r.nodes"), "classes")
-    clusters = components(_candidates(docs, rule, text_col)).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    shingles = named.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // PART_SHINGLES))
+    clusters = components(_candidates(docs, rule, text_col, parts)).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
     members = cut(classes.select("h", "id", "key", "n", F.explode("nodes").alias("node")).join(clusters, "node").drop("node"), "members")
     found = classes.select("h", "id", F.col("h").alias("root"))
     for roots in _roots(docs, members, rule, id_col, text_col):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tallyloom.llm import ngram_join
+from tallyloom.llm import ngram_join, runtime
 
 
 @pytest.mark.parametrize(("n", "flips"), [(40, 1), (40, 4), (300, 3), (7, 1)])
@@ -63,3 +66,39 @@ def test_combine_keeps_what_names_tie_together():
     assert tied(out_names, out_nodes) == tied(names, nodes)
     assert all((out_names == n).sum() == 1 for n in set(names.tolist()))
     assert [len(x) for x in ngram_join.combine(names[:0], nodes[:0])] == [0, 0]
+
+
+def test_packed_names_tie_the_same_nodes():
+    """Names travel as bytes of differences, and each part ties the nodes of its names; 16 bytes a row before."""
+    rng = np.random.default_rng(2)
+    pool = rng.integers(-(2**62), 2**62, 300_000)
+    node = rng.integers(0, 2**48, 5000)
+    batches = [(pool[rng.integers(0, len(pool), 200_000)], node[rng.integers(0, len(node), 200_000)]) for _ in range(2)]
+    held, size = {}, 0
+    for names, nodes in batches:
+        for part, *packed in ngram_join.pack(names, nodes, 7):
+            held.setdefault(part, []).append(packed)
+            size += len(packed[1]) + len(packed[2])
+    assert set(held) == set(range(7)) and size <= 13 * 400_000
+    want = {}
+    for names, nodes in batches:
+        for n, x in zip(names.tolist(), nodes.tolist()):
+            want.setdefault(n, set()).add(x)
+    got = {(a, b) for packed in held.values() for a, b in zip(*(x.tolist() for x in ngram_join.tied(packed)))}
+    assert got == {(min(x), b) for x in want.values() for b in x if b != min(x)}
+    assert list(ngram_join.pack(pool[:0], node[:0], 3)) == []
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in blocks.getAllBlocks().mkString(" ").split() if f.startswith("shuffle")}
+
+    before = files()
+    made = runtime.cut(spark.range(5000).groupBy((F.col("id") % 90).alias("k")).count(), "counts")
+    end = time.monotonic() + 10
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert made.count() == 90
