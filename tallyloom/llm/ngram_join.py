@@ -42,8 +42,8 @@ SPARE = 2
 LEAF = 16
 #: Bits of a group's name, and bytes of a node's, in a shuffle: two that are taken for one only share a cluster.
 NAME_BITS, NODE_BYTES = 56, 6
-#: Shingles, of all sets together, whose names make a part (about as many), which a task holds.
-PART_SHINGLES = 1 << 20
+#: Shingles, of all sets together, whose names make a part (about as many), which a task holds; names packed at once.
+PART_SHINGLES, HELD_NAMES = 1 << 19, 1 << 19
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[32, *range(9, 14)]] = False
 
@@ -310,10 +310,14 @@ def _named(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame
 def _candidates(docs: DataFrame, rule: Rule, text_col: str, parts: int) -> DataFrame:
     """Pairs (a, b) of nodes that have a name in common, each with the least of its name; names are met in so many parts."""
 
+    def packed_rows(names: list[np.ndarray], nodes: list[np.ndarray]) -> pd.DataFrame:
+        rows = pack(*combine(np.concatenate(names).view(np.int64), np.concatenate(nodes)), parts)
+        return pd.DataFrame(list(rows), columns=["part", "width", "names", "nodes"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = rule.levels(1 << 12)
         for batch in batches:
-            names, sets, met = [], [], set()
+            names, sets, met, held = [], [], set(), 0
             for s in shingle_sets(batch["text"].tolist(), rule.k):
                 levels = levels if len(s) < levels[-2] else rule.levels(4 * len(s))
                 h = set_hash(s)
@@ -324,9 +328,12 @@ def _candidates(docs: DataFrame, rule: Rule, text_col: str, parts: int) -> DataF
                     got = signatures(s, level, rule, levels)
                     names.append(got)
                     sets.append(np.full(len(got), node(h, level), np.int64))
+                    held += len(got)
+                if held >= HELD_NAMES:
+                    yield packed_rows(names, sets)
+                    names, sets, held = [], [], 0
             if names:
-                for one in pack(*combine(np.concatenate(names).view(np.int64), np.concatenate(sets)), parts):
-                    yield pd.DataFrame([one], columns=["part", "width", "names", "nodes"])
+                yield packed_rows(names, sets)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
@@ -341,7 +348,8 @@ def _candidates(docs: DataFrame, rule: Rule, text_col: str, parts: int) -> DataF
             yield pd.DataFrame(dict(zip("ab", tied(held))))
 
     packed = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "part long, width int, names binary, nodes binary")
-    return packed.repartition("part").sortWithinPartitions("part").mapInPandas(meet, "a long, b long").distinct()
+    # a task a part: what goes to Python in one batch is then bounded
+    return packed.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").mapInPandas(meet, "a long, b long").distinct()
 
 
 def _blocks(classes: Column, shingles: Column) -> Column:
